@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     """Sum of products, in order of the elements."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -51,18 +58,18 @@ def weight_sql(row: str, col: str, seed: int) -> str:
 def linear(x: Column, width: int, seed: int, bias: bool = True) -> Column:
     """Dense layer with the weights of weight(): one output per row of the matrix; the bias is column -1."""
 
-    def cell(r: Column) -> Column:
-        s = F.aggregate(F.transform(x, lambda v, c: v.cast("double") * weight(r, c, seed)), F.lit(0.0), lambda a, b: a + b)
+    def cell(y: Column, r: Column) -> Column:
+        s = F.aggregate(F.transform(y, lambda v, c: v.cast("double") * weight(r, c, seed)), F.lit(0.0), lambda a, b: a + b)
         return s + weight(r, F.lit(40), seed) if bias else s
 
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)
+    return bind(x, lambda y: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda r: cell(y, r)))
 
 
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
-    n = F.size(x)
-    mean = total(x) / n
-    var = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+    def spread(y: Column, mean: Column) -> Column:
+        return F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(y) + eps)
+
+    return bind(x, lambda y: bind(total(y) / F.size(y), lambda m: bind(spread(y, m), lambda d: F.transform(y, lambda v: (v - m) / d))))
 
 
 def time_encoding(t: Column, width: int) -> Column:
