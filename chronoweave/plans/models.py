@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import vectors as V
 from chronoweave.functions.vectors import weight_sql
-from chronoweave.operators import blocks, etl, hotset, kernels, memory, metrics, nn, sampler, topology
+from chronoweave.operators import blocks, etl, hotset, kernels, memory, metrics, nn, sampler, topology, training
 from chronoweave.plans import base
 from chronoweave.plans.base import EF, NF, ORDERED, E, R, S, block_sql
 from chronoweave.session import table
@@ -586,3 +586,27 @@ def top04_pairing(spark: SparkSession, d: str) -> DataFrame:
     """The matrix has parts * parts entries, so it may come to the driver."""
     m = {(r.i, r.j): r.w for r in topology.full_matrix(topology.accumulated(_similarity(spark, d)), PARTS).collect()}
     return spark.createDataFrame(list(enumerate(topology.pairing(m, PARTS))), "part int, partner int")
+
+
+@query()
+def nn18_training(spark: SparkSession, d: str) -> DataFrame:
+    """Loss per step of a link scorer trained on roots: a true end's vector against a negative's, joined to the source's."""
+    v = _root_vectors(spark, d)
+    src = v.filter("role = 'src'").select("batch", "edge_pos", F.col("own").alias("s"))
+    ends = v.filter("role <> 'src'").select("batch", "edge_pos", F.col("own").alias("e"), (F.col("role") == "dst").cast("int").alias("y"))
+    rows = ends.join(src, ["batch", "edge_pos"]).select(F.concat("s", "e").alias("x"), "y")
+    _, losses = training.train(rows, 16, epochs=4)
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(losses)], "step int, loss double")
+
+
+@query()
+def mem11_fold_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Memory after the roots' edges in four steps, each reading what the one before wrote."""
+    r = base.queries(spark, d).filter("role in ('src', 'dst')")
+    ends = [F.max(F.when(F.col("role") == e, F.col("node"))).alias(e) for e in ("src", "dst")]
+    pairs = r.groupBy("batch", "edge_pos").agg(*ends, F.max("t").alias("t")).filter("src is not null and dst is not null")
+    n = F.col("batch") * 1000 + F.col("edge_pos")
+    step = F.floor(F.col("batch") * 4 / (pairs.agg(F.max("batch")).scalar() + 1))
+    steps = pairs.select(step.alias("batch"), n.alias("edge_pos"), n.alias("eid"), "src", "dst", "t")
+    state = memory.fold_batches(steps, base.edge_features(spark, d), [0, 1, 2, 3], 4, 4)
+    return state.select("node", "mem_t", "mail_t", F.round(F.aggregate(F.coalesce("mem", V.zeros(4)), F.lit(0.0), lambda s, x: s + x), 6).alias("mem_sum"))
