@@ -92,10 +92,9 @@ def dense(rows: DataFrame, vector: str, weights: np.ndarray, bias: np.ndarray, o
     def layer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, b = sent.value
         for s in batches:
-            got = s.notna()
-            res = pd.Series([None] * len(s), dtype=object)
-            if got.any():
-                res[got.to_numpy()] = list(np.stack(s[got].to_list()).astype(float) @ w.T + b)
+            got = [x for x in s if x is not None]
+            rows_out = iter(np.stack(got).astype(float) @ w.T + b) if got else iter(())
+            res = pd.Series([None if x is None else next(rows_out) for x in s], dtype=object)
             yield res
 
     return rows.withColumn(out, layer(vector))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.session import written
+
 
 class Adam:
     def __init__(self, size: int, rate: float) -> None:
@@ -38,6 +40,7 @@ def train(rows: DataFrame, width: int, epochs: int = 5, rate: float = 0.1) -> tu
     sees them. All rows are used in each step. Without rows the weights stay 0.
     """
     good = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))).select("x", "y")
+    good = written(good, "training")
     w, adam, losses = np.zeros(width + 1), Adam(width + 1, rate), []
     for _ in range(epochs):
         now = w.copy()
