@@ -70,7 +70,7 @@ def emails(t: str) -> Iterator[tuple[int, int]]:
 # ---- phone, identity number -----------------------------------------------------------------------------------------
 _NUMBER = re.compile(r"(?<![\w.,+/:#-])(?:[A-Z]{1,2} ?)?[+(]?\d(?:[\d ().+-]{4,}\d)(?:-?[A-Z]\b| [A-D]\b)?")
 _PHONE = re.compile("(?:" + "|".join(f"(?:{p})" for p in PHONE_FORMS) + r")(?![\w%]|[.,:-]\d)")
-_NOT_PHONE = re.compile(r"(?:isbn|sku|invoice|part no\.?|order(?: number)?|build|rev|epoch|version|serial|ticket|id|port|range|tax id|ssn)[ :#=\"']*\Z", re.I)
+_NOT_PHONE = re.compile(r"(?<![A-Za-z_])(?:isbn|sku|invoice|part no\.?|order(?: number)?|build|rev|epoch|version|serial|ticket|id|port|range|tax id|ssn)[ :#=\"']*\Z", re.I)
 _VALUE = re.compile("(?:" + "|".join(ID_VALUES) + r")(?![\w]|-\d|\.\d)")
 _LABEL = re.compile(r"(?<![^\W_])(?:" + "|".join(ID_LABELS) + r")(?![^\W_])(?:['\"]| of (?:the|a|our|my) \w+(?: \w+)?)?(?: ?[:=#] ?| is | )?[ '\"]{0,2}\Z", re.I)
 
@@ -94,7 +94,7 @@ def numbers(t: str) -> Iterator[tuple[int, int, str]]:
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŠŽ][\w’'-]*"
 _SP = r"(?: |\s*\n[ \t]*(?://|#|\*|--)?[ \t]*)"
 _TAIL = rf"(?:,? (?:Apt|Suite|Unit|Flat|No|Floor)\.? ?\w{{1,4}}| ?#\d{{1,4}})?(?:,?{_SP}(?:\d{{5}} )?{_CAP}(?: {_CAP}){{0,2}}(?:, [A-Z]{{2}})?(?: \d{{5}})?)?"
-_EN = rf"\d{{1,4}}[A-Za-z]? (?:{_CAP}\.? ){{1,4}}?(?:{'|'.join(EN_STREETS)})(?![\w'’])\.?" + _TAIL
+_EN = rf"\d{{1,4}}[A-Za-z]? (?:{_CAP}\.? ){{1,4}}?(?:{'|'.join(EN_STREETS)})(?!\w|['’]\w)\.?" + _TAIL
 _DE = rf"(?:(?:{'|'.join(DE_BEGINNINGS)}) (?:{_CAP} ?){{1,3}}|(?:{_CAP} )?[A-ZÄÖÜ][\wäöüß-]*?(?:{'|'.join(re.escape(x) for x in DE_ENDINGS)})|(?:{_CAP}[ -])?(?:Straße|Allee|Weg|Platz)) ?\d{{1,4}} ?[a-z]?(?![\w])" + _TAIL
 _FR = rf"\d{{1,4}}(?: ?(?:bis|ter))?,? (?:{'|'.join(re.escape(x) for x in FR_STREETS)}) (?:de la |de l['’]|des |du |de |d['’])?(?:{_CAP}[ -]?){{1,3}}" + _TAIL
 _ES = rf"(?:{'|'.join(re.escape(x) for x in ES_STREETS)}) ?(?:del |de las |de los |de la |de )?(?:{_CAP} ){{1,3}},? ?(?:n[.º°]+ ?)?\d{{1,4}}(?!\w)" + _TAIL
