@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIDES = ("src", "dst")
@@ -15,10 +15,14 @@ def heavy_keys(edges: DataFrame, share: float = 0.005, most: int = 400) -> DataF
     to be missed; a key missed or named too much only costs balance, never rightness).
     """
     tracked = max(10 * most, int(8 / share))
-    total = F.count(F.lit(1)).alias("_total")
-    found = edges.agg(total, *(F.expr(f"approx_top_k({s}, {most}, {tracked})").alias(s) for s in SIDES))
-    each = [found.select(F.lit(s).alias("side"), "_total", F.explode(s).alias("_x")) for s in SIDES]
-    return each[0].union(each[1]).filter(F.col("_x.count") >= F.col("_total") * share).select("side", F.col("_x.item").cast("long").alias("node"))
+    kind = "array<struct<side:string,node:bigint,n:bigint>>"
+
+    def top(side: str) -> Column:
+        best = F.expr(f"approx_top_k({side}, {most}, {tracked})")
+        return F.coalesce(F.transform(best, lambda x: F.struct(F.lit(side).alias("side"), x["item"].cast("long").alias("node"), x["count"].alias("n"))), F.array().cast(kind))
+
+    found = edges.agg(F.count(F.lit(1)).alias("_total"), F.concat(*map(top, SIDES)).alias("_top"))
+    return found.select("_total", F.explode("_top").alias("_x")).filter(F.col("_x.n") >= F.col("_total") * share).select("_x.side", "_x.node")
 
 
 def node_results(edges: DataFrame, salts: int = 64, share: float = 0.005) -> DataFrame:
