@@ -14,6 +14,12 @@ WITHIN = 3
 TOP = 20
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents; a table in fewer pieces than there are cores is spread by doc_id first, as work on texts is long."""
+    docs, cores = table(spark, d, "documents"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(2 * cores, "doc_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.found_pairs(table(spark, d, "edges"), WITHIN)
 
@@ -31,18 +37,18 @@ def p5_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenise.encode_corpus(table(spark, d, "documents"))
+    return tokenise.encode_corpus(_documents(spark, d))
 
 
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Per document, whether decoding its ids gives its text again (a null text counts as empty)."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
-    back = tokenise.decode_corpus(tokenise.encode_corpus(table(spark, d, "documents")))
+    docs = _documents(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
+    back = tokenise.decode_corpus(tokenise.encode_corpus(_documents(spark, d)))
     return docs.join(back, "doc_id").select("doc_id", (F.col("was") == F.col("text")).alias("same"))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     return packing.fill_containers(packing.token_sizes(docs), table(spark, d, "container_spec"), n_items=docs.count())
 
 
@@ -51,11 +57,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+    return pii.found(_documents(spark, d), table(spark, d, "name_lexicon"))
 
 
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
-    return pii.sanitise(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+    return pii.sanitise(_documents(spark, d), table(spark, d, "name_lexicon"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_top, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_clean)}
