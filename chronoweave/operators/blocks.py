@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 def latest_features(features: DataFrame, key: str, width: int, loaded: str | None = None) -> DataFrame:
     """One whole vector per key (key, f): null, short, long and NaN vectors are left out, the last loaded wins, then the least.
 
-    Whole-row copies so come out once; a null load time is older than any other. A null key is left out.
+    Whole-row copies so come out once; a null load time is older than any other. A null key is left out. Copies merge map-side.
     """
     good = features.filter(F.col(key).isNotNull() & (F.size("f") == width) & ~F.exists("f", lambda x: x.isNull() | F.isnan(x)))
-    order = [F.col("f")] if loaded is None else [F.col(loaded).desc_nulls_last(), F.col("f")]
-    return good.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").select(key, "f")
+    minus = lambda c: F.transform(c, lambda x: -x)
+    when = F.lit(None).cast("timestamp") if loaded is None else F.col(loaded)
+    best = good.groupBy(key).agg(F.max(F.struct(when.alias("w"), minus(F.col("f")).alias("m"))).alias("_b"))
+    return best.select(key, minus(F.col("_b.m")).alias("f"))
 
 
 def coo(block: DataFrame, batch: str = "batch") -> DataFrame:

@@ -57,9 +57,14 @@ def ring_slots(mails: DataFrame, slots: int) -> DataFrame:
 
 
 def mailbox(mails: DataFrame, slots: int) -> DataFrame:
-    """Content after all batches: the last mail of every slot of a node."""
-    w = Window.partitionBy("node").orderBy(F.col("batch").desc())
-    return ring_slots(mails, slots).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= slots).drop("_n")
+    """Content after all batches: the last mail of every slot of a node. mails: at most one row per (batch, node).
+
+    Only the newest `slots` mails of a node pass the limit before the shuffle, and slots follow from the node's number of mails.
+    """
+    age = F.row_number().over(Window.partitionBy("node").orderBy(F.col("batch").desc()))
+    newest = mails.withColumn("_age", age).filter(F.col("_age") <= slots)
+    turns = mails.groupBy("node").agg(F.count(F.lit(1)).alias("_turns"))
+    return newest.join(turns, "node").withColumn("slot", F.pmod(F.col("_turns") - F.col("_age"), F.lit(slots)).cast("int")).drop("_turns", "_age")
 
 
 def next_slots(mails: DataFrame, slots: int) -> DataFrame:

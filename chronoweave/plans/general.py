@@ -69,6 +69,14 @@ shaped as (select line_id, fmt, s, case when fmt = 'ws' then regexp_full_match(s
 cells as (select line_id, fmt, shaped, case when shaped then list_transform(string_split(regexp_replace(regexp_replace(s, '["\\r]', '', 'g'), case when fmt = 'ws' then '[ \\t]+' else '[ \\t]*,[ \\t]*' end, ',', 'g'), ','), lambda x: try_cast(trim(x, ' ' || chr(9)) as hugeint)) end as v from shaped),
 judged as (select line_id, fmt, v, coalesce(shaped and len(list_filter(v, lambda x: x is null or x > 2147483647)) = 0 and (fmt = 'ws' or v[5] <= 2), false) as ok from cells)
 """
+_QFIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_UNQUOTED = "trim(case when x[1] = '\"' then replace(substr(x, 2, len(x) - 2), '\"\"', '\"') else x end, ' ' || chr(9) || chr(13))"
+_LABEL = "case when f[i] = '' then n[i] || ':empty' when not regexp_full_match(f[i], '[0-9]+') then n[i] || ':not_digits' when coalesce(try_cast(f[i] as hugeint), 9999999999) > case n[i] when 'ext_roll' then 2 else 2147483647 end then n[i] || ':out_of_range' end"
+_REJECTS = f"""
+lines as (select *, {_TRIM} as s from raw_edges where line_no is distinct from 1),
+fields as (select *, case when fmt = 'ws' then string_split_regex(s, '[ \t]+') when regexp_full_match(s, '{_QFIELD}(,{_QFIELD})*', 's') then list_transform(regexp_extract_all(s || ',', '({_QFIELD}),', 1), lambda x: {_UNQUOTED}) end as f, case when fmt = 'ws' then ['src', 'dst', 'time'] else ['eid', 'src', 'dst', 'time', 'ext_roll'] end as n from lines),
+told as (select line_id, file_name, line_no, fmt, line, case when f is null then 'broken_quoting' when s = '' then 'empty_line' when len(f) <> len(n) then 'column_count:' || len(f) else nullif(array_to_string(list_filter(list_transform(range(1, len(n) + 1), lambda i: {_LABEL}), lambda x: x is not null), '; '), '') end as reason from fields)
+"""
 _SESSIONS = f"""
 rows_ as (select src, time, case when time - lag(time) over (partition by src order by time) <= {GAP} then 0 else 1 end as first from edges where src is not null and time is not null),
 numbered as (select src, time, sum(first) over (partition by src order by time rows unbounded preceding) as no from rows_),
@@ -83,6 +91,8 @@ nodes as (
 ORACLES: dict[str, str] = {
     "p1_found": f"with {_LINES} select line_id from judged where not ok",
     "p1_edges": f"with {_LINES} select line_id, cast(v[case when fmt = 'ws' then 1 else 2 end] as bigint) as src, cast(v[case when fmt = 'ws' then 2 else 3 end] as bigint) as dst, cast(v[case when fmt = 'ws' then 3 else 4 end] as bigint) as time from judged where ok",
+    "p1_rejects": f"with {_REJECTS} select * from told where reason is not null",
+    "p1_reasons": f"with {_REJECTS} select fmt, reason, count(*) as n_lines from told where reason is not null group by fmt, reason",
     "p2_found": f"with {_SESSIONS} select src, start_time, end_time from s",
     "p2_sessions": f"with {_SESSIONS} select src, start_time, end_time, duration, n_events from s",
     "p2_summary": f"with {_SESSIONS} select src, count(*) as n_sessions, cast(sum(n_events) as bigint) as n_events, max(duration) as longest, cast(sum(duration) as bigint) as total_duration from s group by src",

@@ -2,11 +2,11 @@
 
 import pytest
 
-from chronoweave.plans import general, graph, models
+from chronoweave.plans import general, graph, models, streams
 from tests.oracle import compare, connect
 
-QUERIES = general.QUERIES | graph.QUERIES | models.QUERIES
-ORACLES = general.ORACLES | graph.ORACLES | models.ORACLES
+QUERIES = general.QUERIES | graph.QUERIES | models.QUERIES | streams.QUERIES
+ORACLES = general.ORACLES | graph.ORACLES | models.ORACLES | streams.ORACLES
 
 
 @pytest.fixture(scope="module")
