@@ -56,6 +56,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, d), table(spark, d, "container_spec"))
 
 
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Per spec the number of documents placed and of containers that are over their capacity or hold pieces out of place."""
+    placed = p7_containers(spark, d).join(table(spark, d, "container_spec").select("spec_id", "capacity"), "spec_id")
+    docs = placed.filter("piece = 0").groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    per = placed.groupBy("spec_id", "container_id", "capacity").agg(F.sum("n_tokens").alias("n"), F.max(F.col("offset") + F.col("n_tokens")).alias("end"))
+    bad = per.groupBy("spec_id").agg(F.sum(((F.col("n") > F.col("capacity")) | (F.col("n") != F.col("end"))).cast("long")).alias("n_bad"))
+    return docs.join(bad, "spec_id").select("spec_id", "n_docs", "n_bad")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found(_documents(spark, d), table(spark, d, "name_lexicon"))
 
@@ -64,7 +73,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return pii.sanitise(_documents(spark, d), table(spark, d, "name_lexicon"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_top, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_top, p6_ids, p6_round_trip, p7_containers, p7_fill, p7_whole, p8_found, p8_clean)}
 
 _PAIRS = f"""
 k as (select eid, time, ext_roll, source, least(src, dst) as lo, greatest(src, dst) as hi from edges where src is not null and dst is not null and time is not null and ext_roll in (0, 1, 2)),
@@ -78,6 +87,8 @@ ORACLES: dict[str, str] = {
     "p3_found": f"with {_PAIRS} select least(a, b) as eid_a, greatest(a, b) as eid_b from p",
     "p3_report": f"""with {_PAIRS}, near as (select b, min(abs(gap)) as gap from p group by b)
 select case when ext_roll = 1 then 'val' else 'test' end as split, source, count(*) as n_rows, count(gap) as n_overlap, cast(count(*) filter (gap = 0) as bigint) as n_exact from k left join near on b = eid where ext_roll > 0 group by ext_roll, source""",
+    "p6_round_trip": "select doc_id, true as same from documents",
+    "p7_whole": "select spec_id, (select count(*) from documents) as n_docs, cast(0 as bigint) as n_bad from container_spec",
     "p5_found": f"with {_TOP} select side, node from r where rk <= {TOP}",
     "p5_top": f"with {_TOP} select side, node, n_rows from r where rk <= {TOP}",
 }
