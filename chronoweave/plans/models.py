@@ -497,15 +497,28 @@ def _updates(spark: SparkSession, d: str, cell: str) -> DataFrame:
     if cell == "transformer":
         m = memory.mailbox(m, SLOTS).groupBy("node").agg(F.max("batch").alias("batch"), F.max("t").alias("t"), F.transform(F.sort_array(F.collect_list(F.struct("batch", "mail"))), lambda x: x["mail"]).alias("mail"))
     reads = m.join(state, "node", "left").withColumns({"mail_t": F.col("t"), "mem_t": F.lit(20000000).cast("long")})
-    return memory.updated(reads, cell, 4).select("node", "batch", F.posexplode("mem").alias("pos", "v")).select("node", "batch", "pos", F.round("v", 6).alias("value"))
+    return memory.updated(reads, cell, 4).select("node", "batch", F.posexplode("mem").alias("pos", "v")).select("node", "batch", "pos", (F.round("v", 6) + F.lit(0.0)).alias("value"))
 
 
-@query()
+_CELL = f"{_MAILS}, c0 as (select l.node, l.batch, list_concat(mail, {te('(l.t - 20000000)::double', 4)}) as x, {zs('nf.f[1:4]', 4)} as h from lasts l left join nf on nf.id = l.node)"
+_CELL_OUT = "select node, batch, cast(p as integer) as pos, round(v[p + 1], 6) + 0.0 as value from {}, " + _P4
+
+
+def _mat(x: str, seed: int) -> str:
+    return lin(x, 4, seed, False)
+
+
+_GRU = f"""{_CELL}, c1 as (select node, batch, h, {_mat('x', 20)} as xr, {_mat('x', 21)} as xz, {_mat('x', 22)} as xn, {_mat('h', 23)} as hr, {_mat('h', 24)} as hz, {_mat('h', 25)} as hn from c0),
+c2 as (select node, batch, h, xn, hn, list_transform(range(1, 5), lambda i: 1 / (1 + exp(-(xr[i] + hr[i])))) as r, list_transform(range(1, 5), lambda i: 1 / (1 + exp(-(xz[i] + hz[i])))) as z from c1),
+c3 as (select node, batch, list_transform(range(1, 5), lambda i: (1 - z[i]) * tanh(xn[i] + r[i] * hn[i]) + z[i] * h[i]) as v from c2) {_CELL_OUT.format('c3')}"""
+
+
+@query(_GRU)
 def mem12_gru_updater(spark: SparkSession, d: str) -> DataFrame:
     return _updates(spark, d, "gru")
 
 
-@query()
+@query(f"{_CELL}, c1 as (select node, batch, {_mat('x', 30)} as a, {_mat('h', 31)} as b from c0), c2 as (select node, batch, list_transform(range(1, 5), lambda i: tanh(a[i] + b[i])) as v from c1) {_CELL_OUT.format('c2')}")
 def mem13_rnn_updater(spark: SparkSession, d: str) -> DataFrame:
     return _updates(spark, d, "rnn")
 
