@@ -38,15 +38,20 @@ def last_per_batch(rows: DataFrame, pos: str = "pos") -> DataFrame:
     return best.select("batch", "node", "_b.*")
 
 
-def state_before(writes: DataFrame, reads: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+def state_before(writes: DataFrame, reads: DataFrame, key: list[str], fields: list[str], span: int = 1000) -> DataFrame:
     """For each read (key, batch, node) the fields of the node's last write in an earlier batch, null before the first.
 
-    writes: at most one row per (batch, node).
+    writes: at most one row per (batch, node). Batches are taken in stretches of `span`: the last write is looked for within the
+    stretch, else in the one carried over from the stretches before, so a node of very many batches isn't one task.
     """
     w = writes.select("node", "batch", F.lit(1).alias("_o"), F.struct(*fields).alias("_w"))
     r = reads.select("node", "batch", F.lit(0).alias("_o"), F.struct(*key).alias("_r"))
-    last = F.last("_w", ignorenulls=True).over(Window.partitionBy("node").orderBy("batch", "_o").rowsBetween(Window.unboundedPreceding, 0))
-    seen = w.unionByName(r, allowMissingColumns=True).withColumn("_l", last).filter("_r is not null")
+    both = w.unionByName(r, allowMissingColumns=True).withColumn("_s", F.floor(F.col("batch") / span))
+    inside = F.last("_w", ignorenulls=True).over(Window.partitionBy("node", "_s").orderBy("batch", "_o").rowsBetween(Window.unboundedPreceding, 0))
+    per = both.groupBy("node", "_s").agg(F.max_by("_w", F.when(F.col("_o") == 1, F.col("batch"))).alias("_last"))
+    carried = F.last("_last", ignorenulls=True).over(Window.partitionBy("node").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    before = per.select("node", "_s", carried.alias("_c"))
+    seen = both.withColumn("_l", inside).filter("_o = 0").join(before, ["node", "_s"]).withColumn("_l", F.coalesce("_l", "_c"))
     return seen.select("_r.*", "batch", "node", *(F.col(f"_l.{f}").alias(f) for f in fields))
 
 

@@ -124,19 +124,35 @@ def uniform(edges: DataFrame, queries: DataFrame, key: list[str], k: int, seed:
     return _picked(edges, each.select(*keys, F.col("node").alias("root"), F.col("t").alias("root_t"), "nbr_pos", rk.alias("rk")), keys, heavy)
 
 
+def pointer_times(queries: DataFrame, batch: str, span: int = 1000) -> DataFrame:
+    """node, batch and _top, the greatest t that was asked of the node in this or any earlier batch.
+
+    Queries merge per (node, batch) first; batches are taken in stretches of `span`, with the greatest of the stretches before.
+    """
+    per = queries.groupBy("node", batch).agg(F.max("t").alias("_m")).withColumn("_s", F.floor(F.col(batch) / span))
+    inside = F.max("_m").over(Window.partitionBy("node", "_s").orderBy(batch).rowsBetween(Window.unboundedPreceding, 0))
+    ends = per.groupBy("node", "_s").agg(F.max("_m").alias("_e"))
+    before = ends.select("node", "_s", F.max("_e").over(Window.partitionBy("node").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)).alias("_b"))
+    return per.withColumn("_i", inside).join(before, ["node", "_s"]).select("node", batch, F.greatest("_i", "_b").alias("_top"))
+
+
+def stateful_position(edges: DataFrame, queries: DataFrame, key: list[str], batch: str) -> DataFrame:
+    """key, node, t, pointer_time, pos: how many edges the forward-only pointer has passed when the batch is asked."""
+    q = queries.filter("node is not null and t is not null")
+    q = q.join(pointer_times(q, batch), ["node", batch])
+    p = _probes(q, key, 2, F.col("_top"), {"at": F.col("t")})
+    return _ranked_with(edges, p, heavy_nodes(edges)).filter("_kind = 2").select("_query.*", "node", F.col("t").alias("pointer_time"), F.col("_pos").alias("pos")).withColumnRenamed("at", "t")
+
+
 def recent_stateful(edges: DataFrame, queries: DataFrame, key: list[str], batch: str, k: int) -> DataFrame:
     """Compatibility form with one forward-only pointer per node: positions are taken at the latest time asked so far.
 
     The pointer stands after the edges up to (and at) the greatest t of the node in this and all earlier batches; k places before
     it are looked at, without the node's oldest edge, and those strictly before the query's own t are returned.
     """
-    heavy = heavy_nodes(edges)
-    w = Window.partitionBy("node").orderBy(batch).rangeBetween(Window.unboundedPreceding, 0)
-    q = queries.filter("node is not null and t is not null").withColumn("_top", F.max("t").over(w))
-    p = _probes(q, key, 2, F.col("_top"), {"at": F.col("t")})
-    pos = _ranked_with(edges, p, heavy).filter("_kind = 2").select("_query.*", "node", F.col("_pos").alias("hi"))
-    asked = pos.filter("hi > 1").select(*key, F.col("node").alias("root"), F.col("at").alias("root_t"), "hi", F.explode(F.sequence(F.greatest(F.lit(2), F.col("hi") - k + 1), F.col("hi"))).alias("rk"))
-    return _picked(edges, asked.withColumn("nbr_pos", (F.col("hi") - F.col("rk")).cast("int")).drop("hi"), key, heavy).filter("t < root_t")
+    pos = stateful_position(edges, queries, key, batch).select(*key, F.col("node").alias("root"), F.col("t").alias("root_t"), F.col("pos").alias("hi"))
+    asked = pos.filter("hi > 1").withColumn("rk", F.explode(F.sequence(F.greatest(F.lit(2), F.col("hi") - k + 1), F.col("hi"))))
+    return _picked(edges, asked.withColumn("nbr_pos", (F.col("hi") - F.col("rk")).cast("int")).drop("hi"), key, heavy_nodes(edges)).filter("t < root_t")
 
 
 def next_roots(queries: DataFrame, block: DataFrame, key: list[str], keep_root_time: bool = False) -> DataFrame:

@@ -210,12 +210,7 @@ _STATE = f"{E}, {R}, ranked as (select *, row_number() over (partition by src or
 
 @query(f"{_STATE} select batch, root_pos, node, top as pointer_time, hi as pos from p")
 def smp01_stateful_position(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    e, q = base.edges(spark, d), base.queries(spark, d)
-    w = Window.partitionBy("node").orderBy("batch").rangeBetween(Window.unboundedPreceding, 0)
-    topped = q.withColumn("t", F.max("t").over(w) + 1)
-    return sampler.asof_position(e, topped, KEY).select(*KEY, "node", (F.col("t") - 1).alias("pointer_time"), "pos")
+    return sampler.stateful_position(base.edges(spark, d), base.queries(spark, d), KEY, "batch").select(*KEY, "node", "pointer_time", "pos")
 
 
 @query(f"{E}, {R} select batch, root_pos, node, q.t, count(n.eid) as pos from r q left join e n on n.src = q.node and n.t < q.t group by batch, root_pos, node, q.t")

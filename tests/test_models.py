@@ -53,8 +53,9 @@ def test_mails_of_a_batch_and_ring(spark):
 def test_state_is_read_before_the_batch(spark):
     writes = spark.createDataFrame([(0, 1, "a"), (2, 1, "b")], "batch long, node long, v string")
     reads = spark.createDataFrame([(k, b, 1) for k, b in enumerate([0, 1, 2, 3])] + [(9, 5, 4)], "k long, batch long, node long")
-    got = {r.k: r.v for r in memory.state_before(writes, reads, ["k"], ["v"]).collect()}
-    assert got == {0: None, 1: "a", 2: "a", 3: "b", 9: None}
+    for span in (1, 2, 1000):
+        got = {r.k: r.v for r in memory.state_before(writes, reads, ["k"], ["v"], span).collect()}
+        assert got == {0: None, 1: "a", 2: "a", 3: "b", 9: None}
 
 
 def test_fold_reads_what_the_batch_before_wrote(spark):

@@ -27,6 +27,15 @@ def test_golden_clean_and_stateful(spark):
     assert picks(sampler.recent_stateful(e, q, KEY, "batch", 3)) == STATEFUL
 
 
+def test_pointer_times_in_stretches(spark):
+    rng = random.Random(8)
+    rows = [(b, p, rng.randint(0, 3), rng.randint(0, 50)) for b in range(9) for p in range(3)]
+    q = spark.createDataFrame(rows, QUERIES)
+    want = {(n, b): max(r[3] for r in rows if r[2] == n and r[0] <= b) for b, _, n, _ in rows}
+    for span in (1, 2, 4, 1000):
+        assert {(r.node, r.batch): r._top for r in sampler.pointer_times(q, "batch", span).collect()} == want
+
+
 def random_graph(seed, n=600, nodes=9):
     rng = random.Random(seed)
     edges = [(i, min(rng.randint(0, nodes), rng.randint(0, nodes)), rng.randint(0, nodes), rng.randint(0, 120), rng.randint(0, 2)) for i in range(n)]
