@@ -61,7 +61,12 @@ def ranked_edges(edges: DataFrame, heavy=_FIND) -> DataFrame:
     return _ranked_with(edges, None, heavy).select(F.col("node").alias("src"), F.col("_pos").alias("rk"), F.col("_edge.eid").alias("eid"), F.col("_edge.dst").alias("dst"), "t")
 
 
+_OWN = {"node", "t", "eid", "dt", "root", "root_t", "nbr_pos", "rk", "snap", "lo", "hi", "pos", "at"}
+
+
 def _probes(queries: DataFrame, key: list[str], kind: int, t: Column, extra: dict[str, Column] | None = None) -> DataFrame:
+    if clash := _OWN & set(key):
+        raise ValueError(f"key columns with names of the result's own: {sorted(clash)}")
     return queries.select("node", t.alias("t"), F.lit(kind).alias("_kind"), F.struct(*key, *((c.alias(n)) for n, c in (extra or {}).items())).alias("_query"))
 
 
