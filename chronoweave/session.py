@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,13 +40,31 @@ def shared_dir(spark: SparkSession) -> str:
         if found:
             return found
         named = tempfile.mkdtemp(prefix="chronoweave-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
+        return spark.sparkContext.getCheckpointDir()
     return named
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back, so that later stages don't hang on its lineage."""
+    """Write df as Parquet below the shared folder and read it back, so that later stages don't hang on its lineage.
+
+    The files stay until drop_written, as results that are still lazy read them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that written() left in the shared folder, once no result needs them any more; their number."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
