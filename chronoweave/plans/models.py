@@ -202,7 +202,7 @@ def gop04_pointers_by_target(spark: SparkSession, d: str) -> DataFrame:
     return blocks.row_pointers(_block(spark, d).select("batch", F.col("node").alias("root_pos")))
 
 
-_NODE_SUM = f"{_B}, {NF}, x as (select batch, root_pos, f from b join nf on nf.id = b.node) select batch, root_pos, cast(p - 1 as integer) as pos, round(sum(cast(f[p] as double)), 6) as value from x, (select unnest(range(1, 9)) as p) group by all"
+_NODE_SUM = f"{_B}, {NF}, x as (select batch, root_pos, f from b join nf on nf.id = b.node) select batch, root_pos, cast(p - 1 as integer) as pos, round(sum(cast(f[p] as double)), 6) + 0.0 as value from x, (select unnest(range(1, 9)) as p) group by all"
 
 
 @query(_NODE_SUM)
@@ -211,7 +211,7 @@ def gop05_scatter_sum(spark: SparkSession, d: str) -> DataFrame:
     return kernels.scatter_sum(rows, KEY, "f").withColumn("value", F.round("value", 6))
 
 
-@query(f"{_B}, {NF}, x as (select node, f from b join nf on nf.id = b.node) select node, cast(p - 1 as integer) as pos, round(sum(cast(f[p] as double)), 6) as value from x, (select unnest(range(1, 9)) as p) group by all")
+@query(f"{_B}, {NF}, x as (select node, f from b join nf on nf.id = b.node) select node, cast(p - 1 as integer) as pos, round(sum(cast(f[p] as double)), 6) + 0.0 as value from x, (select unnest(range(1, 9)) as p) group by all")
 def gop06_segment_sum(spark: SparkSession, d: str) -> DataFrame:
     """Sums by neighbour instead of root: the other direction of the block."""
     rows = blocks.gather(_block(spark, d), base.node_features(spark, d), "node", "id")
@@ -433,7 +433,7 @@ def _flat(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by, *(F.round(F.col("mail")[i], 6).alias(f"m{i}") for i in range(6)))
 
 
-_M = ", ".join(f"round(mail[{i + 1}], 6) as m{i}" for i in range(6))
+_M = ", ".join(f"round(mail[{i + 1}], 6) + 0.0 as m{i}" for i in range(6))
 
 
 @query(f"{_MAILS}, q as (select distinct batch, node from mails) select q.batch, q.node, (select max(l.batch) from lasts l where l.node = q.node and l.batch < q.batch) as written_in from q")
