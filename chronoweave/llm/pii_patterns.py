@@ -6,7 +6,7 @@ Whether a candidate is a name is decided elsewhere, from statistics of the whole
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 # ---- fixed values: words and forms that mark the kinds -------------------------------------------------------------
 FILE_ENDINGS = "bmp bz2 c cc class cpp css csv dll exe gif go gz h hpp htm html ico jar java jpeg jpg js json jsx lock log lua md mjs mp3 mp4 o pdf php png py rb rs sh so sql svg tar tgz toml ts tsx txt wasm webp woff xml yaml yml zip".split()
@@ -28,6 +28,11 @@ DE_ENDINGS = "straße strasse str. allee weg pfad platz gasse ring damm ufer ste
 DE_BEGINNINGS = ["Am", "An der", "An den", "Auf dem", "Auf der", "Im", "In der", "Zum", "Zur", "Unter den", "Hinter der"]
 FR_STREETS = ["rue", "avenue", "av.", "bd", "boulevard", "impasse", "place", "allée", "chemin", "quai", "cours", "route", "passage", "square"]
 ES_STREETS = ["Calle", "C/", "Avda.", "Avenida", "Av.", "Plaza", "Paseo", "Pza.", "Camino", "Ronda", "Travesía", "Carrera"]
+# For text all in capitals or all in lower case: other languages' street words that are no everyday words ("hashring 9", "STRING 5"),
+# English ones that are, so that in lower case no word may follow them, and words that are in no street's name.
+ONE_CASE = {"de": ["straße", "strasse", "str.", "allee", "gasse", "chaussee", "weg"], "fr": ["rue", "boulevard", "impasse", "allée", "chemin", "quai"], "es": ["calle", "c/", "avda."]}
+EN_OPEN = "st ave dr ct court cres way ter place pl close square sq row hill parade walk gardens grove drive".split()
+NO_STREETS = "a an the this that these those it its of in on at to by per for from with and or not is are was be as no any each every more most other such same different new only hours? minutes? min days? weeks? months? years? seconds? sec ms miles? km m gb mb kb tb bytes? bits? lines? items? rows? columns? people times? percent".split()
 PARTICLES = ["von der", "von", "van der", "van den", "van", "de la", "de los", "de", "del", "della", "di", "da", "dos", "du", "ter", "ten", "zu", "zum", "bin", "ibn", "al", "el", "le", "la"]
 FIRM_ENDINGS = "Ltd Inc LLC GmbH AG Corp Co Systems Project Contributors Authors Group Foundation Team Labs".split()
 NAME_CUES = r"(?:[Aa]uthor|AUTHOR|[Mm]aintainer|[Cc]ontact|[Oo]wner|[Nn]ame|[Hh]older|by|[Bb]y|to|à|a|from|of|ask|ping|week|Ansprechpartner)"
@@ -105,6 +110,30 @@ _HINTS = {
 _HINTED = [(re.compile("|".join(map(re.escape, hints))), re.compile(rf"(?<![\w.,:/@#$-])(?:{p})")) for p, hints in _HINTS.items()]
 
 
+def _one_case(case: Callable[[str], str]) -> Iterator[tuple[re.Pattern, re.Pattern]]:
+    """Hints and patterns like the above for text of one case. A town in a line of its own needs a state or a postcode."""
+    lower = case("A") == "a"
+    c = "a-zà-öø-ÿßłšž" if lower else "A-ZÀ-ÖØ-ÞŁŠŽ"
+    some = lambda xs: "(?:" + "|".join(re.escape(case(x)) for x in xs) + ")"
+    word = (rf"(?!(?:{'|'.join(NO_STREETS)})(?!\w))" if lower else "") + rf"[{c}](?:[{c}ß’'-]*[{c}ß])?(?!\w)"
+    last = r"(?! ?\w)" if lower else rf"(?! ?[{c}])"
+    town, state, code = rf"{word}(?: {word}){{0,2}}", rf", [{c[:3]}]{{2}}(?!\w)", r" \d{5}(?!\w)"
+    unit = rf"(?:,? {some(['Apt', 'Suite', 'Unit', 'Flat', 'No', 'Floor'])}\.? ?\w{{1,4}}(?!\w)| ?#\d{{1,4}}(?!\w))?"
+    tail = rf"{unit}(?:,?{_SP}(?:\d{{5}} (?:{town}{last}|{word})|{town}(?:{state}(?:{code})?|{code}))|, {town}{last})?"
+    number = r"\d(?<![\w.,:/@#$-]\d)\d{0,3}"  # a digit first is quick to look for
+    hard = [x for x in EN_STREETS if not lower or x.lower() not in EN_OPEN]
+    en = rf"{number}[A-Za-z]? (?:{word}\.? ){{1,4}}(?:{some(hard)}|{some(EN_STREETS)}(?!\.? ?{word}))(?!\w|['’]\w)\.?"
+    fr = rf"{number}(?: ?{some(['bis', 'ter'])})?,? {some(ONE_CASE['fr'])} (?:{some(['de la', 'des', 'du', 'de'])} |{some(['de l', 'd'])}['’])?(?:{word}(?:[ -]{word}){{0,2}}{last}|{word})"
+    de_end, es_begin = some(ONE_CASE["de"]), some(ONE_CASE["es"])
+    de = rf"(?<![\w.,:/@#$-])[{c}][{c}-]{{2,}}?{de_end} ?\d{{1,4}} ?[A-Za-z]?(?!\w)"
+    es = rf"(?<![\w.,:/@#$-]){es_begin} (?:{some(['del', 'de las', 'de los', 'de la', 'de'])} )?{word}(?: {word}){{0,2}},? ?(?:{case('n')}[.º°]+ ?)?\d{{1,4}}(?!\w)"
+    for hint, p in ((en, en), (fr, fr), (rf"{de_end} ?\d", de), (rf"{es_begin} ", es)):
+        yield re.compile(hint), re.compile(p + tail)
+
+
+_HINTED += [*_one_case(str.upper), *_one_case(str.lower)]
+
+
 def addresses(t: str) -> Iterator[tuple[int, int]]:
     """Only the surroundings of words that mark a street are searched."""
     for hint, pattern in _HINTED:

@@ -20,6 +20,15 @@ CASES = [
     ("// C/ Molino Viejo 410, 00868 Grimsvale", [("C/ Molino Viejo 410, 00868 Grimsvale", "address")]),
     ("see Brindle Falls 00903 in the atlas", []),
 ]
+ONE_CASE = [
+    ("// 57 MILL POND STREET / tel.", ["57 MILL POND STREET"]), ('"ship_to": "252 LARKSPUR ROAD, LOWER TARN 00786", "label"', ["252 LARKSPUR ROAD, LOWER TARN 00786"]),
+    ("381 COPPERBEECH AVE., UNIT 36, GRIMSVALE, QX 00138;", ["381 COPPERBEECH AVE., UNIT 36, GRIMSVALE, QX 00138"]), ("AT 12B BEACON HILL AVENUE\n// AUTHOR: X", ["12B BEACON HILL AVENUE"]),
+    ("wohnhaft: 123 third lane\n# erreichbar unter", ["123 third lane"]), ("# 97 larkspur lane\n#  ostermoor, qx 00887\nor", ["97 larkspur lane\n#  ostermoor, qx 00887"]),
+    ("at 6 old quarry court #6 / tel.", ["6 old quarry court #6"]), ("at 41 copperbeech road, apt 3, port hallow.", ["41 copperbeech road, apt 3, port hallow"]),
+    ("10 items per row, 3 steps in this place, a 20 minute walk, 2 grid square sizes, hashring 9, STRING 5", []),
+    ("63, RUE DES TILLEULS, 00181 ASHWICK; 63, rue des tilleuls, 00181 ashwick", ["63, RUE DES TILLEULS, 00181 ASHWICK", "63, rue des tilleuls, 00181 ashwick"]),
+    ("MÜHLENSTRASSE 170A, 00628 LOWER TARN; mühlenstraße 170a", ["MÜHLENSTRASSE 170A, 00628 LOWER TARN", "mühlenstraße 170a"]), ("CALLE MOLINO VIEJO 410; calle molino viejo 410", ["CALLE MOLINO VIEJO 410", "calle molino viejo 410"]),
+]
 NAMES = [
     ("// Author: Amara Rusvgale", ["Amara Rusvgale"]), ("Thanks to Jonas L. von Okonquist.", ["Jonas L. von Okonquist"]), ("| Rusvgale-Okonquist, Amara | x", ["Rusvgale-Okonquist, Amara"]), ("AUTHOR: VICTOR O'RUSVGALE", ["VICTOR O'RUSVGALE"]),
     ("@author jonas rusvgale", ["jonas rusvgale"]), ("- A. Rusvgale (x)", ["A. Rusvgale"]), ("('Amara Rusvgale', 1)", ["Amara Rusvgale"]), ("Rusvgale & Okonquist Ltd.", []), ("press Victor Marker to go on", []), ("Dr. Rusvgale wants it", []),
@@ -38,6 +47,11 @@ def test_direct_finds():
         assert [(text[a:b], k) for a, b, k in got] == want, text
 
 
+def test_addresses_of_one_case():
+    for text, want in ONE_CASE:
+        assert [text[a:b] for a, b, k in sorted(pii.find_direct(text)) if k == "address"] == want, text
+
+
 def test_names_by_corpus_statistics(spark, lexicon):
     noise = ["the marker moved and marker = marker.next marker marker"] * 5
     rows = [(i, t, i) for i, (t, _) in enumerate(NAMES)] + [(1000 + i, t, 0) for i, t in enumerate(noise)]
