@@ -15,7 +15,7 @@ ID_LABELS = [
     r"ssn", r"social security(?: (?:no\.?|number|nr\.?))?", r"soc\. ?sec\. (?:no\.?|number)", r"tax id", r"taxpayer (?:number|id|no\.?)", r"tin", r"steuer-?id(?:-?nr\.?)?", r"steuernummer", r"dni(?: titular)?", r"documento", r"nif", r"nie",
     r"national id(?: (?:no\.?|number))?", r"national insurance(?: (?:no\.?|number))?", r"ni (?:no\.?|number)", r"nino", r"personal number", r"personnummer", r"passport(?: (?:no\.?|number|nr\.?))?", r"reisepass(?:-?(?:nr\.?|nummer))?",
 ]
-ID_VALUES = [r"\d{3}-\d{2}-\d{4}", r"\d{9}", r"\d{2} \d{3} \d{3} \d{3}", r"\d{11}", r"\d{2}\.\d{3}\.\d{3}-?[A-Z]", r"\d{8}-?[A-Z]", r"(?:\d{2})?\d{6}[-+]\d{4}", r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]", r"[A-Z]{1,2}\d{7}"]
+ID_VALUES = [r"\d{3}(?P<ssn>[- ])\d{2}(?P=ssn)\d{4}", r"\d{9}", r"\d{2} \d{3} \d{3} \d{3}", r"\d{11}", r"\d{2}\.\d{3}\.\d{3}-?[A-Z]", r"\d{8}-?[A-Z]", r"(?:\d{2})?\d{6}[-+]\d{4}", r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]", r"[A-Z]{1,2}\d{7}"]
 PHONE_FORMS = [
     r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,5}",
     r"00 ?[1-9]\d{0,2}[ -]?\(0\)[ -]?\d{2,5}(?:[ -]\d{2,6}){1,3}",

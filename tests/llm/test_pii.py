@@ -20,6 +20,10 @@ CASES = [
     ("// C/ Molino Viejo 410, 00868 Grimsvale", [("C/ Molino Viejo 410, 00868 Grimsvale", "address")]),
     ("see Brindle Falls 00903 in the atlas", []),
 ]
+SPACED = [
+    ("ssn of the test account: 000 45 3757\n", [("000 45 3757", "id_number")]), ("// soc. sec. number 000 03 2085", [("000 03 2085", "id_number")]), ('"social security no.": "954 23 3339"', [("954 23 3339", "id_number")]),
+    ("ssn 000-45 3757, ssn 000 45-3757", []), ("sku 000 25 6902, see 000 25 6902", []),
+]
 ONE_CASE = [
     ("// 57 MILL POND STREET / tel.", ["57 MILL POND STREET"]), ('"ship_to": "252 LARKSPUR ROAD, LOWER TARN 00786", "label"', ["252 LARKSPUR ROAD, LOWER TARN 00786"]),
     ("381 COPPERBEECH AVE., UNIT 36, GRIMSVALE, QX 00138;", ["381 COPPERBEECH AVE., UNIT 36, GRIMSVALE, QX 00138"]), ("AT 12B BEACON HILL AVENUE\n// AUTHOR: X", ["12B BEACON HILL AVENUE"]),
@@ -52,6 +56,11 @@ def test_addresses_of_one_case():
         assert [text[a:b] for a, b, k in sorted(pii.find_direct(text)) if k == "address"] == want, text
 
 
+def test_social_security_numbers_with_spaces():
+    for text, want in SPACED:
+        assert [(text[a:b], k) for a, b, k in sorted(pii.find_direct(text))] == want, text
+
+
 def test_names_by_corpus_statistics(spark, lexicon):
     noise = ["the marker moved and marker = marker.next marker marker"] * 5
     rows = [(i, t, i) for i, (t, _) in enumerate(NAMES)] + [(1000 + i, t, 0) for i, t in enumerate(noise)]
