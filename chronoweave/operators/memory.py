@@ -197,3 +197,73 @@ def fold_batches(edges: DataFrame, edge_features: DataFrame, batches: list[int],
         new = fresh.join(mails, "node", "left")
         state = written(state.join(nodes, "node", "left_anti").unionByName(new), "memory-state")
     return state
+
+
+_STATE = "node long, mem array<double>, mem_t long, mail array<double>, mail_t long"
+
+
+def _folded(edges: pd.DataFrame, state: pd.DataFrame, width: int, edge_width: int, cell: str, time_width: int) -> pd.DataFrame:
+    """The state of the nodes of edges after their batches in turn, as fold_batches has it."""
+    edges = edges.sort_values(["batch", "edge_pos"], kind="stable")
+    nodes = np.unique(edges[["src", "dst"]].to_numpy(np.int64))
+    n, deep = len(nodes), 2 * width + edge_width
+    mem, mem_t, mail, mail_t = np.zeros((n, width)), np.zeros(n, np.int64), np.zeros((n, deep)), np.zeros(n, np.int64)
+    has_mem, has_mail = np.zeros(n, bool), np.zeros(n, bool)
+    for r in state.itertuples(index=False):
+        i = np.searchsorted(nodes, r.node)
+        has_mem[i], has_mail[i] = r.mem is not None, r.mail is not None
+        if has_mem[i]:
+            mem[i], mem_t[i] = r.mem, r.mem_t
+        if has_mail[i]:
+            mail[i], mail_t[i] = r.mail, r.mail_t
+    src, dst = np.searchsorted(nodes, edges["src"].to_numpy(np.int64)), np.searchsorted(nodes, edges["dst"].to_numpy(np.int64))
+    t, batch = edges["t"].to_numpy(np.int64), edges["batch"].to_numpy(np.int64)
+    f = np.array([np.zeros(edge_width) if x is None else np.asarray(x, float) for x in edges["f"]]).reshape(len(edges), edge_width)
+    starts = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]])
+    for a, b in zip(starts, np.r_[starts[1:], len(edges)]):
+        s, d = src[a:b], dst[a:b]
+        ends = np.stack([s, d], 1).ravel()  # in order of pos
+        now = np.unique(ends)
+        take = now[has_mail[now]]
+        if len(take):
+            dt = (mail_t[take] - mem_t[take]).astype(float)
+            if cell == "transformer":
+                mem[take] = transformer_cell(mail[take][:, None, :], mem[take])
+            else:
+                mem[take] = CELLS[cell](np.concatenate([mail[take], time_code(dt, time_width)], 1), mem[take])
+            mem_t[take], has_mem[take] = mail_t[take], True
+        sent = np.stack([np.concatenate([mem[s], mem[d], f[a:b]], 1), np.concatenate([mem[d], mem[s], f[a:b]], 1)], 1).reshape(-1, deep)
+        last = len(ends) - 1 - np.unique(ends[::-1], return_index=True)[1]  # the last mail of each node, in order of now
+        mail[now], mail_t[now], has_mail[now] = sent[last], np.repeat(t[a:b], 2)[last], True
+    null = lambda v, has: pd.Series(v, dtype="Int64").mask(~has)
+    vector = lambda v, has: [x.tolist() if h else None for x, h in zip(v, has)]
+    return pd.DataFrame({"node": nodes, "mem": vector(mem, has_mem), "mem_t": null(mem_t, has_mem), "mail": vector(mail, has_mail), "mail_t": null(mail_t, has_mail)})
+
+
+def fold_stretches(edges: DataFrame, edge_features: DataFrame, width: int, edge_width: int, cell: str = "gru", most_edges: int = 50_000, time_width: int = 4) -> DataFrame:
+    """fold_batches over all batches of edges, with a job per stretch of batches instead of one per batch.
+
+    A stretch is as many whole batches as have `most_edges` edges together, and at least one. One task takes its batches one after
+    the other, with the state of the stretch's nodes only; the state is written after each stretch. Edges without src, dst or batch
+    aren't taken. The numbers of edges per batch come to the driver.
+    """
+    spark = edges.sparkSession
+    named = edges.filter("batch is not null and src is not null and dst is not null").select("batch", "edge_pos", "eid", "src", "dst", "t")
+    full = written(named.join(edge_features.select("eid", "f"), "eid", "left"), "memory-edges")
+    stretches: list[list[int]] = []
+    size = most_edges
+    for r in full.groupBy("batch").count().orderBy("batch").collect():
+        if size + r["count"] > most_edges:
+            stretches.append([r["batch"], r["batch"]])
+            size = 0
+        stretches[-1][1] = r["batch"]
+        size += r["count"]
+
+    state = spark.createDataFrame([], _STATE)
+    for first, last in stretches:
+        now = full.filter(F.col("batch").between(first, last))
+        nodes = now.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        known = state.join(nodes, "node", "left_semi").groupBy(F.lit(0).alias("all"))
+        new = now.groupBy(F.lit(0).alias("all")).cogroup(known).applyInPandas(lambda e, s: _folded(e, s, width, edge_width, cell, time_width), _STATE)
+        state = written(state.join(nodes, "node", "left_anti").unionByName(new), "memory-state")
+    return state

@@ -614,12 +614,11 @@ def nn18_training(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mem11_fold_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Memory after the roots' edges in four steps, each reading what the one before wrote."""
+    """Memory after the roots' edges batch by batch, each reading what the one before wrote."""
     r = base.queries(spark, d).filter("role in ('src', 'dst')")
     ends = [F.max(F.when(F.col("role") == e, F.col("node"))).alias(e) for e in ("src", "dst")]
     pairs = r.groupBy("batch", "edge_pos").agg(*ends, F.max("t").alias("t")).filter("src is not null and dst is not null")
     n = F.col("batch") * 1000 + F.col("edge_pos")
-    step = F.floor(F.col("batch") * 4 / (pairs.agg(F.max("batch")).scalar() + 1))
-    steps = pairs.select(step.alias("batch"), n.alias("edge_pos"), n.alias("eid"), "src", "dst", "t")
-    state = memory.fold_batches(steps, base.edge_features(spark, d), [0, 1, 2, 3], 4, 4)
+    steps = pairs.select("batch", n.alias("edge_pos"), n.alias("eid"), "src", "dst", "t")
+    state = memory.fold_stretches(steps, base.edge_features(spark, d), 4, 4)
     return state.select("node", "mem_t", "mail_t", F.round(F.aggregate(F.coalesce("mem", V.zeros(4)), F.lit(0.0), lambda s, x: s + x), 6).alias("mem_sum"))

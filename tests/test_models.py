@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from chronoweave.config import MemorySettings, settings
 from chronoweave.functions import vectors as V
 from chronoweave.operators import hotset, kernels, memory, metrics, nn, topology, training
+from chronoweave.plans import models as plans
 
 
 def test_softmax_gradient_by_differences(spark):
@@ -70,6 +71,35 @@ def test_fold_reads_what_the_batch_before_wrote(spark):
     assert got[2].mem is None and got[2].mail_t == 5
 
 
+def test_fold_in_stretches_equals_batch_after_batch(spark):
+    rng = np.random.default_rng(5)
+    rows = [(b, p, 20 * b + p, int(rng.integers(0, 9)), int(rng.integers(0, 9)), 100 * b + p) for b in (0, 1, 2, 4, 5, 6) for p in range(5)]
+    edges = spark.createDataFrame(rows, "batch long, edge_pos long, eid long, src long, dst long, t long")
+    ef = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(0, 140, 2)], "eid long, f array<float>")
+    plain = lambda df: {r.node: r for r in df.collect()}
+    want = plain(memory.fold_batches(edges, ef, [0, 1, 2, 4, 5, 6], 3, 2))
+    for most in (1, 12, 1000):
+        got = plain(memory.fold_stretches(edges, ef, 3, 2, most_edges=most))
+        assert set(got) == set(want)
+        for k, r in want.items():
+            assert (got[k].mem_t, got[k].mail_t) == (r.mem_t, r.mail_t) and np.allclose(got[k].mail, r.mail)
+            assert (got[k].mem is None) == (r.mem is None) and (r.mem is None or np.allclose(got[k].mem, r.mem))
+    assert memory.fold_stretches(edges.limit(0), ef, 3, 2).count() == 0
+
+
+def test_fold_query_takes_every_batch(spark, tmp_path):
+    """Five batches of one edge between the same two nodes: four of their five mails have come into the memory."""
+    roots = [(b, 0, i, role, node, 10 * b + 10) for b in range(5) for i, (role, node) in enumerate([("src", 1), ("dst", 2)])]
+    spark.createDataFrame(roots, "batch long, edge_pos long, root_pos long, role string, node long, t long").write.parquet(f"{tmp_path}/root.parquet")
+    spark.createDataFrame([(1000 * b, [1.0, 2.0, 3.0, 4.0]) for b in range(5)], "eid long, f array<float>").write.parquet(f"{tmp_path}/edge_feat.parquet")
+    h, h_t = np.zeros((1, 4)), 0
+    for b in range(4):  # both ends are alike
+        mail = np.concatenate([h, h, [[1.0, 2.0, 3.0, 4.0]], memory.time_code(np.array([10.0 * b + 10 - h_t]), 4)], 1)
+        h, h_t = memory.gru_cell(mail, h), 10 * b + 10
+    got = {r.node: r for r in plans.mem11_fold_batches(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2} and all(r.mem_t == 40 and r.mail_t == 50 and np.isclose(r.mem_sum, h.sum(), atol=1e-5) for r in got.values())
+
+
 def test_metrics_against_definitions(spark):
     rng = np.random.default_rng(2)
     rows = [(b, i, int(rng.random() < 0.4), float(rng.integers(0, 6)) / 5) for b in range(3) for i in range(40)] + [(7, 0, 1, 0.5), (8, 0, 0, 0.5)]
