@@ -35,7 +35,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--edges", required=True)
     p.add_argument("--node_features", help="Parquet of id and f; made from the ids if left out")
     p.add_argument("--edge_features", help="Parquet of eid and f; none if left out")
-    p.add_argument("--model_name", choices=sorted(PRESETS), default="TGAT")
+    p.add_argument("--model_name", choices=sorted(PRESETS), default="TGAT", help="models with memory (APAN, JODIE, TGN) are refused")
     p.add_argument("--neighbor_num", default="10,10")
     p.add_argument("--batch_size", type=int, default=2000)
     p.add_argument("--use_inductive", action="store_true")
@@ -44,6 +44,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--split", type=int, default=1)
     p.add_argument("--out_width", type=int, default=8)
     a = top.parse_args(argv)
+    if a.command == "evaluate" and PRESETS[a.model_name].memory is not None:
+        top.error(f"{a.model_name} has a memory, which the evaluation doesn't read yet")
     spark = spark or SparkSession.builder.appName("chronoweave").getOrCreate()
     if a.command == "etl":
         build(spark, a.txt, a.out, not a.no_header, a.add_reverse)

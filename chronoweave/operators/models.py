@@ -26,8 +26,11 @@ def embeddings(edges: DataFrame, queries: DataFrame, key: list[str], node_featur
 
     Every hop of the fan-out is one attention layer: roots and sampled neighbours of a hop are embedded by the hop below, those of the
     last hop by their features. Several snapshots are embedded apart and combined, the oldest first. Queries with null
-    node or t have no h and don't come out; nodes and edges without features have zeros.
+    node or t have no h and don't come out; nodes and edges without features have zeros. Presets with memory are refused, as no memory
+    or mailbox is read here.
     """
+    if preset.memory is not None:
+        raise ValueError(f"{preset.name} has a memory, which embeddings don't read; only presets without one can be embedded and evaluated")
     own = {k: f"key_{i}" for i, k in enumerate(key)}  # the caller's names may be those of a block's columns
     keys = list(own.values())
     q = queries.filter("node is not null and t is not null").select(*(F.col(k).alias(n) for k, n in own.items()), "node", "t")

@@ -1,7 +1,9 @@
 import math
 
 import numpy as np
+import pytest
 
+from chronoweave.__main__ import main
 from chronoweave.config import settings
 from chronoweave.operators import memory, models
 
@@ -70,3 +72,13 @@ def test_snapshots_and_evaluation_run(spark):
     row = models.evaluate(e, 1, f, g, run, 2, 1, 4).first()
     assert 0 <= row.ap <= 1 and 0 < row.mrr <= 1 and row.loss > 0
     assert models.link_scores(e, e.filter("split = 1"), f, g, run, 2, 1, 4).filter("label = 0").count() == 20
+
+
+def test_presets_with_memory_are_refused(spark):
+    q = spark.createDataFrame([(0, 1, 5)], "k long, node long, t long")
+    f = spark.createDataFrame([], "id long, f array<float>")
+    for name in ("TGN", "APAN", "JODIE"):
+        with pytest.raises(ValueError, match="memory"):
+            models.embeddings(q, q, ["k"], f, f, settings(name).preset, 2, 0, 2)
+        with pytest.raises(SystemExit):
+            main(["evaluate", "--edges", "none", "--model_name", name], spark)
