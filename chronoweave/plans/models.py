@@ -423,14 +423,15 @@ mails as (select batch, edge_pos * 2 as pos, src as node, t, list_concat(list_co
 lasts as (select * from (select *, row_number() over (partition by batch, node order by pos desc) as n from mails) where n = 1)"""
 
 
-def _mails(spark: SparkSession, d: str) -> DataFrame:
+def _mails(spark: SparkSession, d: str, width: int = 2, edge_width: int = 2) -> DataFrame:
+    """Mails of the first features of nodes and edges."""
     e = etl.batched(etl.time_sorted(base.edges(spark, d)), BATCH).withColumn("edge_pos", F.pmod("row_id", F.lit(BATCH)))
-    nodes = base.node_features(spark, d).select(F.col("id").alias("node"), F.slice("f", 1, 2).alias("f"))
-    return memory.build_mails(e, nodes, base.edge_features(spark, d).select("eid", F.slice("f", 1, 2).alias("f")), 2, 2)
+    nodes = base.node_features(spark, d).select(F.col("id").alias("node"), F.slice("f", 1, width).alias("f"))
+    return memory.build_mails(e, nodes, base.edge_features(spark, d).select("eid", F.slice("f", 1, edge_width).alias("f")), width, edge_width)
 
 
-def _flat(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.select(*by, *(F.round(F.col("mail")[i], 6).alias(f"m{i}") for i in range(6)))
+def _flat(df: DataFrame, by: list[str], width: int = 6) -> DataFrame:
+    return df.select(*by, *(F.round(F.col("mail")[i], 6).alias(f"m{i}") for i in range(width)))
 
 
 _M = ", ".join(f"round(mail[{i + 1}], 6) + 0.0 as m{i}" for i in range(6))
@@ -459,6 +460,32 @@ def mem06_last_mail(spark: SparkSession, d: str) -> DataFrame:
     return _flat(memory.last_per_batch(_mails(spark, d)), ["batch", "node", "pos", "t"])
 
 
+_WHOLE_MAILS = f"""{E}, {ORDERED}, {NF}, {EF}, eb as (select row_id // {BATCH} as batch, row_id % {BATCH} as edge_pos, eid, src, dst, t from o),
+ml as (select batch, edge_pos, t, src, dst, {zs('a.f', 8)} as s, {zs('c.f', 8)} as d, {zs('ef.f', 4)} as w from eb left join nf a on a.id = src left join nf c on c.id = dst left join ef on ef.eid = eb.eid),
+mails as (select batch, edge_pos * 2 as pos, src as node, t, list_concat(list_concat(s, d), w) as mail from ml union all select batch, edge_pos * 2 + 1, dst, t, list_concat(list_concat(d, s), w) from ml),
+lasts as (select * from (select *, row_number() over (partition by batch, node order by pos desc) as n from mails) where n = 1)"""
+_WHOLE_M = ", ".join(f"round(mail[{i + 1}], 6) + 0.0 as m{i}" for i in range(20))
+
+
+@query(f"{_WHOLE_MAILS} select batch, pos, node, t, {_WHOLE_M} from mails")
+def mem05_whole_mails(spark: SparkSession, d: str) -> DataFrame:
+    """Mails of all 8 node and 4 edge features."""
+    return _flat(_mails(spark, d, 8, 4), ["batch", "pos", "node", "t"], 20)
+
+
+@query(f"{_WHOLE_MAILS} select batch, node, pos, t, {_WHOLE_M} from lasts")
+def mem06_whole_mail(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(memory.last_per_batch(_mails(spark, d, 8, 4)), ["batch", "node", "pos", "t"], 20)
+
+
+_WHOLE_RING = f"{_WHOLE_MAILS}, sl as (select *, cast((dense_rank() over (partition by node order by batch) - 1) % {SLOTS} as integer) as slot, row_number() over (partition by node order by batch desc) as age from lasts)"
+
+
+@query(f"{_WHOLE_RING} select node, slot, batch, t, {_WHOLE_M} from sl where age <= {SLOTS}")
+def mem07_whole_ring(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(memory.mailbox(memory.last_per_batch(_mails(spark, d, 8, 4)), SLOTS), ["node", "slot", "batch", "t"], 20)
+
+
 _RING = f"{_MAILS}, sl as (select *, cast((dense_rank() over (partition by node order by batch) - 1) % {SLOTS} as integer) as slot, row_number() over (partition by node order by batch desc) as age from lasts)"
 
 

@@ -51,6 +51,12 @@ def test_mails_of_a_batch_and_ring(spark):
         MemorySettings(combine="mean")
 
 
+def test_whole_mails_hold_every_feature(spark, sf):
+    mails = plans.mem05_whole_mails(spark, sf)
+    used = mails.agg(*(F.max(F.abs(F.col(f"m{i}"))).alias(f"m{i}") for i in range(20))).first()
+    assert all(x > 0 for x in used)
+
+
 def test_state_is_read_before_the_batch(spark):
     writes = spark.createDataFrame([(0, 1, "a"), (2, 1, "b")], "batch long, node long, v string")
     reads = spark.createDataFrame([(k, b, 1) for k, b in enumerate([0, 1, 2, 3])] + [(9, 5, 4)], "k long, batch long, node long")
