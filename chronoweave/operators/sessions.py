@@ -1,41 +1,51 @@
-"""Grouping activity into sessions by merging intervals.
+"""Grouping activity into sessions by merging interval state.
 
-Every event opens an interval of gap length; intervals of one key that overlap are one session. Events of one key in the same
-cell of gap width always overlap, so they merge before the shuffle; what is shuffled and sorted per key is at most one
-interval per cell, however many rows a key holds. The stream form keeps the same merging interval state under a watermark.
+Every event opens an interval of gap length; the merging state of a key joins the intervals that overlap, in whatever order they come,
+and a session is what was joined. The same state serves tables, whose watermark passes everything at their end, and streams, where
+a session comes out once the watermark has passed it and events that come later than the allowed lateness are dropped and counted.
+
+Of a table, events of one key in the same cell of gap width always overlap, so they are joined before the shuffle: what the state
+takes is at most one interval per key and cell, however many rows a key holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MOST_SECONDS = 9_000_000_000_000  # fixed value: whole seconds that a timestamp in microseconds can hold, with room for a gap
+
+
+def merge_intervals(intervals: DataFrame, gap: int, start: str, end: str, *sums: str) -> DataFrame:
+    """Sessions of the intervals of each _k: _k, start_time, end_time, the sums, n_intervals. start and end are timestamps.
+
+    An interval stays open for `gap` seconds after its end, that second included. Works on tables and, with a watermark, on streams.
+    """
+    open_for = F.make_interval(secs=(F.unix_micros(end) - F.unix_micros(start)) / F.lit(1_000_000.0) + F.lit(gap + 0.5))
+    merged = intervals.groupBy("_k", F.session_window(start, open_for).alias("_w"))
+    return merged.agg(F.unix_seconds(F.min(start)).alias("start_time"), F.unix_seconds(F.max(end)).alias("end_time"), *(F.sum(c).alias(c) for c in sums), F.count(F.lit(1)).alias("n_intervals")).drop("_w")
+
 
-def _cell(t: Column, gap: int) -> Column:
-    """floor(t / gap) without overflow or loss of digits."""
-    return F.expr("_t div {g} - if(_t % {g} < 0, 1, 0)".format(g=gap))
+def _cell(t: str, gap: int) -> Column:
+    """floor(t / gap) without loss of digits."""
+    return F.expr(f"{t} div {gap} - if({t} % {gap} < 0, 1, 0)")
 
 
 def sessionize(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
     """Sessions of each key: `key`, start_time, end_time, duration, n_events, n_intervals.
 
-    Two rows of one key belong to one session as long as no gap between neighbours in time exceeds `gap` (whole units of
-    `time`, an integer column; gap >= 1). Order of arrival plays no part. Rows with null key or time are left out; repeated
-    rows count each; equal times are one instant. Duration is null where it exceeds a long. n_intervals is the number of
-    gap-wide cells that hold events of the session. Other columns are ignored. Empty input gives no sessions.
+    Two rows of one key belong to one session as long as no gap between neighbours in time exceeds `gap` (whole seconds, as
+    `time`; gap >= 1). Order of arrival plays no part. Rows with null key or time are left out; repeated rows count each; equal times
+    are one instant. n_intervals is the number of gap-wide cells that hold events of the session. Times beyond 9e12 seconds
+    before or after 0, which a timestamp can't hold, raise an error. Other columns are ignored. Empty input gives no sessions.
     """
     if gap < 1:
         raise ValueError("gap must be at least 1")
     rows = df.select(F.col(key).alias("_k"), F.col(time).cast("long").alias("_t")).filter("_k is not null and _t is not null")
-    cells = rows.groupBy("_k", _cell(F.col("_t"), gap).alias("_c")).agg(F.min("_t").alias("_s"), F.max("_t").alias("_e"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_k").orderBy("_s")
-    apart = F.expr(f"coalesce(try_subtract(_s, _before), {gap + 1}) > {gap}").cast("long")
-    marked = cells.repartition("_k").withColumn("_before", F.lag("_e").over(w)).withColumn("_no", F.sum(apart).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        marked.groupBy("_k", "_no")
-        .agg(F.min("_s").alias("start_time"), F.max("_e").alias("end_time"), F.sum("_n").alias("n_events"), F.count(F.lit(1)).alias("n_intervals"))
-        .select(F.col("_k").alias(key), "start_time", "end_time", F.expr("try_subtract(end_time, start_time)").alias("duration"), "n_events", "n_intervals")
-    )
+    held = F.when(F.col("_t").between(-MOST_SECONDS, MOST_SECONDS), F.col("_t")).otherwise(F.raise_error(F.lit("time beyond 9e12 seconds")).cast("long"))
+    cells = rows.withColumn("_t", held).groupBy("_k", _cell("_t", gap).alias("_c")).agg(F.timestamp_seconds(F.min("_t")).alias("_s"), F.timestamp_seconds(F.max("_t")).alias("_e"), F.count(F.lit(1)).alias("n_events"))
+    found = merge_intervals(cells, gap, "_s", "_e", "n_events")
+    return found.select(F.col("_k").alias(key), "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"), "n_events", "n_intervals")
 
 
 def session_summary(sessions: DataFrame, key: str) -> DataFrame:

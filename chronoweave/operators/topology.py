@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators import matching
+
 
 def chunk_similarity(rows: DataFrame, parts: int) -> DataFrame:
     """batch, i, j, w: positions at which chunks i and j of a batch's nodes agree, zeros left out.
@@ -29,52 +31,7 @@ def full_matrix(similarity: DataFrame, parts: int) -> DataFrame:
 
 
 def pairing(weights: dict[tuple[int, int], int], parts: int) -> list[int]:
-    """Partner of each part in a perfect matching of greatest weight (-1 for the one left over).
-
-    Exact, by dynamic programming over sets of parts, up to 18 parts; beyond, greedily and improved by exchanges. A matrix of a few
-    dozen workers is all that ever comes here.
-    """
-    w = lambda i, j: weights.get((i, j), 0) + weights.get((j, i), 0)
-    partner = [-1] * parts
-    if parts <= 18:
-        best: dict[int, tuple[int, int, int]] = {0: (0, -1, -1)}
-        full = (1 << parts) - 1
-        for used in range(1 << parts):
-            if used not in best or used == full:
-                continue
-            i = next(x for x in range(parts) if not used >> x & 1)
-            options = [(used | 1 << i | 1 << j, w(i, j), j) for j in range(i + 1, parts) if not used >> j & 1]
-            if parts % 2 and bin(used).count("1") % 2 == 0:
-                options.append((used | 1 << i, 0, -1))
-            for to, gain, j in options:
-                if to not in best or best[used][0] + gain > best[to][0]:
-                    best[to] = (best[used][0] + gain, used, j if j >= 0 else -1)
-        at = full
-        while at:
-            _, before, j = best[at]
-            if j >= 0:
-                i = next(x for x in range(parts) if (at ^ before) >> x & 1 and x != j)
-                partner[i], partner[j] = j, i
-            at = before
-        return partner
-    free = set(range(parts))
-    for _, i, j in sorted(((-w(i, j), i, j) for i in range(parts) for j in range(i + 1, parts))):
-        if i in free and j in free:
-            partner[i], partner[j] = j, i
-            free -= {i, j}
-    gained = True
-    while gained:
-        gained = False
-        pairs = [(i, partner[i]) for i in range(parts) if partner[i] > i]
-        for x, (a, b) in enumerate(pairs):
-            for c, d in pairs[x + 1 :]:
-                for (p, q), (r, s) in (((a, c), (b, d)), ((a, d), (b, c))):
-                    if w(p, q) + w(r, s) > w(a, b) + w(c, d):
-                        partner[p], partner[q], partner[r], partner[s] = q, p, s, r
-                        gained = True
-                        break
-                if gained:
-                    break
-            if gained:
-                break
-    return partner
+    """Partner of each part in a perfect matching of greatest weight, exact for any number of parts (-1 for the one left over)."""
+    n = parts + parts % 2  # a part without weights stands for being left over
+    both = [[weights.get((i, j), 0) + weights.get((j, i), 0) if i != j else 0 for j in range(n)] for i in range(n)]
+    return [p if p < parts else -1 for p in matching.perfect_matching(both)[:parts]] if parts else []

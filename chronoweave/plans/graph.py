@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.draws import draw_sql, uniform_sql
 from chronoweave.operators import blocks, etl, sampler
-from chronoweave.operators.parse_rejects import INT_MAX
 from chronoweave.plans import base
 from chronoweave.plans.base import ORDERED, E, R, block_sql
 from chronoweave.session import table
+from chronoweave.sources import edges as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,26 +37,11 @@ def query(sql: str | None = None):
 
 
 # ---- sources --------------------------------------------------------------------------------------------------------
-@query("select line_id, cast(p[1] as bigint) as src, cast(p[2] as bigint) as dst, cast(p[3] as bigint) as time from (select line_id, string_split_regex(trim(line, ' ' || chr(9) || chr(13)), '[ \\t]+') as p from raw_edges where fmt = 'ws' and line_no > 1) where len(p) = 3 and len(list_filter(p, lambda x: not regexp_full_match(x, '[0-9]{1,9}'))) = 0")
-def src01_text_edges(spark: SparkSession, d: str) -> DataFrame:
-    """White-space separated dump lines without their header as edges, where all three are whole numbers of at most nine digits.
-
-    Valid numbers of ten or more digits are left out, as in its SQL; src01_whole_edges has them.
-    """
-    lines = table(spark, d, "raw_edges").filter("fmt = 'ws' and line_no > 1")
-    p = lines.select("line_id", F.split(F.expr("trim(BOTH ' \\t\\r' FROM line)"), "[ \\t]+").alias("p"))
-    good = p.filter((F.size("p") == 3) & F.forall("p", lambda x: x.rlike("^[0-9]{1,9}$")))
-    return good.select("line_id", *(F.col("p")[i].cast("long").alias(n) for i, n in enumerate(("src", "dst", "time"))))
-
-
 @query("select line_id, cast(p[1] as bigint) as src, cast(p[2] as bigint) as dst, cast(p[3] as bigint) as time from (select line_id, string_split_regex(trim(line, ' ' || chr(9) || chr(13)), '[ \\t]+') as p from raw_edges where fmt = 'ws' and line_no > 1) where len(p) = 3 and len(list_filter(p, lambda x: not (regexp_full_match(x, '[0-9]+') and coalesce(try_cast(x as hugeint) <= 2147483647, false)))) = 0")
-def src01_whole_edges(spark: SparkSession, d: str) -> DataFrame:
+def src01_text_edges(spark: SparkSession, d: str) -> DataFrame:
     """White-space separated dump lines without their header as edges, where all three are whole numbers up to 2147483647, with leading zeros or not."""
     lines = table(spark, d, "raw_edges").filter("fmt = 'ws' and line_no > 1")
-    p = lines.select("line_id", F.split(F.expr("trim(BOTH ' \\t\\r' FROM line)"), "[ \\t]+").alias("p"))
-    fits = lambda x: x.rlike("^0*[0-9]{1,10}$") & (F.coalesce(x.try_cast("long"), F.lit(INT_MAX + 1)) <= INT_MAX)
-    good = p.filter((F.size("p") == 3) & F.forall("p", fits))
-    return good.select("line_id", *(F.col("p")[i].cast("long").alias(n) for i, n in enumerate(("src", "dst", "time"))))
+    return sources.parted_edges(lines, "line_id").filter("ok").drop("ok")
 
 
 @query("select eid, src, dst, time, ext_roll from edges")

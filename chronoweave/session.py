@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where set; a temporary one only where it is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         found = spark.sparkContext.getCheckpointDir()
         if found:
             return found
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="chronoweave-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
@@ -46,25 +50,41 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-_written: list[str] = []
+_written: list[list[str]] = [[]]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back, so that later stages don't hang on its lineage.
 
-    The files stay until drop_written, as results that are still lazy read them.
+    The files stay until the scratch() around the call ends or drop_written is called, as results that are still lazy read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written[-1].append(path)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_written(spark: SparkSession) -> int:
-    """Delete the tables that written() left in the shared folder, once no result needs them any more; their number."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables that written() left since the innermost scratch() began, once no result needs them any more; their number."""
+    n = len(_written[-1])
+    while _written[-1]:
+        drop(spark, _written[-1].pop())
     return n
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it tables of written() are kept, at its end those made in it are deleted; results must have been stored or shown by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        drop_written(spark)
+        _written.pop()

@@ -2,42 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chronoweave.operators import sampler
+
 FOUND = "query long, root long, root_t long, nbr_pos int, node long, eid long, t long"
-_HELD = "t array<long>, eid array<long>, dst array<long>"
+_HELD = "t array<long>, eid array<long>, dst array<long>, gone_t long, gone_eid long"
 
 
-def recent_stream(events: DataFrame, k: int) -> DataFrame:
-    """For each query of a stream its node's k newest edges strictly before its time.
+def recent_stream(events: DataFrame, k: int, late: str | None = None, heavy: Sequence[int] = (), parts: int = 16) -> DataFrame:
+    """For each query of a stream its node's k newest edges strictly before its time, as rows of FOUND.
 
-    events: node, t, eid, dst for an edge of node; node, t, query for a query; the fields of the other kind are null. The state holds
-    the k + slack newest edges of a node. Within a micro-batch rows are put in order of time, edges after queries of the
-    same time; an edge that comes in a later micro-batch than its query isn't seen by it.
+    events: node, t (whole seconds), eid, dst for an edge of node; node, t, query for a query; the fields of the other kind are null.
+    A query sees the edges of its own and earlier micro-batches. Without `late` the state holds all edges. With it, a watermark that far
+    behind the greatest t lets go of edges before it, but for the k newest of those, so that a query not older than the watermark still has its whole
+    answer. An older one that may lack edges gets one more row with nbr_pos -1 and null node, eid and t, the sign to answer
+    it from the table (see settled). The edges of `heavy` nodes are held in `parts` states, each of which answers; settled merges them.
+    Rows with null node or t are left out.
     """
-    slack = 4 * k
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
+        t, eid, dst, gone_t, gone_eid = (np.array(x, np.int64) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else (np.zeros(0, np.int64),) * 3 + (None, None)
         rows = pd.concat(list(batches))
-        out = []
-        rows["_q"] = rows["query"].isna().astype(int)
-        for r in rows.sort_values(["t", "_q", "eid"]).itertuples():
-            if r._fields and not pd.isna(r.query):
-                past = [x for x in held if x[0] < r.t]
-                out += [(int(r.query), key[0], int(r.t), n, d, e, t) for n, (t, e, d) in enumerate(sorted(past, reverse=True)[:k])]
-            else:
-                held = sorted([*held, (int(r.t), int(r.eid), int(r.dst))])[-(k + slack) :]
-        if held:
-            state.update(tuple(list(c) for c in zip(*held)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
-
-    events = events.filter("node is not null and t is not null").select("node", "t", "eid", "dst", "query")
-    return events.groupBy("node").applyInPandasWithState(run, FOUND, _HELD, "append", GroupStateTimeout.NoTimeout)
+        edges, asked = rows[rows["query"].isna()], rows[rows["query"].notna()]
+        if len(edges):
+            t, eid, dst = (np.concatenate([a, edges[c].to_numpy(np.int64)]) for a, c in ((t, "t"), (eid, "eid"), (dst, "dst")))
+            order = np.lexsort((eid, t))
+            t, eid, dst = t[order], eid[order], dst[order]
+            if gone_t is not None:  # an edge older than one let go of can't be told from those any more
+                kept = (t > gone_t) | ((t == gone_t) & (eid > gone_eid))
+                t, eid, dst = t[kept], eid[kept], dst[kept]
+        query, at = asked["query"].to_numpy(np.int64), asked["t"].to_numpy(np.int64)
+        upto = np.searchsorted(t, at, "left")
+        n = np.minimum(upto, k)
+        which = np.repeat(np.arange(len(at)), n)
+        pos = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        take = np.repeat(upto, n) - 1 - pos
+        out = pd.DataFrame({"query": query[which], "root": key[0], "root_t": at[which], "nbr_pos": pos, "node": dst[take], "eid": eid[take], "t": t[take]}).astype("Int64")
+        short = (n < k) if gone_t is not None else np.zeros(len(at), bool)
+        marks = pd.DataFrame({"query": query[short], "root": key[0], "root_t": at[short], "nbr_pos": -1, "node": None, "eid": None, "t": None}).astype("Int64")
+        if late is not None:
+            first = max(int(np.searchsorted(t, state.getCurrentWatermarkMs() // 1000, "left")) - k, 0)
+            if first:
+                gone_t, gone_eid = int(t[first - 1]), int(eid[first - 1])
+                t, eid, dst = t[first:], eid[first:], dst[first:]
+        if len(t) or gone_t is not None:
+            state.update((t.tolist(), eid.tolist(), dst.tolist(), gone_t, gone_eid))
+        yield pd.concat([out, marks])
+
+    rows = events.filter("node is not null and t is not null").select("node", "t", "eid", "dst", "query")
+    if late is not None:
+        rows = rows.withColumn("_at", F.timestamp_seconds("t")).withWatermark("_at", late)
+    split = F.col("node").isin(list(heavy)) if heavy else F.lit(False)
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    part = F.when(~split, F.array(F.lit(0))).when(F.col("query").isNotNull(), every).otherwise(F.array(F.pmod(F.xxhash64("eid"), F.lit(parts)).cast("int")))
+    return rows.withColumn("_part", F.explode(part)).groupBy("node", "_part").applyInPandasWithState(run, FOUND, _HELD, "append", GroupStateTimeout.NoTimeout)
+
+
+def settled(found: DataFrame, k: int, edges: DataFrame, queries: DataFrame) -> DataFrame:
+    """The stored rows of recent_stream as one whole answer a query: partial answers merged, marked queries answered from the edges.
+
+    edges: eid, src, dst, t, with all that the stream has seen. queries: query, node, t.
+    """
+    marked = found.filter("nbr_pos < 0").select("query").distinct()
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.col("t").desc(), F.col("eid").desc())) - 1
+    whole = found.join(marked, "query", "left_anti").withColumn("nbr_pos", best).filter(F.col("nbr_pos") < k)
+    again = sampler.recent(edges, queries.join(marked, "query", "left_semi"), ["query"], k)
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    return whole.select(*names).unionByName(again.select(*names))
 
 
 BOX = "node long, slot int, batch long, t long, mail array<double>"

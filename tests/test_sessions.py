@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators.sessions import session_summary, sessionize
-from chronoweave.streaming.sessions import sessionize_stream
+from chronoweave.streaming.sessions import late_rows, sessionize_stream
 
 SCHEMA = "src long, time long"
 
@@ -37,11 +37,14 @@ def test_against_brute_force(spark, gap):
 
 
 def test_edges_of_the_gap_and_extremes(spark):
-    rows = [(1, 0), (1, 1800), (1, 3601), (2, -(2**63)), (2, 2**63 - 1), (2, 2**63 - 1)]
+    far = 8_999_999_999_000
+    rows = [(1, 0), (1, 1800), (1, 3601), (2, -far), (2, far), (2, far)]
     res = {(r.src, r.start_time): r for r in sessionize(spark.createDataFrame(rows, SCHEMA), "src", "time", 1800).collect()}
     assert res[(1, 0)].end_time == 1800 and res[(1, 0)].duration == 1800
     assert (1, 3601) in res and len(res) == 4
-    assert res[(2, 2**63 - 1)].n_events == 2
+    assert res[(2, far)].n_events == 2
+    with pytest.raises(Exception, match="beyond"):
+        sessionize(spark.createDataFrame([(2, 2**62)], SCHEMA), "src", "time", 1800).collect()
 
 
 def test_empty_extra_columns_and_bad_gap(spark):
@@ -69,3 +72,18 @@ def test_stream_with_late_events_equals_batch(spark, tmp_path):
     q.stop()
     seen = sorted((r.src, r.start_time, r.end_time, r.n_events) for r in spark.table("sess").collect())
     assert seen == [x for x in brute(rows, 1800) if x[0] != 3]
+
+
+def test_late_events_join_sessions_or_are_dropped_and_counted(spark, tmp_path):
+    steps = [[(1, 1000), (1, 4000)], [(1, 2500)], [(2, 400_000)], [(3, 5000), (2, 400_100)], [(2, 900_000)]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    out, dropped = sessionize_stream(stream, "src", "time", 1800, late="1 day"), 0
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        dropped += late_rows(q)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [(1, 1000, 4000, 3000, 3), (2, 400_000, 400_100, 100, 2)]  # 2500 joined two, 5000 came after the watermark
+    assert dropped == 1

@@ -1,9 +1,10 @@
 import numpy as np
+import pytest
 
 from chronoweave.operators import sampler
 from chronoweave.sources import edges as sources
 from chronoweave.sources import sinks
-from chronoweave.streaming.neighbours import mailbox_stream, recent_stream
+from chronoweave.streaming.neighbours import mailbox_stream, recent_stream, settled
 
 EVENTS = "node long, t long, eid long, dst long, query long"
 
@@ -28,6 +29,25 @@ def test_stream_of_neighbours_equals_batch(spark, tmp_path):
     assert got == sorted((r["query"], r.nbr_pos, r.eid) for r in sampler.recent(e, q, ["query"], 3).collect())
 
 
+def test_late_queries_are_marked_and_settled(spark, tmp_path):
+    """A node of 100 edges, then queries within the lateness and far before it; the node's state is one or split."""
+    edges = [(1, t, t, 500 + t, None) for t in range(100)] + [(2, t, 1000 + t, 9, None) for t in range(3)]
+    steps = [edges, [(2, 200, 2000, 9, None)], [(1, 50, None, None, 7), (1, 99, None, None, 8), (1, 95, None, None, 9), (2, 150, None, None, 10), (3, 5, None, None, 11)], [(1, 40, 3000, 1, None)], [(1, 97, None, None, 12)]]
+    e = spark.createDataFrame([(r[2], r[0], r[3], r[1]) for s in steps for r in s if r[4] is None], "eid long, src long, dst long, t long")
+    q = spark.createDataFrame([(r[4], r[0], r[1]) for s in steps for r in s if r[4] is not None], "query long, node long, t long")
+    want = sorted((r["query"], r.nbr_pos, r.eid) for r in sampler.recent(e, q, ["query"], 3).collect())
+    for heavy in ((), (1,)):
+        at = tmp_path / f"h{len(heavy)}"
+        (at / "in").mkdir(parents=True)
+        out = recent_stream(spark.readStream.schema(EVENTS).parquet(str(at / "in")), 3, "10 seconds", heavy, 4)
+        for rows in steps:
+            spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(str(at / "in"))
+            out.writeStream.format("parquet").option("path", str(at / "out")).option("checkpointLocation", str(at / "cp")).trigger(availableNow=True).start().awaitTermination()
+        found = spark.read.parquet(str(at / "out"))
+        assert {r["query"] for r in found.filter("nbr_pos < 0").collect()} == {12}  # the state lets go of edges once its node has been seen after the watermark
+        assert sorted((r["query"], r.nbr_pos, r.eid) for r in settled(found, 3, e, q).collect()) == want
+
+
 def test_stream_of_mails(spark, tmp_path):
     schema = "batch long, pos long, node long, t long, mail array<double>"
     for b in range(5):
@@ -43,6 +63,11 @@ def test_sources_and_sinks(spark, tmp_path):
     got = sources.text_edges(spark, str(tmp_path / "*.txt")).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 1), (1, 2, 3), (4, 5, 6)]
     assert sources.text_lines(spark, str(tmp_path / "a.txt"), header=False).count() == 3
+    odd = spark.createDataFrame([(i, x) for i, x in enumerate(["0012580574 7 2147483647", " 1\t2 3\r", "2147483648 1 1", "1 2", "1 2 3 4", "a 1 2", "", None, "99999999999999999999999 1 2"])], "line_id long, line string")
+    assert [tuple(r) for r in sources.parted_edges(odd, "line_id").filter("ok").drop("ok").collect()] == [(0, 12580574, 7, 2147483647), (1, 1, 2, 3)]
+    (tmp_path / "bad.txt").write_text("src dst time\n1 2 3 4\n")
+    with pytest.raises(Exception, match="whole numbers"):
+        sources.text_edges(spark, str(tmp_path / "bad.txt")).collect()
     e = spark.createDataFrame([(0, 1, 2, 3, 0)], sources.EDGE_SCHEMA)
     sinks.write_edges(e, str(tmp_path / "csv"), "csv")
     sinks.write_edges(e, str(tmp_path / "pq"))
