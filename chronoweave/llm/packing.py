@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import vocab
+from chronoweave.session import written
 
 SHARD_ITEMS = 20_000
+SHARD_CONTAINERS = 200
+MOST_SHARD_ITEMS = 1_000_000
 MOST_SPECS = 1_000
+_WORD = 4096
 PLACED = "spec_id int, container_id long, doc_id long, piece int, start_token long, n_tokens int, offset int"
 
 
@@ -30,31 +34,49 @@ def token_sizes(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 class _Pool:
-    """Unpacked items by size, with a bit per size that is there."""
+    """Unpacked items by size. Sizes that are there are bits, in words of _WORD sizes each; a bit in `some` tells which words aren't empty.
 
-    def __init__(self, sizes: list[int], capacity: int) -> None:
+    Memory follows the number of sizes that occur, not the capacity.
+    """
+
+    def __init__(self, sizes: list[int]) -> None:
         self.by_size: dict[int, list[int]] = {}
         for k in range(len(sizes) - 1, -1, -1):
             self.by_size.setdefault(sizes[k], []).append(k)
-        self.bits = 0
+        self.words: dict[int, int] = {}
+        self.some = 0
         for s in self.by_size:
-            self.bits |= 1 << s
-        self.upto = [(2 << g) - 1 for g in range(capacity + 1)]
+            self._mark(s)
+
+    def _mark(self, size: int) -> None:
+        w, bit = divmod(size, _WORD)
+        self.words[w] = self.words.get(w, 0) | 1 << bit
+        self.some |= 1 << w
 
     def largest(self, most: int) -> int:
         """The largest size of at most `most` that is there, else 0."""
-        return max((self.bits & self.upto[most]).bit_length() - 1, 0) if most > 0 else 0
+        if most <= 0:
+            return 0
+        w, bit = divmod(most, _WORD)
+        here = self.words.get(w, 0) & ((2 << bit) - 1)
+        if here:
+            return w * _WORD + here.bit_length() - 1
+        w = (self.some & ((1 << w) - 1)).bit_length() - 1
+        return w * _WORD + self.words[w].bit_length() - 1 if w >= 0 else 0
 
     def take(self, size: int) -> int:
         items = self.by_size[size]
         k = items.pop()
         if not items:
-            self.bits &= ~(1 << size)
+            w, bit = divmod(size, _WORD)
+            self.words[w] &= ~(1 << bit)
+            if not self.words[w]:
+                self.some &= ~(1 << w)
         return k
 
     def put(self, size: int, k: int) -> None:
         self.by_size[size].append(k)
-        self.bits |= 1 << size
+        self._mark(size)
 
     def best_two(self, room: int, more_than: int) -> tuple[int, int] | None:
         """The two sizes with the largest sum above more_than that fit into room."""
@@ -78,8 +100,8 @@ def best_two_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     A container takes the largest item that fits until none does. Then its smallest item makes way for the two unpacked items that
     together fill the gap so widened best, if they fill it better; that is repeated while it gains.
     """
-    pool, out = _Pool(sizes, capacity), []
-    while pool.bits:
+    pool, out = _Pool(sizes), []
+    while pool.some:
         held, gap = [], capacity
         while s := pool.largest(gap):
             held.append((s, pool.take(s)))
@@ -126,13 +148,20 @@ def _pack_shard(key: tuple, items: pa.Table) -> pa.Table:
     })
 
 
-def fill_containers(sizes: DataFrame, specs: DataFrame, shard_items: int = SHARD_ITEMS, n_items: int | None = None) -> DataFrame:
+def shard_count(items: int, tokens: int, capacity: int, shard_items: int = SHARD_ITEMS) -> int:
+    """Shards of a spec: each of shard_items items, or of as many more as SHARD_CONTAINERS containers hold, but MOST_SHARD_ITEMS at most."""
+    wanted = max(shard_items, SHARD_CONTAINERS * capacity * items // max(tokens, 1)) if shard_items >= SHARD_ITEMS else shard_items
+    return max(1, -(-items // min(wanted, MOST_SHARD_ITEMS)))
+
+
+def fill_containers(sizes: DataFrame, specs: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Containers of every spec's capacity filled with all items: spec_id, container_id, doc_id, piece, start_token, n_tokens, offset.
 
-    sizes: doc_id, n_tokens. specs: spec_id, capacity; at most 1,000 rows, else an error. Only items longer than the capacity are split,
-    into pieces of the capacity and one rest. piece counts from 0, start_token is where the piece begins in its text, offset where it
-    begins in its container. n_items, the number of rows of sizes, is counted unless given. Items are spread over shards of about shard_items by a hash, each packed by itself as a bounded
-    group, so at most the last containers of a shard are worse than those of one large packing.
+    sizes: doc_id, n_tokens; they are written once, as their number and sum are needed first. specs: spec_id, capacity; at most 1,000 rows,
+    else an error. Only items longer than the capacity are split, into pieces of the capacity and one rest. piece counts from 0,
+    start_token is where the piece begins in its text, offset where it begins in its container. Items are spread over shards by a hash
+    (see shard_count), each packed by itself as a bounded group in a task of its own, so at most the last containers of a shard are worse
+    than those of one large packing.
 
     Null n_tokens counts as 0. Items of size 0 take no space and come out in their shard's first container, so that no document
     is missing. Repeated items are items of their own. Specs with null or no positive capacity raise an error. Empty sizes or specs
@@ -141,13 +170,15 @@ def fill_containers(sizes: DataFrame, specs: DataFrame, shard_items: int = SHARD
     known = specs.select(F.col("spec_id").cast("int"), F.col("capacity").cast("int")).limit(MOST_SPECS + 1).collect()
     if len(known) > MOST_SPECS or any(not r.capacity or r.capacity < 1 for r in known):
         raise ValueError("specs: at most 1,000, each with a positive capacity")
-    items = sizes.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
     if not known:
         return sizes.sparkSession.createDataFrame([], PLACED)
-    shards = max(1, -(-(items.count() if n_items is None else n_items) // shard_items))
-    each = F.array(*(F.struct(F.lit(r.spec_id).alias("spec_id"), F.lit(r.capacity).alias("capacity")) for r in known))
-    rows = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards))).withColumn("_s", F.explode(each)).select("_s.spec_id", "shard", "_s.capacity", "doc_id", "n_tokens")
-    return rows.groupBy("spec_id", "shard", "capacity").applyInArrow(_pack_shard, PLACED)
+    items = written(sizes.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens")), "sizes")
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("s")).first()
+    shards = [shard_count(total["n"], total["s"], r.capacity, shard_items) for r in known]
+    each = F.array(*(F.struct(F.lit(r.spec_id).alias("spec_id"), F.lit(r.capacity).alias("capacity"), F.lit(n).alias("shards")) for r, n in zip(known, shards)))
+    rows = items.withColumn("_s", F.explode(each)).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.col("_s.shards"))).select("_s.spec_id", "shard", "_s.capacity", "doc_id", "n_tokens")
+    spread = rows.repartition(min(2 * sum(shards), 100_000), "spec_id", "shard", "capacity")  # packing is work, not bytes: no coalescing by size
+    return spread.groupBy("spec_id", "shard", "capacity").applyInArrow(_pack_shard, PLACED)
 
 
 def fill_report(placed: DataFrame, specs: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Encoding the whole corpus: every distinct word of the corpus is encoded once, however often it occurs.
 
 1. Documents are taken in blocks of some millions of characters. Each text is split into pre-tokens; a block becomes one row: its
-   distinct words and, per document, the positions as indexes into them (byte planes, compressed). The blocks are shuffled once.
+   distinct words and, per document, the positions as indexes into them (byte planes, compressed). The blocks are written once to the
+   shared folder, as what is in a block follows from the order in which rows come: a task that is run again after a loss must find the
+   same blocks that the ids were made for.
 2. The words of all blocks are exploded, shuffled and sorted by word; each distinct word is encoded once, where its run of
    (block, index) entries begins, and its ids are joined to the entries of the run. A word has one entry per block, not per occurrence, so a frequent word isn't a hot key.
-3. The ids meet their block again, and each document's ids are put together by position.
+3. The blocks are shuffled, the ids meet them again, and each document's ids are put together by position.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import vocab
+from chronoweave.session import written
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 4_000_000
 _CHUNK_CHARS = 1_000_000
 _BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("low", pa.binary()), ("high", pa.binary()), ("words", pa.list_(pa.string()))])
 _BLOCK_DDL = "block long, docs array<long>, counts array<int>, low binary, high binary, words array<string>"
@@ -67,7 +70,8 @@ class _Block:
         whole = pa.chunked_array(self.parts).unify_dictionaries()
         words = whole.chunk(0).dictionary
         at = np.concatenate([c.indices.to_numpy() for c in whole.chunks])
-        order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")  # frequent words get small indexes, which pack well
+        often = pa.array(np.bincount(at, minlength=len(words)))
+        order = pc.sort_indices(pa.table({"n": often, "w": words}), sort_keys=[("n", "descending"), ("w", "ascending")]).to_numpy()  # frequent words get small indexes, which pack well
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
         low, high = _pack(place[at] if len(at) else at)
@@ -145,7 +149,7 @@ def encode_corpus(docs: DataFrame, path: str | None = None, block_chars: int = B
     """
     spark = docs.sparkSession
     content = spark.sparkContext.broadcast(vocab.vocabulary(path))
-    blocks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_to_blocks(block_chars), _BLOCK_DDL).repartition("block")
+    blocks = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_to_blocks(block_chars), _BLOCK_DDL), "token-blocks")
     entries = blocks.mapInArrow(_to_words, "word string, block long, at int").repartition("word").sortWithinPartitions("word")
     back = entries.mapInArrow(_encode(content), "block long, at int, ids array<int>")
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_together, "doc_id long, ids array<int>")

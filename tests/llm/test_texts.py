@@ -1,4 +1,6 @@
 import random
+import shutil
+import tracemalloc
 
 import pytest
 
@@ -85,3 +87,29 @@ def test_two_replace_the_smallest():
     # 6 + 3 leaves 1; 2 + 2 fill the gap of 4 left when 3 makes way.
     assert sorted(map(sorted, packing.best_two_fit([6, 3, 2, 2], 10))) == [[0, 2, 3], [1]]
     assert packing.best_two_fit([], 5) == [] and packing.best_two_fit([5, 5], 5) == [[0], [1]]
+
+
+def test_blocks_are_written_once(spark, tmp_path):
+    """Ids and positions come from the same stored blocks: a task that runs again can't find others, even if the rows come otherwise then."""
+    spark.createDataFrame([(i, f"word{i} and word{i % 3}") for i in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    coded = tokenise.encode_corpus(spark.read.parquet(str(tmp_path / "docs")), block_chars=100)
+    shutil.rmtree(tmp_path / "docs")
+    enc = vocab.encoder(vocab.vocabulary())
+    assert {r.doc_id: list(r.ids) for r in coded.collect()} == {i: enc.encode_ordinary(f"word{i} and word{i % 3}") for i in range(50)}
+
+
+def test_large_capacities_need_little_memory():
+    rng = random.Random(1)
+    sizes = [rng.randint(1, 20_000) for _ in range(3000)] + [999_999, 1_000_000]
+    tracemalloc.start()
+    packed = packing.best_two_fit(sizes, 1_000_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 << 20 and sorted(k for held in packed for k in held) == list(range(len(sizes)))
+    assert all(sum(sizes[k] for k in held) <= 1_000_000 for held in packed) and len(packed) <= sum(sizes) // 1_000_000 + 2
+
+
+def test_shards_follow_items_and_capacity():
+    assert packing.shard_count(100_000, 50_000_000, 512) == 5  # 20,000 items each
+    assert packing.shard_count(1_000_000, 500_000_000, 1_000_000) == 3  # 400,000 items fill 200 containers
+    assert packing.shard_count(10_000_000, 10_000_000, 1_000_000) == 10 and packing.shard_count(0, 0, 10) == 1
