@@ -1,21 +1,29 @@
-"""What personal information looks like in one text: direct finds (e-mail, phone, identity number, address) and candidates for names.
+"""What personal information can look like in one text: candidates of every kind with their form, the term before them and what is known of it.
 
-Whether a candidate is a name is decided elsewhere, from statistics of the whole corpus.
+Whether a candidate discloses a person is decided elsewhere, from statistics of the whole corpus. Nothing here looks at a window of so many characters:
+what goes before a place is matched backwards from it (the flag (?r)), what follows forwards, each as far as its form reaches.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
+import regex
 
 # ---- fixed values: words and forms that mark the kinds -------------------------------------------------------------
 FILE_ENDINGS = "bmp bz2 c cc class cpp css csv dll exe gif go gz h hpp htm html ico jar java jpeg jpg js json jsx lock log lua md mjs mp3 mp4 o pdf php png py rb rs sh so sql svg tar tgz toml ts tsx txt wasm webp woff xml yaml yml zip".split()
 PLACEHOLDER_LOCALS = "user username you yourname your.name name email someone somebody nobody foo bar xxx".split()
 ID_LABELS = [
     r"ssn", r"social security(?: (?:no\.?|number|nr\.?))?", r"soc\. ?sec\. (?:no\.?|number)", r"tax id", r"taxpayer (?:number|id|no\.?)", r"tin", r"steuer-?id(?:-?nr\.?)?", r"steuernummer", r"dni(?: titular)?", r"documento", r"nif", r"nie",
+    r"cpf(?: (?:no\.?|number))?", r"aadhaar(?: (?:no\.?|number|id))?", r"nhs (?:no\.?|number)", r"pesel", r"bsn", r"codice fiscale",
     r"national id(?: (?:no\.?|number))?", r"national insurance(?: (?:no\.?|number))?", r"ni (?:no\.?|number)", r"nino", r"personal number", r"personnummer", r"passport(?: (?:no\.?|number|nr\.?))?", r"reisepass(?:-?(?:nr\.?|nummer))?",
 ]
-ID_VALUES = [r"\d{3}(?P<ssn>[- ])\d{2}(?P=ssn)\d{4}", r"\d{9}", r"\d{2} \d{3} \d{3} \d{3}", r"\d{11}", r"\d{2}\.\d{3}\.\d{3}-?[A-Z]", r"\d{8}-?[A-Z]", r"(?:\d{2})?\d{6}[-+]\d{4}", r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]", r"[A-Z]{1,2}\d{7}"]
+ID_VALUES = [r"\d{3}(?P<ssn>[- ])\d{2}(?P=ssn)\d{4}", r"\d{9}", r"\d{2} \d{3} \d{3} \d{3}", r"\d{11}", r"\d{2}\.\d{3}\.\d{3}-?[A-Z]", r"\d{8}-?[A-Z]", r"(?:\d{2})?\d{6}[-+]\d{4}", r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]", r"[A-Z]{1,2}\d{7}", r"\d{3}\.\d{3}\.\d{3}-\d{2}", r"\d{4} \d{4} \d{4}", r"\d{3} \d{3} \d{4}"]
+PHONE_LABELS = ["tel", "tel.", "telephone", "telefon", "telefono", "teléfono", "téléphone", "phone", "phone number", "mobile", "mobil", "cell", "fax", "handy", "móvil", "portable", "whatsapp"]
+THING_LABELS = ["isbn", "sku", "invoice", "part no", "part no.", "order", "order number", "build", "rev", "epoch", "version", "serial", "ticket", "id", "port", "range", "tax id", "ssn"]
+OPEN_PHONE_FORMS = [r"\d{10}", r"0\d[ -]\d{4}[ -]\d{4}", r"\(0\d\) ?\d{4}[ -]?\d{4}", r"\d{3,4}[ -]\d{3}[ -]?\d{3,4}"]  # tell nothing by themselves
 PHONE_FORMS = [
     r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,5}",
     r"00 ?[1-9]\d{0,2}[ -]?\(0\)[ -]?\d{2,5}(?:[ -]\d{2,6}){1,3}",
@@ -27,6 +35,8 @@ EN_STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Dr Court Ct Crescent Cr
 DE_ENDINGS = "straße strasse str. allee weg pfad platz gasse ring damm ufer steig chaussee stieg".split()
 DE_BEGINNINGS = ["Am", "An der", "An den", "Auf dem", "Auf der", "Im", "In der", "Zum", "Zur", "Unter den", "Hinter der"]
 FR_STREETS = ["rue", "avenue", "av.", "bd", "boulevard", "impasse", "place", "allée", "chemin", "quai", "cours", "route", "passage", "square"]
+IT_STREETS = ["Via", "via", "Viale", "viale", "Piazza", "piazza", "Corso", "corso", "Largo", "Vicolo", "vicolo"]
+PL_STREETS = ["ul.", "Ul.", "al.", "Al.", "pl.", "Pl."]
 ES_STREETS = ["Calle", "C/", "Avda.", "Avenida", "Av.", "Plaza", "Paseo", "Pza.", "Camino", "Ronda", "Travesía", "Carrera"]
 # For text all in capitals or all in lower case: other languages' street words that are no everyday words ("hashring 9", "STRING 5"),
 # English ones that are, so that in lower case no word may follow them, and words that are in no street's name.
@@ -41,14 +51,35 @@ NAME_CUES = r"(?:[Aa]uthor|AUTHOR|[Mm]aintainer|[Cc]ontact|[Oo]wner|[Nn]ame|[Hh]
 _AT = re.compile(r"@| ?\[@\] ?| ?\(@\) ?")
 _AT_ANY = re.compile(r" ?(?:\([Aa][Tt]\)|\[[Aa][Tt]\]|<[Aa][Tt]>|\{[Aa][Tt]\}|\[@\]|\(@\)) ?|@|&#64;|&#x40;|&commat;|%40| at-sign | AT | at (?=[\w-]{2,40} ?(?:dot |DOT |\(dot\)|\[dot\]))")
 _AT_SIGNS = ["&#64;", "&#x40;", "&commat;", "%40", " at-sign ", " AT ", "(at)", "[at]", "<at>", "{at}", "(AT)", "[AT]", "<AT>", "[@]", "(@)", " at "]
-_LOCAL = re.compile(r"[^\W_](?:[\w.+%-]*[\w+])?\Z")
+_LOCAL = regex.compile(r"(?r)[^\W_](?:[\w.+%-]*[\w+])?")
 _DOT = r"(?:\.| ?(?:\([Dd][Oo][Tt]\)|\[[Dd][Oo][Tt]\]|\{dot\}|\[\.\]) ?| (?:dot|DOT) )"
 _DOMAIN = re.compile(rf"[^\W_](?:[\w-]{{0,61}}[^\W_])?(?:{_DOT}[^\W_](?:[\w-]{{0,61}}[^\W_])?)+")
-_LAST = re.compile(r"([^\W\d_]{2,24})\Z")
-_SPACE_BACK = re.compile(r"\S*\Z")
+_LAST = re.compile(r"([^\W\d_]{2,})\Z")
+_BEFORE_LOCAL = regex.compile(r"(?r)[^\s\"'<>()\[\]{},;]*")
+
+
+class Candidate(NamedTuple):
+    """start, end, kind, form, cue (the term right before it) and told: 1 beside a label of its kind, -1 of things, else 0. sure: a form that tells by itself."""
+
+    start: int
+    end: int
+    kind: str
+    form: str
+    cue: str | None
+    told: int
+    sure: bool
+
 
+_CUE = regex.compile(r"(?r)(?P<w>[^\W\d_]{2,})[.]?['\"]?[ :=#'\"(\[-]*")
 
-def emails(t: str) -> Iterator[tuple[int, int]]:
+
+def cue(t: str, at: int) -> str | None:
+    """The word before a place, with nothing but signs between."""
+    m = _CUE.match(t, 0, at)
+    return m["w"].lower() if m and m.end() == at else None
+
+
+def emails(t: str) -> Iterator[Candidate]:
     if not any(x in t for x in _AT_SIGNS):
         if "@" not in t:
             return
@@ -56,43 +87,61 @@ def emails(t: str) -> Iterator[tuple[int, int]]:
     else:
         at = _AT_ANY
     for m in at.finditer(t):
-        local = _LOCAL.search(t, max(0, m.start() - 64), m.start())
+        local = _LOCAL.match(t, 0, m.start())
         domain = local and _DOMAIN.match(t, m.end())
         if not domain:
             continue
         last = _LAST.search(domain[0])
         if not last or last[1].lower() in FILE_ENDINGS or local[0].lower() in PLACEHOLDER_LOCALS:
             continue
-        before = _SPACE_BACK.search(t, max(0, local.start() - 200), local.start())[0]
-        if "://" in before or before.endswith(("@", "${", "<%")):
+        before = _BEFORE_LOCAL.match(t, 0, local.start())[0]
+        if "://" in before or before.endswith(("@", "$")) or t[max(0, local.start() - 2) : local.start()] in ("${", "<%"):
             continue  # credentials in a URL
         after = t[domain.end() : domain.end() + 2]
         if m[0] == "@" and (local[0] in ("git", "hg", "svn") and after[:1] in (":", "/") or re.match(r":[\w~/]", after) or before.lower().endswith("ssh://")):
             continue  # location of a repository
-        yield local.start(), domain.end()
+        yield Candidate(local.start(), domain.end(), "email", "plain" if m[0] == "@" else "disguised", cue(t, local.start()), 0, True)
 
 
 # ---- phone, identity number -----------------------------------------------------------------------------------------
 _NUMBER = re.compile(r"(?<![\w.,+/:#-])(?:[A-Z]{1,2} ?)?[+(]?\d(?:[\d ().+-]{4,}\d)(?:-?[A-Z]\b| [A-D]\b)?")
-_PHONE = re.compile("(?:" + "|".join(f"(?:{p})" for p in PHONE_FORMS) + r")(?![\w%]|[.,:-]\d)")
-_NOT_PHONE = re.compile(r"(?<![A-Za-z_])(?:isbn|sku|invoice|part no\.?|order(?: number)?|build|rev|epoch|version|serial|ticket|id|port|range|tax id|ssn)[ :#=\"']*\Z", re.I)
-_VALUE = re.compile("(?:" + "|".join(ID_VALUES) + r")(?![\w]|-\d|\.\d)")
-_LABEL = re.compile(r"(?<![^\W_])(?:" + "|".join(ID_LABELS) + r")(?![^\W_])(?:['\"]| of (?:the|a|our|my) \w+(?: \w+)?)?(?: ?[:=#] ?| is | )?[ '\"]{0,2}\Z", re.I)
+_AFTER_PHONE = r"(?![\w%]|[.,:-]\d)"
+_PHONE = re.compile("(?:" + "|".join(f"(?P<f{i}>{p})" for i, p in enumerate(PHONE_FORMS)).replace(r"\1", r"(?P=sep)").replace("([-. ])", "(?P<sep>[-. ])") + ")" + _AFTER_PHONE)
+_OPEN_PHONE = re.compile("(?:" + "|".join(f"(?P<f{i}>{p})" for i, p in enumerate(OPEN_PHONE_FORMS)) + ")" + _AFTER_PHONE)
+_labels = lambda xs: "|".join(re.escape(x) for x in sorted(xs, key=len, reverse=True))
+_THING = regex.compile(r"(?r)(?i)(?<![A-Za-z_])(?:" + _labels(THING_LABELS) + r")[ :#=\"']*")
+_PHONE_LABEL = regex.compile(r"(?r)(?i)(?<![^\W_])(?:" + _labels(PHONE_LABELS) + r")(?:['\"]|\.| (?:no\.?|number|nr\.?))?(?: ?[:=#] ?| is | )?[ '\"]{0,2}")
+_VALUE = re.compile("(?:" + "|".join(f"(?P<v{i}>{p})" for i, p in enumerate(ID_VALUES)) + r")(?![\w]|-\d|\.\d)")
+_LABEL = regex.compile(r"(?r)(?i)(?<![^\W_])(?:" + "|".join(ID_LABELS) + r")(?![^\W_])(?:['\"]| of (?:the|a|our|my) \w+(?: \w+)?)?(?: ?[:=#] ?| is | )?[ '\"]{0,2}")
+
+
+def _before(p: regex.Pattern, t: str, at: int) -> bool:
+    return p.match(t, 0, at) is not None
 
 
-def numbers(t: str) -> Iterator[tuple[int, int, str]]:
-    """Identity numbers, which a label goes before, and phones."""
+def numbers(t: str) -> Iterator[Candidate]:
+    """Numbers that could be identity numbers or phones; a number of no such form comes out as kind number, for what it tells of its cue."""
     for m in _NUMBER.finditer(t):
         at = m.start()
-        value = _VALUE.match(t, at)
-        if value and _LABEL.search(t, max(0, at - 60), at):
-            yield at, value.end(), "id_number"
+        value, name = _VALUE.match(t, at), cue(t, at)
+        if value and _before(_LABEL, t, at):
+            yield Candidate(at, value.end(), "id_number", next(k for k, v in value.groupdict().items() if v and k != "ssn"), name, 1, False)
             continue
+        start = at
         if t[at].isalpha():
             at += 1 + (not t[at + 1].isdigit() and t[at + 1] not in "+(") + (t[at + 1] != " " and t[at + 2] == " ")
+        fits = lambda x: x and 9 <= sum(map(str.isdigit, x[0])) <= 16
         phone = _PHONE.match(t, at)
-        if phone and 9 <= sum(map(str.isdigit, phone[0])) <= 16 and not _NOT_PHONE.search(t, max(0, at - 24), at):
-            yield at, phone.end(), "phone"
+        sure = fits(phone)
+        if not sure:
+            phone = _OPEN_PHONE.match(t, at)
+        if sure or fits(phone):
+            told = -1 if _before(_THING, t, at) else 1 if _before(_PHONE_LABEL, t, at) else 0
+            yield Candidate(at, phone.end(), "phone", ("sure " if sure else "open ") + next(k for k, v in phone.groupdict().items() if v and k != "sep"), name, told, bool(sure))
+        elif value:
+            yield Candidate(start, value.end(), "id_number", next(k for k, v in value.groupdict().items() if v and k != "ssn"), name, -1 if _before(_THING, t, start) else 0, False)
+        else:
+            yield Candidate(start, m.end(), "number", "other", name, 0, False)
 
 
 # ---- address --------------------------------------------------------------------------------------------------------
@@ -103,11 +152,14 @@ _EN = rf"\d{{1,4}}[A-Za-z]? (?:{_CAP}\.? ){{1,4}}?(?:{'|'.join(EN_STREETS)})(?!\
 _DE = rf"(?:(?:{'|'.join(DE_BEGINNINGS)}) (?:{_CAP} ?){{1,3}}|(?:{_CAP} )?[A-ZÄÖÜ][\wäöüß-]*?(?:{'|'.join(re.escape(x) for x in DE_ENDINGS)})|(?:{_CAP}[ -])?(?:Straße|Allee|Weg|Platz)) ?\d{{1,4}} ?[a-z]?(?![\w])" + _TAIL
 _FR = rf"\d{{1,4}}(?: ?(?:bis|ter))?,? (?:{'|'.join(re.escape(x) for x in FR_STREETS)}) (?:de la |de l['’]|des |du |de |d['’])?(?:{_CAP}[ -]?){{1,3}}" + _TAIL
 _ES = rf"(?:{'|'.join(re.escape(x) for x in ES_STREETS)}) ?(?:del |de las |de los |de la |de )?(?:{_CAP} ){{1,3}},? ?(?:n[.º°]+ ?)?\d{{1,4}}(?!\w)" + _TAIL
+_IT = rf"(?:{'|'.join(re.escape(x) for x in IT_STREETS)}) (?:della |delle |dei |del |di |d['’])?(?:{_CAP} ){{1,3}}?\d{{1,4}}(?!\w)" + _TAIL
+_PL = rf"(?:{'|'.join(re.escape(x) for x in PL_STREETS)}) (?:{_CAP} ){{1,3}}?\d{{1,4}}(?:/\d{{1,4}})?(?!\w)" + _TAIL
 _HINTS = {
     _EN: [f" {x}" for x in EN_STREETS], _FR: [f" {x} " for x in FR_STREETS], _ES: [f"{x} " for x in ES_STREETS],
     _DE: [f"{x} " for x in DE_ENDINGS + DE_BEGINNINGS] + ["Straße", "Allee ", "Weg ", "Platz "],
 }
 _HINTED = [(re.compile("|".join(map(re.escape, hints))), re.compile(rf"(?<![\w.,:/@#$-])(?:{p})")) for p, hints in _HINTS.items()]
+_NEW_HINTS = [(re.compile("|".join(rf"(?<!\w){re.escape(x)} (?=[A-ZÀ-ÖØ-ÞŁŠŽ])" for x in xs)), re.compile(rf"(?<![\w.,:/@#$-])(?:{p})")) for p, xs in ((_PL, PL_STREETS), (_IT, IT_STREETS))]
 
 
 def _one_case(case: Callable[[str], str]) -> Iterator[tuple[re.Pattern, re.Pattern]]:
@@ -131,22 +183,29 @@ def _one_case(case: Callable[[str], str]) -> Iterator[tuple[re.Pattern, re.Patte
         yield re.compile(hint), re.compile(p + tail)
 
 
-_HINTED += [*_one_case(str.upper), *_one_case(str.lower)]
+_FORMS = ["en", "fr", "es", "de", *(f"{c} {x}" for c in ("upper", "lower") for x in ("en", "fr", "de", "es")), "pl", "it"]
+_HINTED += [*_one_case(str.upper), *_one_case(str.lower), *_NEW_HINTS]
+_WORDS_BACK = regex.compile(r"(?r)(?:[^\s]+ ){0,7}[^\s]*")  # as many words as any form has before its street word
+_WORD_BEGINS = re.compile(r"(?<![\w])\w")
+_ADDRESS_LABEL = regex.compile(r"(?r)(?i)(?:address|anschrift|adresse|dirección|domicilio|indirizzo|adres|lives at|wohnhaft|residente in|abita in)(?: in)?['\"]?[ :=]*['\"]?")
+_OPEN_STREETS = {"it"}
 
 
-def addresses(t: str) -> Iterator[tuple[int, int]]:
-    """Only the surroundings of words that mark a street are searched."""
-    for hint, pattern in _HINTED:
+def addresses(t: str) -> Iterator[Candidate]:
+    """Only the surroundings of words that mark a street are searched. Italian streets are open ("via Port 80") unless a postcode and town follow."""
+    for form, (hint, pattern) in zip(_FORMS, _HINTED):
         done = 0
         for h in hint.finditer(t):
             if h.start() < done:
                 continue
-            at = max(done, h.start() - 60, t.rfind("\n", 0, h.start()) + 1)
-            for m in pattern.finditer(t, at, min(len(t), h.end() + 160)):
-                if m.start() <= h.end():
-                    yield m.span()
+            at = max(done, _WORDS_BACK.match(t, 0, h.start()).start(), t.rfind("\n", 0, h.start()) + 1)
+            for w in _WORD_BEGINS.finditer(t, at, h.end()):
+                m = pattern.match(t, w.start())
+                if m:
+                    told = 1 if _before(_ADDRESS_LABEL, t, m.start()) else 0
+                    yield Candidate(*m.span(), "address", form, cue(t, m.start()), told, form not in _OPEN_STREETS or bool(re.search(r"\d{5} \w", m[0])))
                     done = m.end()
-                break
+                    break
 
 
 # ---- names ----------------------------------------------------------------------------------------------------------
@@ -157,13 +216,13 @@ _PART = rf"(?:(?:{_PARTS}|{_PARTS.upper()}) )"
 _STUCK = r"(?:[Aa]l-|AL-)?(?:Mc|MC|[OoDd]['’](?=\w\w))?"
 _END = r"(?![\w@’]|['’]\w\w|[.+_-]\w|&#|%40)"
 _INITIALS = rf"(?:[{_UP}]\.? ){{0,2}}"
-_FORWARD = re.compile(rf"{_BEFORE}(?P<a>[{_UP}](?:\.|[^\W\d_]{{1,20}}(?:-[{_UP}][^\W\d_]{{1,20}})?)) (?={_INITIALS}{_PART}{{0,2}}{_STUCK}(?P<b>[{_UP}][^\W\d_]{{2,24}})(?P<c>(?:-[{_UP}][^\W\d_]{{2,24}})*){_END})")
-_LOWER_FAMILY = rf"(?:[a-z]\.? ){{0,2}}(?:(?:{_PARTS}) ){{0,2}}(?:al-)?(?:mc|[od]['’](?=\w\w))?(?P<b>[^\W\d_]{{3,24}})(?P<c>(?:-[^\W\d_]{{3,24}})*){_END}"
-_LOWER = re.compile(rf"(?P<a>[^\W\d_A-Z]{{2,20}}|[a-z]\.) (?={_LOWER_FAMILY})")
+_FORWARD = re.compile(rf"{_BEFORE}(?P<a>[{_UP}](?:\.|[^\W\d_]+(?:-[{_UP}][^\W\d_]+)?)) (?={_INITIALS}{_PART}{{0,2}}{_STUCK}(?P<b>[{_UP}][^\W\d_]{{2,}})(?P<c>(?:-[{_UP}][^\W\d_]{{2,}})*){_END})")
+_LOWER_FAMILY = rf"(?:[a-z]\.? ){{0,2}}(?:(?:{_PARTS}) ){{0,2}}(?:al-)?(?:mc|[od]['’](?=\w\w))?(?P<b>[^\W\d_]{{3,}})(?P<c>(?:-[^\W\d_]{{3,}})*){_END}"
+_LOWER = re.compile(rf"(?P<a>[^\W\d_A-Z]{{2,}}|[a-z]\.) (?={_LOWER_FAMILY})")
 _LOWER_CUE = re.compile(r"(?:uthor|aintainer|-by):? +(?=[^\W\d_A-Z])")
 _LINE_HEAD = re.compile(r"(?:[-*|#/] ?)*")
-_COMMA = re.compile(rf", (?=(?P<a>[{_UP}](?:\.|[^\W\d_]{{1,20}}))(?: [{_UP}]\.)?(?![\w@’'-]|[.+_]\w))")
-_FAMILY_BACK = re.compile(rf"{_BEFORE}{_PART}{{0,2}}{_STUCK}(?P<b>[{_UP}][^\W\d_]{{2,24}})(?:-[{_UP}][^\W\d_]{{2,24}})*\Z")
+_COMMA = re.compile(rf", (?=(?P<a>[{_UP}](?:\.|[^\W\d_]+))(?: [{_UP}]\.)?(?![\w@’'-]|[.+_]\w))")
+_FAMILY_BACK = regex.compile(rf"(?r){_BEFORE}{_PART}{{0,2}}{_STUCK}(?P<b>[{_UP}][^\W\d_]{{2,}})(?:-[{_UP}][^\W\d_]{{2,}})*")
 _FIRM = re.compile(rf" (?:{'|'.join(FIRM_ENDINGS)})\b|, (?:Ltd|Inc)\b")
 
 
@@ -179,7 +238,7 @@ def names(t: str, seen: set[str], lex: Lexicon, mails: list[tuple[int, int]]) ->
             yield m.start(), m.end("c"), m["a"].lower(), m["b"].lower(), "forward"
     for m in _COMMA.finditer(t):
         if t[m.start() - 1 : m.start()].isalpha():
-            f = _FAMILY_BACK.search(t, max(0, m.start() - 70), m.start())
+            f = _FAMILY_BACK.match(t, 0, m.start())
             if f:
                 yield f.start(), m.end("a"), m["a"].lower(), f["b"].lower(), "back"
     starts = set()
@@ -197,7 +256,7 @@ def names(t: str, seen: set[str], lex: Lexicon, mails: list[tuple[int, int]]) ->
             yield m.start(), m.end("c"), m["a"], m["b"].lower(), "forward"
 
 
-_WORD = re.compile(r"(?<![\w.@+'’-])[^\W\d_]{3,24}(?![\w@+])")
+_WORD = re.compile(r"(?<![\w.@+'’-])[^\W\d_]{3,}(?![\w@+])")
 
 
 def words(t: str) -> list[str]:
