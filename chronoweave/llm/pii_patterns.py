@@ -159,7 +159,36 @@ _HINTS = {
     _DE: [f"{x} " for x in DE_ENDINGS + DE_BEGINNINGS] + ["Straße", "Allee ", "Weg ", "Platz "],
 }
 _HINTED = [(re.compile("|".join(map(re.escape, hints))), re.compile(rf"(?<![\w.,:/@#$-])(?:{p})")) for p, hints in _HINTS.items()]
-_NEW_HINTS = [(re.compile("|".join(rf"(?<!\w){re.escape(x)} (?=[A-ZÀ-ÖØ-ÞŁŠŽ])" for x in xs)), re.compile(rf"(?<![\w.,:/@#$-])(?:{p})")) for p, xs in ((_PL, PL_STREETS), (_IT, IT_STREETS))]
+
+
+class _Words:
+    """Hints that are words of their own before a capital, found as plain text: quicker than one pattern of them all."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = [w + " " for w in words]
+
+    def finditer(self, t: str) -> Iterator[_Words.Hint]:
+        found = []
+        for w in self.words:
+            at = t.find(w)
+            while at >= 0:
+                if t[at + len(w) : at + len(w) + 1].isupper() and not t[at - 1 : at].isalnum():
+                    found.append((at, at + len(w)))
+                at = t.find(w, at + 1)
+        return (self.Hint(*x) for x in sorted(found))
+
+    class Hint(NamedTuple):
+        a: int
+        b: int
+
+        def start(self) -> int:
+            return self.a
+
+        def end(self) -> int:
+            return self.b
+
+
+_NEW_HINTS = [(_Words(xs), re.compile(rf"(?<![\w.,:/@#$-])(?:{p})")) for p, xs in ((_PL, PL_STREETS), (_IT, IT_STREETS))]
 
 
 def _one_case(case: Callable[[str], str]) -> Iterator[tuple[re.Pattern, re.Pattern]]:
@@ -186,7 +215,7 @@ def _one_case(case: Callable[[str], str]) -> Iterator[tuple[re.Pattern, re.Patte
 _FORMS = ["en", "fr", "es", "de", *(f"{c} {x}" for c in ("upper", "lower") for x in ("en", "fr", "de", "es")), "pl", "it"]
 _HINTED += [*_one_case(str.upper), *_one_case(str.lower), *_NEW_HINTS]
 _WORDS_BACK = regex.compile(r"(?r)(?:[^\s]+ ){0,7}[^\s]*")  # as many words as any form has before its street word
-_WORD_BEGINS = re.compile(r"(?<![\w])\w")
+_WORDS_ON = re.compile(r"\S*(?:\s+\S+){0,8}")  # and after it
 _ADDRESS_LABEL = regex.compile(r"(?r)(?i)(?:address|anschrift|adresse|dirección|domicilio|indirizzo|adres|lives at|wohnhaft|residente in|abita in)(?: in)?['\"]?[ :=]*['\"]?")
 _OPEN_STREETS = {"it"}
 
@@ -199,13 +228,12 @@ def addresses(t: str) -> Iterator[Candidate]:
             if h.start() < done:
                 continue
             at = max(done, _WORDS_BACK.match(t, 0, h.start()).start(), t.rfind("\n", 0, h.start()) + 1)
-            for w in _WORD_BEGINS.finditer(t, at, h.end()):
-                m = pattern.match(t, w.start())
-                if m:
-                    told = 1 if _before(_ADDRESS_LABEL, t, m.start()) else 0
-                    yield Candidate(*m.span(), "address", form, cue(t, m.start()), told, form not in _OPEN_STREETS or bool(re.search(r"\d{5} \w", m[0])))
-                    done = m.end()
-                    break
+            m = pattern.search(t, at, _WORDS_ON.match(t, h.end()).end())
+            if m and m.start() <= h.end():
+                m = pattern.match(t, m.start())  # as far as it goes
+                told = 1 if _before(_ADDRESS_LABEL, t, m.start()) else 0
+                yield Candidate(*m.span(), "address", form, cue(t, m.start()), told, form not in _OPEN_STREETS or bool(re.search(r"\d{5} \w", m[0])))
+                done = m.end()
 
 
 # ---- names ----------------------------------------------------------------------------------------------------------
