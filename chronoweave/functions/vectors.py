@@ -73,5 +73,7 @@ def layer_norm(x: Column, eps: float = 1e-5) -> Column:
 
 
 def time_encoding(t: Column, width: int) -> Column:
-    """cos(t * w_j) with w_j = 10^(-9 j / (width - 1)), the initial frequencies of a learned time encoding."""
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.cos(t * F.pow(F.lit(10.0), -9.0 * j / (width - 1))))
+    """cos(t * w_j) with w_j = 10^(-9 j / (width - 1)), the initial frequencies of a learned time encoding; nothing for width 0, cos(t) for 1."""
+    if width == 0:
+        return F.array().cast("array<double>")
+    return F.array(*(F.cos(t * 10.0 ** (-9.0 * j / max(width - 1, 1))) for j in range(width)))

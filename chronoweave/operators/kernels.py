@@ -1,11 +1,10 @@
-"""Grouped vector kernels over the edges of a block: degrees, prefix sums, sums by root, softmax and its gradient, attention."""
+"""Grouped vector kernels over the edges of a block: degrees, prefix sums, sums by root, softmax and its gradient. Attention is in nn."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.functions import vectors as V
 
 
 def in_degrees(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -21,10 +20,13 @@ def balance_marks(prefix: DataFrame, threshold: int, chunk: int = 256) -> DataFr
     return chunks.select("id", F.coalesce(step, F.lit(False)).cast("int").alias("mark"))
 
 
-def scatter_sum(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
-    """Sum of the vectors of each group, per position: by, pos, value. Null vectors and elements are passed over; every row counts."""
-    flat = rows.select(*by, F.posexplode(vector).alias("pos", "_v"))
-    return flat.groupBy(*by, "pos").agg(F.sum(F.col("_v").cast("double")).alias("value"))
+def scatter_sum(rows: DataFrame, by: list[str], vector: str, width: int) -> DataFrame:
+    """Sum of the vectors (of `width` elements) of each group, per position: by, pos, value. Null vectors and elements are passed over.
+
+    The elements are summed side by side, so a group moves as one row.
+    """
+    sums = rows.filter(F.col(vector).isNotNull()).groupBy(*by).agg(*(F.sum(F.col(vector)[i].cast("double")).alias(f"_s{i}") for i in range(width)))
+    return sums.select(*by, F.posexplode(F.array(*(f"_s{i}" for i in range(width)))).alias("pos", "value"))
 
 
 def edge_softmax(rows: DataFrame, by: list[str], score: str, out: str = "y") -> DataFrame:
@@ -42,17 +44,3 @@ def edge_softmax_gradient(rows: DataFrame, by: list[str], y: str, dy: str) -> Da
 def nan_rows(rows: DataFrame, vector: str) -> DataFrame:
     """The rows whose vector holds a NaN."""
     return rows.filter(F.exists(vector, lambda x: F.isnan(x)))
-
-
-def attention(rows: DataFrame, root: list[str], heads: int, q: str, k: str, v: str) -> DataFrame:
-    """Multi-head attention over the neighbours of each root: root, head, pos, value.
-
-    q, k, v are vectors of one width, a multiple of heads. A head's score is LeakyReLU(sum of q * k) over its part, without a divisor;
-    softmax over the root's neighbours weighs the parts of v, which are summed.
-    """
-    width = F.size(q) / heads
-    part = lambda c: F.slice(F.col(c), (F.col("head") * width + 1).cast("int"), width.cast("int"))
-    each = rows.withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))))
-    scored = each.withColumn("_s", V.leaky_relu(V.dot(part(q), part(k)))).withColumn("_p", part(v))
-    soft = edge_softmax(scored, [*root, "head"], "_s", "_a")
-    return scatter_sum(soft.withColumn("_w", V.scale(F.col("_p"), F.col("_a"))), [*root, "head"], "_w")

@@ -1,18 +1,21 @@
 """Memory and mailbox of nodes over batches: last write wins within a batch, ring buffers over batches, delivery to neighbours.
 
 A batch is seen as one instant: what it writes is read from the next batch on. All operators take the batch as a column, so any
-number of batches is one job; only models whose mails hold the memory itself need batch after batch (see fold_batches).
+number of batches is one job; only models whose mails hold the memory itself need batch after batch (see history).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.config import MemorySettings
+from chronoweave.operators import layers as L
 from chronoweave.session import written
 
 
@@ -31,6 +34,26 @@ def build_mails(edges: DataFrame, memory: DataFrame, edge_features: DataFrame, w
     return full.select("batch", "edge_pos", "t", F.explode(both).alias("_m")).select("batch", (F.col("edge_pos") * 2 + F.col("_m.o")).alias("pos"), "_m.node", "t", "_m.mail")
 
 
+def mail_rows(edges: DataFrame) -> DataFrame:
+    """The mails of build_mails without their vectors: batch, pos, node, t, other, eid. What is kept of them can be filled by with_mails."""
+    both = F.array(F.struct(F.lit(0).alias("o"), F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.lit(1).alias("o"), F.col("dst").alias("node"), F.col("src").alias("other")))
+    return edges.select("batch", "edge_pos", "t", "eid", F.explode(both).alias("_m")).select("batch", (F.col("edge_pos") * 2 + F.col("_m.o")).alias("pos"), "_m.node", "t", "_m.other", "eid")
+
+
+def with_mails(rows: DataFrame, memory: DataFrame, edge_features: DataFrame, width: int, edge_width: int) -> DataFrame:
+    """rows of mail_rows with mail in place of other and eid: vectors are moved for the mails that were kept only."""
+    part = lambda c, w: F.coalesce(F.transform(F.col(c), lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), w))
+    own = rows.join(memory.select("node", F.col("f").alias("_own")), "node", "left")
+    both = own.join(memory.select(F.col("node").alias("other"), F.col("f").alias("_far")), "other", "left")
+    full = both.join(edge_features.select("eid", F.col("f").alias("_edge")), "eid", "left")
+    return full.withColumn("mail", F.concat(part("_own", width), part("_far", width), part("_edge", edge_width))).drop("_own", "_far", "_edge", "other", "eid")
+
+
+def state_of(nodes: DataFrame, written_state: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """nodes with the fields (name: default as SQL) of their state, the defaults where nothing was written: an empty state reads as zeros."""
+    return nodes.join(written_state.select("node", *fields), "node", "left").select("node", *(F.coalesce(F.col(n), F.expr(d)).alias(n) for n, d in fields.items()))
+
+
 def last_per_batch(rows: DataFrame, pos: str = "pos") -> DataFrame:
     """The last row per (batch, node) by pos; combined map-side, so a hot node is one row a task and batch."""
     rest = [c for c in rows.columns if c not in ("batch", "node")]
@@ -55,6 +78,22 @@ def state_before(writes: DataFrame, reads: DataFrame, key: list[str], fields: li
     return seen.select("_r.*", "batch", "node", *(F.col(f"_l.{f}").alias(f) for f in fields))
 
 
+def state_before_distinct(writes: DataFrame, reads: DataFrame, fields: list[str], span: int = 1000) -> DataFrame:
+    """reads (with batch and node, any further columns) with the fields as state_before gives them, each distinct (batch, node) read once."""
+    once = state_before(writes, reads.select("batch", "node").distinct().withColumn("_k", F.lit(1)), ["_k"], fields, span).drop("_k")
+    return reads.join(once, ["batch", "node"])
+
+
+def two_phase(mails: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
+    """Writing in two phases: what each batch leaves behind (batch, node, its last mail, turn), then the places it takes: node, slot, and for how long, from
+    batch `since` to before batch `until` (null: still). One state of all batches, of which a reader takes the rows valid at its batch.
+    """
+    staged = last_per_batch(mails).withColumn("turn", F.dense_rank().over(Window.partitionBy("node").orderBy("batch")) - 1)
+    next_in_slot = F.lead("batch").over(Window.partitionBy("node", F.pmod("turn", F.lit(slots))).orderBy("batch"))
+    placed = staged.withColumns({"slot": F.pmod("turn", F.lit(slots)).cast("int"), "until": next_in_slot}).withColumnRenamed("batch", "since").drop("turn")
+    return staged, placed
+
+
 def ring_slots(mails: DataFrame, slots: int) -> DataFrame:
     """Slot of each mail: one slot a node and batch, in turn. mails: at most one row per (batch, node)."""
     turn = F.dense_rank().over(Window.partitionBy("node").orderBy("batch")) - 1
@@ -94,162 +133,137 @@ def last_delivered(sent: DataFrame) -> DataFrame:
     return best.select("batch", "node", "_b.*")
 
 
-def mean_delivered(sent: DataFrame, deliver_to: str = "neighbors") -> DataFrame:
+def mean_delivered(sent: DataFrame, width: int, deliver_to: str = "neighbors") -> DataFrame:
     """Per (batch, node) the mean of its mails, per position: batch, node, pos, value. Only for delivery to neighbours."""
     if deliver_to == "self":
         raise ValueError("the mean of mails is defined for delivery to neighbours only")
-    flat = sent.select("batch", "node", F.posexplode("mail").alias("at", "v"))
-    return flat.groupBy("batch", "node", F.col("at").alias("pos")).agg(F.avg("v").alias("value"))
-
-
-def mean_times(sent: DataFrame) -> DataFrame:
-    return sent.groupBy("batch", "node").agg(F.avg("t").alias("mail_t"), F.count(F.lit(1)).alias("n"))
+    means = sent.groupBy("batch", "node").agg(*(F.avg(F.col("mail")[i]).alias(f"_m{i}") for i in range(width)))
+    return means.select("batch", "node", F.posexplode(F.array(*(f"_m{i}" for i in range(width)))).alias("pos", "value"))
 
 
 # ---- updaters -------------------------------------------------------------------------------------------------------
-def _weights(rows: int, cols: int, seed: int) -> np.ndarray:
-    r, c = np.meshgrid(np.arange(rows), np.arange(cols), indexing="ij")
-    return ((r * 31 + c * 17 + seed * 7) % 19 - 9) / 20.0
-
+CELLS = ("gru", "rnn", "transformer")
+STATE = "node long, batch long, mem array<double>, mem_t long, mails array<array<double>>, mail_t array<long>, next_pos int"
+_FIELDS = ["mem", "mem_t", "mails", "mail_t"]
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
 
+def _vectors(values, width: int) -> np.ndarray:
+    out = np.zeros((len(values), width))
+    for i, x in enumerate(values):
+        if x is not None:
+            out[i] = x
+    return out
 
-def time_code(dt: np.ndarray, width: int) -> np.ndarray:
-    return np.cos(dt[:, None] * 10.0 ** (-9.0 * np.arange(width) / max(width - 1, 1)))
 
+def _slots(mails, times, slots: int, deep: int) -> tuple[np.ndarray, np.ndarray]:
+    box, at = np.zeros((len(mails), slots, deep)), np.zeros((len(mails), slots))
+    for i, (m, t) in enumerate(zip(mails, times)):
+        if m is not None:
+            for j, (x, y) in enumerate(zip(m, t)):
+                box[i, j], at[i, j] = x, y
+    return box, at
 
-def gru_cell(x: np.ndarray, h: np.ndarray, seed: int = 20) -> np.ndarray:
-    """Gated recurrent unit with the library's initial weights: rows of x and h are samples."""
-    d = h.shape[1]
-    wr, wz, wn = (_weights(d, x.shape[1], seed + i) for i in range(3))
-    ur, uz, un = (_weights(d, d, seed + 3 + i) for i in range(3))
-    r, z = _sigmoid(x @ wr.T + h @ ur.T), _sigmoid(x @ wz.T + h @ uz.T)
-    return (1 - z) * np.tanh(x @ wn.T + r * (h @ un.T)) + z * h
 
+def updated(reads: DataFrame, settings: MemorySettings, width: int, deep: int, time_width: int) -> DataFrame:
+    """reads (any columns, t, and mem, mem_t, mails, mail_t as state_before gives them) with mem replaced by the new memory at t.
 
-def rnn_cell(x: np.ndarray, h: np.ndarray, seed: int = 30) -> np.ndarray:
-    return np.tanh(x @ _weights(h.shape[1], x.shape[1], seed).T + h @ _weights(h.shape[1], h.shape[1], seed + 1).T)
-
-
-def transformer_cell(slots: np.ndarray, h: np.ndarray, heads: int = 2, seed: int = 40) -> np.ndarray:
-    """Attention of one memory over its mailbox slots (n, slots, width), then residual, LayerNorm and a two-layer network."""
-    d = h.shape[1]
-    q, k, v = h @ _weights(d, d, seed).T, slots @ _weights(d, slots.shape[2], seed + 1).T, slots @ _weights(d, slots.shape[2], seed + 2).T
-    n, s, w = len(h), slots.shape[1], d // heads
-    score = np.einsum("nhw,nshw->nsh", q.reshape(n, heads, w), k.reshape(n, s, heads, w))
-    score = np.where(score > 0, score, 0.2 * score)
-    a = np.exp(score - score.max(1, keepdims=True))
-    a /= a.sum(1, keepdims=True)
-    x = np.einsum("nsh,nshw->nhw", a, v.reshape(n, s, heads, w)).reshape(n, d) + h
-    x = (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5)
-    return np.maximum(x @ _weights(d, d, seed + 3).T, 0) @ _weights(d, d, seed + 4).T
-
-
-CELLS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"gru": gru_cell, "rnn": rnn_cell}
-
-
-def updated(reads: DataFrame, cell: str, width: int, time_width: int = 4) -> DataFrame:
-    """node, batch, mem: new memory from mail (array), mem (array), mail_t and mem_t of each row; nulls in mem and mail are zeros.
-
-    Vectorised over Arrow batches; a row depends on nothing but itself. cell is gru, rnn or transformer (mail then is an array of
-    slots, each a vector of at least one element).
+    Nulls are zeros, as of a node to which nothing was ever written. deep is the length of a mail. Vectorised over Arrow batches; a row
+    depends on nothing but itself. mails and mail_t don't come out, mem_t stays.
     """
-
-    def run(batches):
-        for b in batches:
-            h = np.array([np.zeros(width) if x is None else np.asarray(x, float) for x in b["mem"]]).reshape(len(b), width)
-            dt = (b["mail_t"].fillna(0) - b["mem_t"].fillna(0)).to_numpy(float)
-            if cell == "transformer":
-                most = max((len(x) for x in b["mail"] if x is not None), default=1) or 1
-                deep = max((len(s) for x in b["mail"] if x is not None for s in x), default=1)
-                slots = np.zeros((len(b), most, deep))
-                for i, x in enumerate(b["mail"]):
-                    for j, s in enumerate(x if x is not None else ()):
-                        slots[i, j] = s
-                new = transformer_cell(slots, h)
-            else:
-                deep = max((len(x) for x in b["mail"] if x is not None), default=1)
-                x = np.array([np.zeros(deep) if x is None else np.asarray(x, float) for x in b["mail"]]).reshape(len(b), deep)
-                new = CELLS[cell](np.concatenate([x, time_code(dt, time_width)], 1), h)
-            yield pd.DataFrame({"node": b["node"], "batch": b["batch"], "mem": list(new)})
-
-    return reads.select("node", "batch", "mail", "mem", "mail_t", "mem_t").mapInPandas(run, "node long, batch long, mem array<double>")
-
-
-def fold_batches(edges: DataFrame, edge_features: DataFrame, batches: list[int], width: int, edge_width: int, cell: str = "gru") -> DataFrame:
-    """Memory after the batches, whose mails hold both ends' memory: node, mem, mem_t, mail, mail_t.
-
-    Batch b reads what b-1 wrote, so the batches are run in turn, each as one distributed step whose state is written to the shared
-    folder. In a step every node of the batch first takes its waiting mail into its memory, then new mails wait.
-    """
-    spark = edges.sparkSession
-    state = spark.createDataFrame([], "node long, mem array<double>, mem_t long, mail array<double>, mail_t long")
-    for b in batches:
-        now = edges.filter(F.col("batch") == b)
-        nodes = now.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        waiting = nodes.join(state, "node", "left").withColumn("batch", F.lit(b).cast("long"))
-        blank = waiting.filter("mail is null").select("node", F.col("mem"), F.col("mem_t"))
-        taken = updated(waiting.filter("mail is not null"), cell, width).join(waiting.select("node", "mail_t"), "node").select("node", "mem", F.col("mail_t").alias("mem_t"))
-        fresh = blank.unionByName(taken)
-        mails = last_per_batch(build_mails(now, fresh.select("node", F.col("mem").alias("f")), edge_features, width, edge_width)).select("node", "mail", F.col("t").alias("mail_t"))
-        new = fresh.join(mails, "node", "left")
-        state = written(state.join(nodes, "node", "left_anti").unionByName(new), "memory-state")
-    return state
-
-
-_STATE = "node long, mem array<double>, mem_t long, mail array<double>, mail_t long"
-
-
-def _folded(edges: pd.DataFrame, state: pd.DataFrame, width: int, edge_width: int, cell: str, time_width: int) -> pd.DataFrame:
-    """The state of the nodes of edges after their batches in turn, as fold_batches has it."""
+    if settings.updater not in CELLS:
+        raise ValueError(f"updater must be one of {CELLS}")
+    kept = [c for c in reads.columns if c not in ("mem", "mails", "mail_t")]
+    out = ", ".join([f"`{c}` {reads.schema[c].dataType.simpleString()}" for c in kept] + ["mem array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                times = lambda c: np.array([x or 0 for x in b.column(c).to_pylist()], float)
+                box, box_t = _slots(b.column("mails").to_pylist(), b.column("mail_t").to_pylist(), settings.slots, deep)
+                new = L.updated_memory(settings.updater, _vectors(b.column("mem").to_pylist(), width), times("mem_t"), box, box_t, times("t"), time_width)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(new.tolist(), pa.list_(pa.float64()))], names=[*kept, "mem"])
+
+    return reads.mapInArrow(run, out)
+
+
+class _Fold:
+    """State of the nodes of a stretch while its batches are taken in turn."""
+
+    def __init__(self, nodes: np.ndarray, state: pd.DataFrame, settings: MemorySettings, width: int, deep: int, time_width: int) -> None:
+        self.nodes, self.settings, self.time_width, n = nodes, settings, time_width, len(nodes)
+        self.mem, self.mem_t, self.next = np.zeros((n, width)), np.zeros(n), np.zeros(n, np.int64)
+        self.box, self.box_t = np.zeros((n, settings.slots, deep)), np.zeros((n, settings.slots))
+        if len(state):
+            at = np.searchsorted(nodes, state["node"].to_numpy(np.int64))
+            self.mem[at], self.mem_t[at], self.next[at] = _vectors(state["mem"], width), state["mem_t"].to_numpy(float), state["next_pos"].to_numpy(np.int64)
+            self.box[at], self.box_t[at] = _slots(state["mails"], state["mail_t"], settings.slots, deep)
+
+    def take(self, edges: pd.DataFrame, f: np.ndarray) -> pd.DataFrame:
+        """One batch: memories of both ends of every edge at its time, their last written; mails of those memories, the last (or mean) of a node kept."""
+        n, where = len(edges), lambda v: np.searchsorted(self.nodes, v)
+        ends = where(edges[["src", "dst"]].to_numpy(np.int64).ravel())  # in order of pos: src and dst of each edge
+        t = np.repeat(edges["t"].to_numpy(float), 2)
+        new = L.updated_memory(self.settings.updater, self.mem[ends], self.mem_t[ends], self.box[ends], self.box_t[ends], t, self.time_width)
+        far = new.reshape(n, 2, -1)[:, ::-1].reshape(2 * n, -1)
+        mail = np.concatenate([new, far, np.repeat(f, 2, 0)], 1)
+        wrote, last = np.unique(ends[::-1], return_index=True)
+        last = len(ends) - 1 - last
+        self.mem[wrote], self.mem_t[wrote] = new[last], t[last]
+        to, sent = ends, np.arange(2 * n)
+        if self.settings.deliver_to == "neighbors":
+            far_to = [([], []) if x is None else (x, [p] * len(x)) for p, x in enumerate(edges[["to_src", "to_dst"]].to_numpy().ravel())]
+            order = [np.concatenate([[ends[p]], where(np.asarray(x, np.int64))]) for p, (x, _) in enumerate(far_to)]
+            to, sent = np.concatenate(order).astype(np.int64), np.repeat(np.arange(2 * n), [len(o) for o in order])
+        got, last = np.unique(to[::-1], return_index=True)
+        if self.settings.combine == "mean":
+            which, count = np.searchsorted(got, to), np.bincount(np.searchsorted(got, to))[:, None]
+            kept, kept_t = np.zeros((len(got), mail.shape[1])), np.bincount(which, t[sent]) / count[:, 0]
+            np.add.at(kept, which, mail[sent])
+            kept /= count
+        else:
+            pick = sent[len(to) - 1 - last]
+            kept, kept_t = mail[pick], t[pick]
+        slot = self.next[got]
+        self.box[got, slot], self.box_t[got, slot], self.next[got] = kept, kept_t, (slot + 1) % self.settings.slots
+        changed = np.union1d(wrote, got)
+        return pd.DataFrame({"node": self.nodes[changed], "batch": int(edges["batch"].iloc[0]), "mem": list(self.mem[changed]), "mem_t": self.mem_t[changed].astype(np.int64), "mails": self.box[changed].tolist(), "mail_t": self.box_t[changed].astype(np.int64).tolist(), "next_pos": self.next[changed].astype(np.int32)})
+
+
+def _folded(edges: pd.DataFrame, state: pd.DataFrame, settings: MemorySettings, width: int, edge_width: int, time_width: int) -> pd.DataFrame:
     edges = edges.sort_values(["batch", "edge_pos"], kind="stable")
-    nodes = np.unique(edges[["src", "dst"]].to_numpy(np.int64))
-    n, deep = len(nodes), 2 * width + edge_width
-    mem, mem_t, mail, mail_t = np.zeros((n, width)), np.zeros(n, np.int64), np.zeros((n, deep)), np.zeros(n, np.int64)
-    has_mem, has_mail = np.zeros(n, bool), np.zeros(n, bool)
-    for r in state.itertuples(index=False):
-        i = np.searchsorted(nodes, r.node)
-        has_mem[i], has_mail[i] = r.mem is not None, r.mail is not None
-        if has_mem[i]:
-            mem[i], mem_t[i] = r.mem, r.mem_t
-        if has_mail[i]:
-            mail[i], mail_t[i] = r.mail, r.mail_t
-    src, dst = np.searchsorted(nodes, edges["src"].to_numpy(np.int64)), np.searchsorted(nodes, edges["dst"].to_numpy(np.int64))
-    t, batch = edges["t"].to_numpy(np.int64), edges["batch"].to_numpy(np.int64)
-    f = np.array([np.zeros(edge_width) if x is None else np.asarray(x, float) for x in edges["f"]]).reshape(len(edges), edge_width)
-    starts = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]])
-    for a, b in zip(starts, np.r_[starts[1:], len(edges)]):
-        s, d = src[a:b], dst[a:b]
-        ends = np.stack([s, d], 1).ravel()  # in order of pos
-        now = np.unique(ends)
-        take = now[has_mail[now]]
-        if len(take):
-            dt = (mail_t[take] - mem_t[take]).astype(float)
-            if cell == "transformer":
-                mem[take] = transformer_cell(mail[take][:, None, :], mem[take])
-            else:
-                mem[take] = CELLS[cell](np.concatenate([mail[take], time_code(dt, time_width)], 1), mem[take])
-            mem_t[take], has_mem[take] = mail_t[take], True
-        sent = np.stack([np.concatenate([mem[s], mem[d], f[a:b]], 1), np.concatenate([mem[d], mem[s], f[a:b]], 1)], 1).reshape(-1, deep)
-        last = len(ends) - 1 - np.unique(ends[::-1], return_index=True)[1]  # the last mail of each node, in order of now
-        mail[now], mail_t[now], has_mail[now] = sent[last], np.repeat(t[a:b], 2)[last], True
-    null = lambda v, has: pd.Series(v, dtype="Int64").mask(~has)
-    vector = lambda v, has: [x.tolist() if h else None for x, h in zip(v, has)]
-    return pd.DataFrame({"node": nodes, "mem": vector(mem, has_mem), "mem_t": null(mem_t, has_mem), "mail": vector(mail, has_mail), "mail_t": null(mail_t, has_mail)})
-
-
-def fold_stretches(edges: DataFrame, edge_features: DataFrame, width: int, edge_width: int, cell: str = "gru", most_edges: int = 50_000, time_width: int = 4) -> DataFrame:
-    """fold_batches over all batches of edges, with a job per stretch of batches instead of one per batch.
-
-    A stretch is as many whole batches as have `most_edges` edges together, and at least one. One task takes its batches one after
-    the other, with the state of the stretch's nodes only; the state is written after each stretch. Edges without src, dst or batch
-    aren't taken. The numbers of edges per batch come to the driver.
+    routes = [np.asarray(x, np.int64) for c in ("to_src", "to_dst") for x in edges[c] if x is not None] if settings.deliver_to == "neighbors" else []
+    fold = _Fold(np.unique(np.concatenate([edges[["src", "dst"]].to_numpy(np.int64).ravel(), *routes])), state, settings, width, 2 * width + edge_width, time_width)
+    f = _vectors(edges["f"], edge_width)
+    starts = np.flatnonzero(np.r_[True, np.diff(edges["batch"].to_numpy(np.int64)) != 0]) if len(edges) else []
+    parts = [fold.take(edges.iloc[a:b], f[a:b]) for a, b in zip(starts, [*starts[1:], len(edges)])]
+    return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in STATE.split(", ")])
+
+
+def history(edges: DataFrame, edge_features: DataFrame, settings: MemorySettings, width: int, edge_width: int, time_width: int = 4, routes: DataFrame | None = None, most_edges: int = 50_000, compact: int = 8) -> DataFrame:
+    """What every batch leaves behind: node, batch, mem, mem_t, mails, mail_t, next_pos of the nodes it changed (see STATE). state_before reads it.
+
+    edges: batch, edge_pos, eid, src, dst, t. In a batch both ends of an edge take their mailbox into their memory at the edge's time, as it was before the
+    batch; the last memory of a node is kept, and mails of the new memories and the edge's features go to both ends and, for delivery to
+    neighbours, along routes (batch, pos, node, nbr_pos: the sampled neighbours of the root that sends mail pos). Last means by pos, neighbours after the end
+    itself, then by nbr_pos. Unwritten state is zeros.
+
+    Batch b reads what the one before wrote, so batches can't run side by side: a stretch, as many whole batches as have `most_edges` edges
+    together and at least one, is one task, which sees the state of its own nodes only. Embedding all roots from the history is one parallel job.
+    After a stretch only the nodes it changed are written; every `compact` stretches those are put together. The numbers of edges
+    per batch come to the driver. Edges without src, dst or batch aren't taken; no edges give no rows.
     """
     spark = edges.sparkSession
     named = edges.filter("batch is not null and src is not null and dst is not null").select("batch", "edge_pos", "eid", "src", "dst", "t")
-    full = written(named.join(edge_features.select("eid", "f"), "eid", "left"), "memory-edges")
+    full = named.join(edge_features.select("eid", "f"), "eid", "left")
+    none = F.lit(None).cast("array<long>")
+    if settings.deliver_to == "neighbors":
+        of = routes.groupBy("batch", F.expr("pos div 2").alias("edge_pos"), F.expr("pos % 2").alias("_end")).agg(F.transform(F.sort_array(F.collect_list(F.struct("nbr_pos", "node"))), lambda x: x["node"]).alias("_to"))
+        for end, name in enumerate(("to_src", "to_dst")):
+            full = full.join(of.filter(F.col("_end") == end).select("batch", "edge_pos", F.col("_to").alias(name)), ["batch", "edge_pos"], "left")
+    else:
+        full = full.withColumns({"to_src": none, "to_dst": none})
+    full = written(full, "memory-edges")
     stretches: list[list[int]] = []
     size = most_edges
     for r in full.groupBy("batch").count().orderBy("batch").collect():
@@ -259,11 +273,37 @@ def fold_stretches(edges: DataFrame, edge_features: DataFrame, width: int, edge_
         stretches[-1][1] = r["batch"]
         size += r["count"]
 
-    state = spark.createDataFrame([], _STATE)
+    every, held = [], []
+    latest = lambda parts: _union(parts).groupBy("node").agg(F.max_by(F.struct("batch", *_FIELDS, "next_pos"), "batch").alias("_s")).select("node", "_s.*")
     for first, last in stretches:
         now = full.filter(F.col("batch").between(first, last))
-        nodes = now.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        known = state.join(nodes, "node", "left_semi").groupBy(F.lit(0).alias("all"))
-        new = now.groupBy(F.lit(0).alias("all")).cogroup(known).applyInPandas(lambda e, s: _folded(e, s, width, edge_width, cell, time_width), _STATE)
-        state = written(state.join(nodes, "node", "left_anti").unionByName(new), "memory-state")
-    return state
+        ends = F.concat(F.array("src", "dst"), F.coalesce("to_src", F.array().cast("array<long>")), F.coalesce("to_dst", F.array().cast("array<long>")))
+        nodes = now.select(F.explode(ends).alias("node")).distinct()
+        known = latest([p.join(nodes, "node", "left_semi") for p in held]) if held else spark.createDataFrame([], STATE)
+        run = lambda e, s: _folded(e, s, settings, width, edge_width, time_width)
+        new = written(now.groupBy(F.lit(0).alias("all")).cogroup(known.groupBy(F.lit(0).alias("all"))).applyInPandas(run, STATE), "memory-history")
+        every.append(new)
+        held.append(new)
+        if len(held) > compact:
+            held = [written(latest(held), "memory-state")]
+    return _union(every) if every else spark.createDataFrame([], STATE)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def state_after(past: DataFrame) -> DataFrame:
+    """The state of every node after all batches of a history."""
+    best = past.groupBy("node").agg(F.max_by(F.struct("batch", *_FIELDS, "next_pos"), "batch").alias("_s"))
+    return best.select("node", "_s.*")
+
+
+def inputs(occurrences: DataFrame, past: DataFrame, settings: MemorySettings, width: int, edge_width: int, time_width: int = 4) -> DataFrame:
+    """batch, node, t of the distinct occurrences with mem, their new memory at t from what earlier batches left, and mem_t, when it was last written."""
+    once = occurrences.select("batch", "node", "t").distinct()
+    seen = state_before_distinct(past, once, _FIELDS)
+    return updated(seen, settings, width, 2 * width + edge_width, time_width)

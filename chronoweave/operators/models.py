@@ -1,6 +1,7 @@
-"""Whole models: sampling over several hops and snapshots, gathers, attention layers, link scores and their metrics.
+"""Whole models: sampling over several hops and snapshots, gathers, memory, layers, link scores and their metrics.
 
-Models without memory have no dependence between batches, so all roots of a split are one job.
+Models without memory have no dependence between batches, so all roots of a split are one job. With memory, the history of states (memory.history) comes
+first; from it all roots are embedded in one job as well, each from what the batches before its own had left.
 """
 
 from __future__ import annotations
@@ -10,10 +11,29 @@ from pyspark.sql import functions as F
 
 from chronoweave.config import Preset, RunSettings
 from chronoweave.functions import vectors as V
-from chronoweave.operators import etl, metrics, nn, sampler
+from chronoweave.operators import etl, memory, metrics, nn, sampler
+from chronoweave.operators import layers as L
 from chronoweave.operators.ordering import with_row_ids
 from chronoweave.session import written
 
+Models = dict[str, L.Weights]
+
+
+def model_layers(preset: Preset, node_width: int, edge_width: int) -> list[L.Layer]:
+    """The attention layers from the innermost hop outwards. With memory the innermost takes vectors of the memory's width."""
+    first = preset.out_width if preset.memory else node_width
+    return [L.Layer(first if i == 0 else preset.out_width, edge_width, preset.time_width, preset.heads, preset.out_width, preset.combined and i == 0) for i in range(len(preset.fanout))]
+
+
+def initial_weights(preset: Preset, node_width: int, edge_width: int, hidden: int) -> Models:
+    """Weights by name: layer_0 (innermost), layer_1, ..., predictor. Snapshots share them."""
+    named = {f"layer_{i}": L.initial_layer(x) for i, x in enumerate(model_layers(preset, node_width, edge_width))} if preset.layer == "attention" else {}
+    return named | {"predictor": L.initial_predictor(output_width(preset, node_width), hidden)}
+
+
+def output_width(preset: Preset, node_width: int) -> int:
+    return preset.out_width if preset.layer == "attention" or preset.memory else node_width
+
 
 def _vectors(rows: DataFrame, features: DataFrame, key: str, by: str, width: int, out: str) -> DataFrame:
     """rows with the features of their key, zeros where there are none."""
@@ -21,75 +41,129 @@ def _vectors(rows: DataFrame, features: DataFrame, key: str, by: str, width: int
     return rows.join(f, key, "left").withColumn(out, nn.or_zeros(F.col("_f"), width)).drop("_f")
 
 
-def embeddings(edges: DataFrame, queries: DataFrame, key: list[str], node_features: DataFrame, edge_features: DataFrame, preset: Preset, node_width: int, edge_width: int, out: int) -> DataFrame:
-    """key and h (array of `out`, or of node_width for the identity layer) for each query (key, node, t).
+def memory_inputs(occurrences: DataFrame, past: DataFrame, node_features: DataFrame, preset: Preset, node_width: int, edge_width: int) -> DataFrame:
+    """batch, node, t, h, mem_t of the distinct occurrences (batch, node, t): new memory at t, with the node's features added, projected if of another width."""
+    m = memory.inputs(occurrences, past, preset.memory, preset.out_width, edge_width, preset.time_width)
+    if not (preset.memory.add_features and node_width):
+        return m.withColumnRenamed("mem", "h")
+    full = _vectors(m, node_features, "node", "id", node_width, "_own")
+    if node_width != preset.out_width:
+        full = nn.split_projection(full, {"_own": node_width}, preset.out_width, [50], "_map")
+    return full.select("batch", "node", "t", "mem_t", V.add(F.col("mem"), F.col("_own" if node_width == preset.out_width else "_map")).alias("h"))
+
+
+def embeddings(edges: DataFrame, queries: DataFrame, key: list[str], node_features: DataFrame, edge_features: DataFrame, preset: Preset, node_width: int, edge_width: int, past: DataFrame | None = None, weights: Models | None = None) -> DataFrame:
+    """key and h for each query (key, node, t): of preset.out_width, or of node_width for the identity layer without memory.
 
     Every hop of the fan-out is one attention layer: roots and sampled neighbours of a hop are embedded by the hop below, those of the
-    last hop by their features. Several snapshots are embedded apart and combined, the oldest first. Queries with null
-    node or t have no h and don't come out; nodes and edges without features have zeros. Presets with memory are refused, as no memory
-    or mailbox is read here.
+    last hop by their features, or by their memory (and features) for presets with memory, which need past, the history of states, and batch among the key
+    columns. Several snapshots are embedded apart, with the time since an edge counted from the query's own time, and combined, the oldest
+    first. Queries with null node or t have no h and don't come out; nodes and edges without features have zeros, nodes without memory too.
     """
-    if preset.memory is not None:
-        raise ValueError(f"{preset.name} has a memory, which embeddings don't read; only presets without one can be embedded and evaluated")
+    if preset.memory is not None and (past is None or "batch" not in key):
+        raise ValueError(f"{preset.name} has a memory: its history and a key with batch are needed")
     own = {k: f"key_{i}" for i, k in enumerate(key)}  # the caller's names may be those of a block's columns
     keys = list(own.values())
     q = queries.filter("node is not null and t is not null").select(*(F.col(k).alias(n) for k, n in own.items()), "node", "t")
+    batch = own.get("batch")
     if preset.layer == "identity" or not preset.fanout:
-        h = _vectors(q, node_features, "node", "id", node_width, "h").select(*keys, V.layer_norm(F.col("h")).alias("h"))
-    elif preset.snapshots > 1:
-        back = F.explode(F.sequence(F.lit(0), F.lit(preset.snapshots - 1)))
-        shifted = q.withColumn("key_snap", back).withColumn("t", F.col("t") - F.col("key_snap") * preset.duration)
-        each = _layers(edges, shifted, [*keys, "key_snap"], node_features, edge_features, preset, node_width, edge_width, out)
-        h = nn.combine_snapshots(each, keys, "key_snap", "h", out)
+        if preset.memory is None:
+            h = _vectors(q, node_features, "node", "id", node_width, "h").withColumn("mem_t", F.lit(0).cast("long"))
+        else:
+            at = q.withColumnRenamed(batch, "batch")
+            h = at.join(memory_inputs(at, past, node_features, preset, node_width, edge_width), ["batch", "node", "t"]).withColumnRenamed("batch", batch)
+        normed = V.layer_norm(F.col("h"))
+        h = h.select(*keys, (nn.time_decay(normed, F.col("t"), F.coalesce("mem_t", F.lit(0))) if preset.time_decay else normed).alias("h"))
     else:
-        h = _layers(edges, q, keys, node_features, edge_features, preset, node_width, edge_width, out)
+        back = F.explode(F.sequence(F.lit(0), F.lit(preset.snapshots - 1)))
+        several = preset.snapshots > 1
+        asked = q.withColumn("key_snap", back) if several else q
+        h = _layers(edges, asked, [*keys, "key_snap"] if several else keys, node_features, edge_features, preset, node_width, edge_width, past, batch, weights)
+        h = nn.combine_snapshots(h, keys, "key_snap", "h", preset.out_width) if several else h
     return h.select(*(F.col(n).alias(k) for k, n in own.items()), "h")
 
 
-def _layers(edges: DataFrame, queries: DataFrame, key: list[str], node_features: DataFrame, edge_features: DataFrame, preset: Preset, node_width: int, edge_width: int, out: int) -> DataFrame:
-    heavy = sampler.heavy_nodes(edges)
+def sampled(edges: DataFrame, queries: DataFrame, key: list[str], preset: Preset) -> tuple[list[DataFrame], list[DataFrame], list[list[str]]]:
+    """Per hop what is asked (key, node, t), the block found, with dt from the time the query was made for, and the key: one more nbr_i a hop."""
+    shift = F.col("key_snap") * preset.duration if preset.snapshots > 1 else F.lit(0)
     asked, blocks, keys = [queries], [], [list(key)]
     for hop, k in enumerate(preset.fanout):
         pick = sampler.recent if preset.strategy == "recent" else sampler.uniform
-        block = pick(edges, asked[-1], keys[-1], k, duration=preset.duration, **({"heavy": heavy} if preset.strategy == "recent" else {}))
-        blocks.append(block.drop("snap"))
+        block = pick(edges, asked[-1].withColumn("t", F.col("t") - shift), keys[-1], k, duration=preset.duration).drop("snap")
+        blocks.append(block.withColumns({"root_t": F.col("root_t") + shift, "dt": F.col("dt") + shift}))
         if hop + 1 < len(preset.fanout):
             asked.append(sampler.next_roots(asked[-1], blocks[-1], keys[-1], preset.keep_root_time).withColumnRenamed("nbr", f"nbr_{hop + 1}"))
             keys.append([*keys[-1], f"nbr_{hop + 1}"])
+    return asked, blocks, keys
+
+
+def _layers(edges: DataFrame, queries: DataFrame, key: list[str], node_features: DataFrame, edge_features: DataFrame, preset: Preset, node_width: int, edge_width: int, past: DataFrame | None, batch: str | None, weights: Models | None) -> DataFrame:
+    asked, blocks, keys = sampled(edges, queries, key, preset)
+    shapes = model_layers(preset, node_width, edge_width)
+    weights = weights or {}
+    seen = F.col("root_t" if preset.keep_root_time else "t")  # the time at which a neighbour is seen
     h = None
     for level in range(len(blocks) - 1, -1, -1):
         by, block = keys[level], blocks[level]
-        if h is None:
+        if h is None and preset.memory is not None:
+            own = asked[level].select(*by, "node", "t")
+            near = block.select(*by, "nbr_pos", "node", seen.alias("t"), "eid", "dt")
+            every = own.select(F.col(batch).alias("batch"), "node", "t").unionByName(near.select(F.col(batch).alias("batch"), "node", "t"))
+            state = written(memory_inputs(every, past, node_features, preset, node_width, edge_width), "memory-inputs").withColumnRenamed("batch", batch)
+            at = [batch, "node", "t"]
+            roots = own.join(state.select(*at, F.col("h").alias("own")), at).select(*by, "own")
+            rows = near.join(state.select(*at, F.col("h").alias("nbr")), at)
+        elif h is None:
             roots = _vectors(asked[level], node_features, "node", "id", node_width, "own").select(*by, "own")
             rows = _vectors(block, node_features, "node", "id", node_width, "nbr")
         else:
             below = f"nbr_{level + 1}"
             roots = h.filter(F.col(below) == -1).select(*by, F.col("h").alias("own"))
             rows = block.join(h.filter(F.col(below) >= 0).select(*by, F.col(below).alias("nbr_pos"), F.col("h").alias("nbr")), [*by, "nbr_pos"])
-        rows = _vectors(rows, edge_features, "eid", "eid", edge_width, "edge").join(roots, by).select(*by, "own", "nbr", "edge", "dt")
-        h = nn.attention_layer(rows, roots, by, preset.heads, out)
+        rows = _vectors(rows, edge_features, "eid", "eid", edge_width, "edge").select(*by, "nbr_pos", "nbr", "edge", "dt")
+        layer = len(blocks) - 1 - level
+        h = nn.attention_layer(rows, roots, by, shapes[layer], weights.get(f"layer_{layer}"))
         h = written(h, "layer") if level else h  # read twice by the hop above
     return h
 
 
-def link_scores(edges: DataFrame, part: DataFrame, node_features: DataFrame, edge_features: DataFrame, run: RunSettings, node_width: int, edge_width: int, out: int, hidden: int = 8) -> DataFrame:
+def numbered(edges: DataFrame, rows: int) -> DataFrame:
+    """Edges with batch and edge_pos, in order of time."""
+    return etl.batched(with_row_ids(edges, ["t", "eid"]), rows).withColumn("edge_pos", F.pmod("row_id", F.lit(rows))).drop("row_id")
+
+
+def memory_history(edges: DataFrame, true: DataFrame, edge_features: DataFrame, preset: Preset, edge_width: int) -> DataFrame:
+    """The history of states over true edges (batch, edge_pos, eid, src, dst, t); edges are those that neighbours to deliver to are sampled from."""
+    routes = None
+    if preset.memory.deliver_to == "neighbors":
+        sends = memory.mail_rows(true).select("batch", "pos", "node", "t").withColumnRenamed("pos", "mail_pos")
+        routes = sampler.recent(edges, sends, ["batch", "mail_pos"], preset.fanout[0]).withColumnRenamed("mail_pos", "pos").select("batch", "pos", "node", "nbr_pos")
+    return memory.history(true, edge_features, preset.memory, preset.out_width, edge_width, preset.time_width, routes)
+
+
+def link_scores(edges: DataFrame, part: DataFrame, node_features: DataFrame, edge_features: DataFrame, run: RunSettings, node_width: int, edge_width: int, hidden: int = 8, weights: Models | None = None) -> DataFrame:
     """batch, edge_pos, label, score of the edges of `part` and of as many negatives each as run says; edges are those sampled from.
 
-    Negatives come from all nodes of edges or, if run.inductive, from the nodes of the inductive test edges.
+    Negatives come from all nodes of edges or, if run.inductive, from the nodes of the inductive test edges. Batches are counted over part or, with
+    memory, over all edges in order of time, whatever their split, as all of them write to the memory; a root reads what earlier batches wrote.
     """
     pool = with_row_ids(etl.inductive_nodes(edges), ["node"], "id") if run.inductive else etl.dense_ids(edges)
     drawn = etl.negatives(part, pool, run.eval_negatives, run.seed)
-    h = embeddings(edges, etl.roots(part, drawn), ["eid", "role", "k"], node_features, edge_features, run.preset, node_width, edge_width, out)
+    order = numbered(edges if run.preset.memory else part, run.batch_rows)
+    asked, key, past = etl.roots(part, drawn), ["eid", "role", "k"], None
+    if run.preset.memory:
+        past = memory_history(edges, order, edge_features, run.preset, edge_width)
+        asked, key = asked.join(order.select("eid", "batch"), "eid"), [*key, "batch"]
+    h = written(embeddings(edges, asked, key, node_features, edge_features, run.preset, node_width, edge_width, past, weights), "embeddings")
     true = h.filter("role <> 'neg'").select("eid", "role", "h").join(h.filter("role = 'neg'").select("eid", "k").distinct(), "eid").select("eid", "k", "role", "h")
-    ends = nn.edge_scores(true.unionByName(h.filter("role = 'neg'").select("eid", "k", "role", "h")), ["eid", "k"], hidden)
+    ends = nn.edge_scores(true.unionByName(h.filter("role = 'neg'").select("eid", "k", "role", "h")), ["eid", "k"], output_width(run.preset, node_width), hidden, (weights or {}).get("predictor"))
     each = F.array(F.struct(F.lit(1).alias("label"), F.col("pos_score").alias("score")), F.struct(F.lit(0).alias("label"), F.col("neg_score").alias("score")))
     scored = ends.select("eid", "k", F.explode(each).alias("_s")).select("eid", "k", "_s.*").filter("score is not null and (label = 0 or k = 0)")
-    numbered = etl.batched(with_row_ids(part, ["t", "eid"]), run.batch_rows).select("eid", "batch", F.pmod("row_id", F.lit(run.batch_rows)).alias("edge_pos"))
-    return scored.join(numbered, "eid").select("batch", "edge_pos", "label", "score")
+    return scored.join(order.select("eid", "batch", "edge_pos"), "eid").select("batch", "edge_pos", "label", "score")
 
 
-def evaluate(edges: DataFrame, split: int, node_features: DataFrame, edge_features: DataFrame, run: RunSettings, node_width: int, edge_width: int, out: int) -> DataFrame:
+def evaluate(edges: DataFrame, split: int, node_features: DataFrame, edge_features: DataFrame, run: RunSettings, node_width: int, edge_width: int, hidden: int = 8, weights: Models | None = None) -> DataFrame:
     """One row: ap, auc, mrr and loss of a split (1 validation, 2 test; with run.inductive only the test edges with new nodes)."""
     part = etl.inductive_links(edges) if run.inductive else edges
-    scored = link_scores(edges, part.filter(F.col("split") == split), node_features, edge_features, run, node_width, edge_width, out)
+    scored = link_scores(edges, part.filter(F.col("split") == split), node_features, edge_features, run, node_width, edge_width, hidden, weights)
     return metrics.summary(written(scored, "scored"))

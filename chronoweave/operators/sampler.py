@@ -1,132 +1,191 @@
 """Temporal neighbour sampling: as-of, recent top-k, windows, snapshots and several hops, never looking into the future.
 
-Edges of one node in order of (t, eid) have ranks from 1. Every query needs only how many edges of its node lie before its time: edges
-and queries are ranked together by one window, then each query asks for its interval of ranks by an equi-join on
-(node, rank). Work is in proportion to edges, queries and results, not to the squares of degrees.
-
-A node with a large share of all edges isn't ranked in one task: its time range is cut into slices, ranks are counted within each
-slice and raised by the counts of the slices before. Edges: eid, src, dst, t. Queries: any unique key columns, node, t.
+Edges and queries are put in one order of (node, t, kind, eid) by ranges and swept once: a query needs the number of edges of its node that came
+before it, and the newest k of them are the last k that were swept. Ranges are cut by rows, not by nodes, so a node with a third of all edges,
+whether spread over time, in bursts or at one instant, lies in as many ranges as its rows fill; what its later ranges lack, the count and the
+newest k edges of the range before, is one small row a range. Edges are shuffled and sorted once per hop, and only for draws at random
+ranks are the numbered edges joined. Edges: eid, src, dst, t. Queries: any unique key columns, node, t.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from chronoweave.functions.draws import draw
+from chronoweave.session import written
 
-SLICES = 256
-SHARE = 0.002
-MOST_HEAVY = 1000
-LEAST_ROWS = 10_000
-_FIND = object()
-
-
-def heavy_nodes(edges: DataFrame) -> DataFrame | None:
-    """Nodes with a large share of the edges and the width of their slices, None without any: at most MOST_HEAVY rows, by a sketch."""
-    top = edges.agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("least"), F.max("t").alias("most"), F.expr(f"approx_top_k(src, {MOST_HEAVY}, {20 * MOST_HEAVY})").alias("top")).first()
-    found = [(x["item"], top["least"], (top["most"] - top["least"]) // SLICES + 1) for x in top["top"] or [] if x["count"] >= max(top["n"] * SHARE, LEAST_ROWS)]
-    return edges.sparkSession.createDataFrame(found, "_node long, _least long, _width long") if found else None
-
-
-def _sliced(df: DataFrame, node: str, heavy: DataFrame | None) -> DataFrame:
-    """Add _slice: 0 for most nodes, the slice of time for heavy ones."""
-    if heavy is None:
-        return df.withColumn("_slice", F.lit(0))
-    j = df.join(F.broadcast(heavy), F.col(node) == F.col("_node"), "left")
-    at = F.floor((F.col("t") - F.col("_least")) / F.col("_width"))
-    return j.withColumn("_slice", F.coalesce(F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), at)), F.lit(0)).cast("int")).drop("_node", "_least", "_width")
-
-
-def _ranked_with(edges: DataFrame, probes: DataFrame | None, heavy: DataFrame | None) -> DataFrame:
-    """Edges (_kind 1) and probes (_kind 0: edges before t, _kind 2: edges up to t) with _pos, the number of edges so far."""
-    rows = edges.select(F.col("src").alias("node"), "t", F.lit(1).alias("_kind"), F.struct("eid", "dst").alias("_edge"))
-    if probes is not None:
-        rows = rows.unionByName(probes, allowMissingColumns=True)
-    inside = Window.partitionBy("node", "_slice").orderBy("t", "_kind", "_edge.eid").rowsBetween(Window.unboundedPreceding, 0)
-    counted = _sliced(rows, "node", heavy).withColumn("_pos", F.sum((F.col("_kind") == 1).cast("long")).over(inside))
-    if heavy is None:
-        return counted.drop("_slice")
-    names = heavy.select(F.col("_node").alias("src"))
-    per = _sliced(edges.select("src", "t").join(F.broadcast(names), "src", "left_semi"), "src", heavy).groupBy("src", "_slice").agg(F.count(F.lit(1)).alias("_c"))
-    # Every slice of a heavy node needs its offset, as queries may fall where no edges are; SLICES rows a heavy node.
-    full = names.select("src", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("_slice")).join(per, ["src", "_slice"], "left")
-    before = full.select(F.col("src").alias("node"), "_slice", F.coalesce(F.sum("_c").over(Window.partitionBy("src").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return counted.join(F.broadcast(before), ["node", "_slice"], "left").withColumn("_pos", F.col("_pos") + F.coalesce("_before", F.lit(0))).drop("_slice", "_before")
-
-
-def ranked_edges(edges: DataFrame, heavy=_FIND) -> DataFrame:
-    """Each edge with rk, its number from 1 among the edges of its src in order of (t, eid)."""
-    heavy = heavy_nodes(edges) if heavy is _FIND else heavy
-    return _ranked_with(edges, None, heavy).select(F.col("node").alias("src"), F.col("_pos").alias("rk"), F.col("_edge.eid").alias("eid"), F.col("_edge.dst").alias("dst"), "t")
-
-
+BEFORE, EDGE, UPTO, END = 0, 1, 2, 3  # at one time: queries for edges before it, the edges, queries for edges up to it
 _OWN = {"node", "t", "eid", "dt", "root", "root_t", "nbr_pos", "rk", "snap", "lo", "hi", "pos", "at"}
 
 
 def _probes(queries: DataFrame, key: list[str], kind: int, t: Column, extra: dict[str, Column] | None = None) -> DataFrame:
     if clash := _OWN & set(key):
         raise ValueError(f"key columns with names of the result's own: {sorted(clash)}")
-    return queries.select("node", t.alias("t"), F.lit(kind).alias("_kind"), F.struct(*key, *((c.alias(n)) for n, c in (extra or {}).items())).alias("_query"))
+    carried = F.struct(*key, *((c.alias(n)) for n, c in (extra or {}).items()))
+    return queries.select("node", t.cast("long").alias("t"), F.lit(kind).alias("_kind"), carried.alias("_query"))
+
+
+def _sweep(k: int, keep_edges: bool, names: list[str]):
+    """Rows in order to rows with pos, the edges of the node so far within the partition, and the newest k of them for queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, kind_of = TaskContext.get().partitionId(), None
+        node_now, count = None, 0
+        tail = [np.zeros(0, np.int64)] * 3  # eid, dst, t of the newest edges of node_now, oldest first
+
+        def lists(values: list[np.ndarray], sizes: np.ndarray) -> list[pa.Array]:
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            return [pa.ListArray.from_arrays(ends, pa.array(v, pa.int64())) for v in values]
+
+        def batch(n: int, kind, node, t, pos, query, eid, dst, found: list[pa.Array]) -> pa.RecordBatch:
+            null = pa.nulls(n, pa.int64())
+            columns = [pa.array(np.full(n, part, np.int32)), kind, node, null if t is None else t, pos, query, null if eid is None else eid, null if dst is None else dst, *found]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node, t, kind = (b.column(c).to_numpy() for c in ("node", "t", "_kind"))
+            kind_of = b.column("_query").type
+            is_edge = kind == EDGE
+            at = np.flatnonzero(is_edge)
+            own = [pc.fill_null(b.column(c), 0).to_numpy() for c in ("eid", "dst")] + [t]
+            if node_now != node[0]:
+                count, tail = 0, [x[:0] for x in tail]
+            edges = [np.concatenate([x, y[at]]) for x, y in zip(tail, own)]
+            held = len(tail[0])
+            swept = np.cumsum(is_edge) - is_edge
+            begins = np.r_[True, node[1:] != node[:-1]]
+            run_no = np.cumsum(begins) - 1
+            within = swept - swept[np.flatnonzero(begins)][run_no]
+            first = run_no == 0
+            before = within + np.where(first, count, 0)
+            asked = np.flatnonzero(~is_edge)
+            if len(asked):
+                got = np.minimum((within + np.where(first, held, 0))[asked], k)
+                ends = np.cumsum(got)
+                take = np.repeat(held + swept[asked] - 1, got) - (np.arange(ends[-1]) - np.repeat(ends - got, got))
+                pick = pa.array(asked)
+                yield batch(len(asked), b.column("_kind").take(pick), b.column("node").take(pick), b.column("t").take(pick), pa.array(before[asked], pa.int64()), b.column("_query").take(pick), None, None, lists([x[take] for x in edges], got))
+            if keep_edges and len(at):
+                pick = pa.array(at)
+                none = lists([np.zeros(0, np.int64)] * 3, np.zeros(len(at), np.int64))
+                yield batch(len(at), b.column("_kind").take(pick), b.column("node").take(pick), b.column("t").take(pick), pa.array(before[at] + 1, pa.int64()), b.column("_query").take(pick), b.column("eid").take(pick), b.column("dst").take(pick), none)
+            alone = run_no[-1] == 0
+            of_last = int(within[-1] + is_edge[-1])
+            count = of_last + (count if alone else 0)
+            kept = min(k, of_last + (held if alone else 0))
+            node_now, tail = node[-1], [x[len(x) - kept :] for x in edges]
+        if node_now is not None:
+            yield batch(1, pa.array([END], pa.int32()), pa.array([node_now], pa.int64()), None, pa.array([count], pa.int64()), pa.nulls(1, kind_of), None, None, lists([x[::-1] for x in tail], np.array([len(tail[0])])))
+
+    return run
+
+
+def _swept(edges: DataFrame, probes: DataFrame | None, k: int, keep_edges: bool = False) -> DataFrame:
+    """_kind, node, t, pos, _query, eid, dst, eids, dsts, ts: queries with the number of edges before them and the newest k, and the edges with
+    their rank if asked for. Written once, as the ranges are drawn anew each time. One row a range comes to the driver.
+    """
+    if probes is None:
+        probes = edges.sparkSession.createDataFrame([], "node long, t long, _kind int, _query struct<none: int>")
+    rows = edges.select(F.col("src").alias("node"), "t", F.lit(EDGE).alias("_kind"), "eid", "dst").unionByName(probes, allowMissingColumns=True)
+    order = ["node", "t", "_kind", "eid"]
+    ranged = rows.select(*order, "dst", "_query").repartitionByRange(*order).sortWithinPartitions(*order)
+    long = lambda n: StructField(n, LongType())
+    lists = [StructField(n, ArrayType(LongType())) for n in ("eids", "dsts", "ts")]
+    out = StructType([StructField("_part", IntegerType()), StructField("_kind", IntegerType()), long("node"), long("t"), long("pos"), rows.schema["_query"], long("eid"), long("dst"), *lists])
+    found = written(ranged.mapInArrow(_sweep(k, keep_edges, out.names), out), "swept")
+    prior, node, total, tail = [], None, 0, ([], [], [])
+    for r in sorted(found.filter(F.col("_kind") == END).select("_part", "node", "pos", "eids", "dsts", "ts").collect()):
+        if node is not None:
+            prior.append((r["_part"], node, total, *tail))
+        if r.node == node:
+            total, tail = total + r.pos, tuple((a + b)[:k] for a, b in zip(r[3:], tail))
+        else:
+            node, total, tail = r.node, r.pos, tuple(r[3:])
+    found = found.filter(F.col("_kind") != END)
+    if not prior:
+        return found.drop("_part")
+    more = edges.sparkSession.createDataFrame(prior, "_part int, node long, _count long, _eids array<long>, _dsts array<long>, _ts array<long>")
+    joined = found.join(F.broadcast(more), ["_part", "node"], "left")
+    longer = {c: F.when(F.col("_count").isNull(), F.col(c)).otherwise(F.slice(F.concat(c, f"_{c}"), 1, max(k, 1))) for c in ("eids", "dsts", "ts")}
+    return joined.withColumns({**longer, "pos": F.col("pos") + F.coalesce("_count", F.lit(0))}).drop("_part", "_count", "_eids", "_dsts", "_ts")
+
+
+def _exploded(found: DataFrame) -> DataFrame:
+    """A row per edge found: _query's fields, root, at, pos, nbr_pos (0 is newest), node, eid, t."""
+    each = found.select("_query.*", F.col("node").alias("root"), F.col("t").alias("_asked"), "pos", F.posexplode(F.arrays_zip("dsts", "eids", "ts")).alias("nbr_pos", "_e"))
+    return each.select("*", F.col("_e.dsts").alias("node"), F.col("_e.eids").alias("eid"), F.col("_e.ts").alias("t")).drop("_e")
+
+
+def ranked_edges(edges: DataFrame) -> DataFrame:
+    """Each edge with rk, its number from 1 among the edges of its src in order of (t, eid)."""
+    return _swept(edges, None, 0, True).select(F.col("node").alias("src"), F.col("pos").alias("rk"), "eid", "dst", "t")
 
 
-def asof_position(edges: DataFrame, queries: DataFrame, key: list[str], heavy=_FIND) -> DataFrame:
+def asof_position(edges: DataFrame, queries: DataFrame, key: list[str]) -> DataFrame:
     """key, node, t, pos: the number of edges of node strictly before t (0 for an unknown node)."""
-    heavy = heavy_nodes(edges) if heavy is _FIND else heavy
-    p = _probes(queries, key, 0, F.col("t"))
-    return _ranked_with(edges, p, heavy).filter("_kind = 0").select("_query.*", "node", "t", F.col("_pos").alias("pos"))
-
+    return _swept(edges, _probes(queries, key, BEFORE, F.col("t")), 0).select("_query.*", "node", "t", "pos")
 
-def window_positions(edges: DataFrame, queries: DataFrame, key: list[str], snapshots: int, duration: int, heavy=_FIND) -> DataFrame:
-    """key, snap, node, t, lo, hi for each query and snapshot i: edges with rank in (lo, hi] lie strictly between t-(i+1)D and t-iD.
 
-    With duration 0 there is no lower bound and lo is 0.
-    """
-    heavy = heavy_nodes(edges) if heavy is _FIND else heavy
+def _window_probes(queries: DataFrame, key: list[str], snapshots: int, duration: int, lower: bool) -> DataFrame:
     q = queries.withColumn("snap", F.explode(F.sequence(F.lit(0), F.lit(snapshots - 1))))
     carried = {"snap": F.col("snap"), "at": F.col("t")}
-    p = _probes(q, key, 0, F.col("t") - F.col("snap") * duration, carried)
-    if duration:
-        p = p.unionByName(_probes(q, key, 2, F.col("t") - (F.col("snap") + 1) * duration, carried))
-    ranked = _ranked_with(edges, p, heavy).filter("_kind <> 1").select("_query.*", "node", "_kind", "_pos")
+    p = _probes(q, key, BEFORE, F.col("t") - F.col("snap") * duration, carried)
+    return p.unionByName(_probes(q, key, UPTO, F.col("t") - (F.col("snap") + 1) * duration, carried)) if duration and lower else p
+
+
+def _positions(found: DataFrame, key: list[str], duration: int) -> DataFrame:
+    ranked = found.filter(F.col("_kind") != EDGE).select("_query.*", "node", "_kind", "pos")
     if not duration:
-        return ranked.select(*key, "snap", "node", F.col("at").alias("t"), F.lit(0).cast("long").alias("lo"), F.col("_pos").alias("hi"))
-    return ranked.groupBy(*key, "snap", "node", F.col("at").alias("t")).agg(F.max(F.when(F.col("_kind") == 2, F.col("_pos"))).alias("lo"), F.max(F.when(F.col("_kind") == 0, F.col("_pos"))).alias("hi"))
+        return ranked.select(*key, "snap", "node", F.col("at").alias("t"), F.lit(0).cast("long").alias("lo"), F.col("pos").alias("hi"))
+    of = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("pos")))
+    return ranked.groupBy(*key, "snap", "node", F.col("at").alias("t")).agg(of(UPTO).alias("lo"), of(BEFORE).alias("hi"))
+
 
+def window_positions(edges: DataFrame, queries: DataFrame, key: list[str], snapshots: int, duration: int) -> DataFrame:
+    """key, snap, node, t, lo, hi for each query and snapshot i: edges with rank in (lo, hi] lie strictly between t-(i+1)D and t-iD.
 
-def _picked(edges: DataFrame, asked: DataFrame, key: list[str], heavy: DataFrame | None) -> DataFrame:
-    """Neighbours at the asked ranks: asked has key, root (node), root_t, nbr_pos, rk."""
-    r = ranked_edges(edges, heavy).select(F.col("src").alias("root"), "rk", "eid", F.col("dst").alias("node"), F.col("t").alias("t"))
-    return asked.join(r, ["root", "rk"]).select(*key, "root", "root_t", "nbr_pos", "node", "eid", "t", (F.col("root_t") - F.col("t")).alias("dt"))
+    With duration 0 there is no lower bound and lo is 0.
+    """
+    return _positions(_swept(edges, _window_probes(queries, key, snapshots, duration, True), 0), key, duration)
 
 
-def recent(edges: DataFrame, queries: DataFrame, key: list[str], k: int, snapshots: int = 1, duration: int = 0, heavy=_FIND) -> DataFrame:
+def recent(edges: DataFrame, queries: DataFrame, key: list[str], k: int, snapshots: int = 1, duration: int = 0) -> DataFrame:
     """The newest k edges of each query's node strictly before its time, per snapshot window when there are several or a duration.
 
     Columns: key, [snap], root, root_t, nbr_pos (0 is newest), node, eid, t, dt. Edges at the same time are ordered by eid, later first.
     Queries with null node or t give nothing; so do nodes without edges. Repeated queries need keys of their own.
     """
-    heavy = heavy_nodes(edges) if heavy is _FIND else heavy
     queries = queries.filter("node is not null and t is not null")
     if snapshots == 1 and not duration:
-        q, keys = asof_position(edges, queries, key, heavy).withColumn("lo", F.lit(0).cast("long")).withColumnRenamed("pos", "hi"), key
+        rows, keys = _exploded(_swept(edges, _probes(queries, key, BEFORE, F.col("t")), k)).withColumnRenamed("_asked", "root_t"), key
     else:
-        q, keys = window_positions(edges, queries, key, snapshots, duration, heavy), [*key, "snap"]
-    asked = q.filter("hi > lo").select(*keys, F.col("node").alias("root"), F.col("t").alias("root_t"), "hi", F.explode(F.sequence(F.greatest(F.col("lo") + 1, F.col("hi") - k + 1), F.col("hi"))).alias("rk"))
-    return _picked(edges, asked.withColumn("nbr_pos", (F.col("hi") - F.col("rk")).cast("int")).drop("hi"), keys, heavy)
+        rows, keys = _exploded(_swept(edges, _window_probes(queries, key, snapshots, duration, False), k)).withColumnRenamed("at", "root_t"), [*key, "snap"]
+        rows = rows.filter(F.col("t") > F.col("_asked") - duration) if duration else rows
+    return rows.select(*keys, "root", "root_t", "nbr_pos", "node", "eid", "t", (F.col("root_t") - F.col("t")).alias("dt"))
 
 
 def uniform(edges: DataFrame, queries: DataFrame, key: list[str], k: int, seed: int = 7, snapshots: int = 1, duration: int = 0) -> DataFrame:
     """k draws with replacement from the edges of each window; windows of fewer than k edges give all of theirs, newest first."""
-    heavy = heavy_nodes(edges)
-    q = window_positions(edges, queries.filter("node is not null and t is not null"), key, snapshots, duration, heavy).filter("hi > lo")
+    found = _swept(edges, _window_probes(queries.filter("node is not null and t is not null"), key, snapshots, duration, True), 0, True)
+    q = _positions(found, key, duration).filter("hi > lo")
     n = F.col("hi") - F.col("lo")
     places = F.when(n < k, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(k - 1)))
     each = q.withColumn("nbr_pos", F.explode(places))
     mixed = F.col("node") + F.col("t")
     rk = F.when(n < k, F.col("hi") - F.col("nbr_pos")).otherwise(F.col("lo") + 1 + draw(mixed, F.col("nbr_pos").cast("long") + F.col("snap") * 1000, seed, n))
-    keys = [*key, "snap"]
-    return _picked(edges, each.select(*keys, F.col("node").alias("root"), F.col("t").alias("root_t"), "nbr_pos", rk.alias("rk")), keys, heavy)
+    asked = each.select(*key, "snap", F.col("node").alias("root"), F.col("t").alias("root_t"), "nbr_pos", rk.alias("rk"))
+    numbered = found.filter(F.col("_kind") == EDGE).select(F.col("node").alias("root"), F.col("pos").alias("rk"), F.col("dst").alias("node"), "eid", "t")
+    return asked.join(numbered, ["root", "rk"]).select(*key, "snap", "root", "root_t", "nbr_pos", "node", "eid", "t", (F.col("root_t") - F.col("t")).alias("dt"))
 
 
 def pointer_times(queries: DataFrame, batch: str, span: int = 1000) -> DataFrame:
@@ -141,12 +200,15 @@ def pointer_times(queries: DataFrame, batch: str, span: int = 1000) -> DataFrame
     return per.withColumn("_i", inside).join(before, ["node", "_s"]).select("node", batch, F.greatest("_i", "_b").alias("_top"))
 
 
-def stateful_position(edges: DataFrame, queries: DataFrame, key: list[str], batch: str) -> DataFrame:
-    """key, node, t, pointer_time, pos: how many edges the forward-only pointer has passed when the batch is asked."""
+def _stateful(edges: DataFrame, queries: DataFrame, key: list[str], batch: str, k: int) -> DataFrame:
     q = queries.filter("node is not null and t is not null")
     q = q.join(pointer_times(q, batch), ["node", batch])
-    p = _probes(q, key, 2, F.col("_top"), {"at": F.col("t")})
-    return _ranked_with(edges, p, heavy_nodes(edges)).filter("_kind = 2").select("_query.*", "node", F.col("t").alias("pointer_time"), F.col("_pos").alias("pos")).withColumnRenamed("at", "t")
+    return _swept(edges, _probes(q, key, UPTO, F.col("_top"), {"at": F.col("t")}), k)
+
+
+def stateful_position(edges: DataFrame, queries: DataFrame, key: list[str], batch: str) -> DataFrame:
+    """key, node, t, pointer_time, pos: how many edges the forward-only pointer has passed when the batch is asked."""
+    return _stateful(edges, queries, key, batch, 0).select("_query.*", "node", F.col("t").alias("pointer_time"), "pos").withColumnRenamed("at", "t")
 
 
 def recent_stateful(edges: DataFrame, queries: DataFrame, key: list[str], batch: str, k: int) -> DataFrame:
@@ -155,9 +217,9 @@ def recent_stateful(edges: DataFrame, queries: DataFrame, key: list[str], batch:
     The pointer stands after the edges up to (and at) the greatest t of the node in this and all earlier batches; k places before
     it are looked at, without the node's oldest edge, and those strictly before the query's own t are returned.
     """
-    pos = stateful_position(edges, queries, key, batch).select(*key, F.col("node").alias("root"), F.col("t").alias("root_t"), F.col("pos").alias("hi"))
-    asked = pos.filter("hi > 1").withColumn("rk", F.explode(F.sequence(F.greatest(F.lit(2), F.col("hi") - k + 1), F.col("hi"))))
-    return _picked(edges, asked.withColumn("nbr_pos", (F.col("hi") - F.col("rk")).cast("int")).drop("hi"), key, heavy_nodes(edges)).filter("t < root_t")
+    rows = _exploded(_stateful(edges, queries, key, batch, k)).withColumnRenamed("at", "root_t")
+    kept = rows.filter((F.col("pos") - F.col("nbr_pos") > 1) & (F.col("t") < F.col("root_t")))
+    return kept.select(*key, "root", "root_t", "nbr_pos", "node", "eid", "t", (F.col("root_t") - F.col("t")).alias("dt"))
 
 
 def next_roots(queries: DataFrame, block: DataFrame, key: list[str], keep_root_time: bool = False) -> DataFrame:
@@ -168,9 +230,9 @@ def next_roots(queries: DataFrame, block: DataFrame, key: list[str], keep_root_t
 
 def multi_hop(edges: DataFrame, queries: DataFrame, key: list[str], fanout: list[int], keep_root_time: bool = False) -> list[DataFrame]:
     """One block per hop of recent neighbours; the key of hop l has l more columns nbr_1, nbr_2, ... that say where its root came from."""
-    blocks, q, keys, heavy = [], queries, list(key), heavy_nodes(edges)
+    blocks, q, keys = [], queries, list(key)
     for hop, k in enumerate(fanout):
-        block = recent(edges, q, keys, k, heavy=heavy)
+        block = recent(edges, q, keys, k)
         blocks.append(block)
         if hop + 1 < len(fanout):
             q = next_roots(q, block, keys, keep_root_time).withColumnRenamed("nbr", f"nbr_{hop + 1}")

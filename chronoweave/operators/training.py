@@ -1,4 +1,4 @@
-"""Training of a link scorer: Adam on gradients that every partition sums by itself."""
+"""Training of models without memory: gradients through predictor, attention layers and time encoding, summed over partitions, and Adam."""
 
 from __future__ import annotations
 
@@ -7,12 +7,21 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.config import Preset, RunSettings
+from chronoweave.functions import vectors as V
+from chronoweave.operators import etl, models, nn
+from chronoweave.operators import layers as L
 from chronoweave.session import written
 
+ROLES = ("src", "dst", "neg")
+PIECE = 4096  # weights that are summed as one row
+CHUNK = 256  # edges whose neighbourhoods are padded to one array at a time
+
 
 class Adam:
     def __init__(self, size: int, rate: float) -> None:
@@ -25,41 +34,174 @@ class Adam:
         return w - self.rate * (self.m / (1 - 0.9**self.n)) / (np.sqrt(self.v / (1 - 0.999**self.n)) + 1e-8)
 
 
-def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
-    """Summed gradient and loss of logistic regression; the last weight is the bias."""
-    z = x @ w[:-1] + w[-1]
-    p = 1 / (1 + np.exp(-z))
-    loss = np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))
-    return np.append((p - y) @ x, (p - y).sum()), float(loss.sum())
+def flat(weights: models.Models) -> np.ndarray:
+    """All weights as one vector, by names in order."""
+    return np.concatenate([weights[m][k].ravel() for m in sorted(weights) for k in sorted(weights[m])])
+
 
+def shaped(vector: np.ndarray, like: models.Models) -> models.Models:
+    out, at = {}, 0
+    for m in sorted(like):
+        out[m] = {}
+        for k in sorted(like[m]):
+            n = like[m][k].size
+            out[m][k] = vector[at : at + n].reshape(like[m][k].shape)
+            at += n
+    return out
 
-def train(rows: DataFrame, width: int, epochs: int = 5, rate: float = 0.1) -> tuple[np.ndarray, list[float]]:
-    """Weights and the mean loss before each step, from rows (x array of `width`, y 0 or 1); rows with nulls are left out.
 
-    A step is one pass: partitions send the sums of their gradients, width + 3 numbers each, which are summed again before the driver
-    sees them. All rows are used in each step. Without rows the weights stay 0.
+def samples(edges: DataFrame, part: DataFrame, drawn: DataFrame, node_features: DataFrame, edge_features: DataFrame, preset: Preset, node_width: int, edge_width: int) -> DataFrame:
+    """eid and src, dst, neg of the edges of part: each the sampled neighbourhood of a root as a list of what the innermost layer embeds, the root
+    first (pos -1), then its neighbours if there are two layers; each has its own vector, time since and edge to the root, and its neighbours.
+
+    Lists are as long as the fan-out at most. Edges that lack one of the three roots are left out.
+    """
+    if preset.memory or preset.layer != "attention" or preset.snapshots > 1 or not 1 <= len(preset.fanout) <= 2:
+        raise ValueError("training is for attention models without memory or snapshots, of one or two layers")
+    key = ["key_eid", "key_role"]
+    roots = etl.roots(part, drawn.filter("k = 0")).select(F.col("eid").alias("key_eid"), F.col("role").alias("key_role"), "node", "t").filter("node is not null and t is not null")
+    asked, blocks, keys = models.sampled(edges, roots, key, preset)
+    by = keys[-1]
+    vectors = models._vectors
+    rows = vectors(vectors(blocks[-1], node_features, "node", "id", node_width, "nbr"), edge_features, "eid", "eid", edge_width, "edge")
+    packed = vectors(asked[-1], node_features, "node", "id", node_width, "own").select(*by, "own").join(nn.neighbourhoods(rows.select(*by, "nbr_pos", "nbr", "edge", "dt"), by), by, "left")
+    if len(blocks) == 1:
+        each = packed.withColumns({"pos": F.lit(-1), "dt": F.lit(0).cast("long"), "edge": V.zeros(edge_width)})
+    else:
+        to_root = vectors(blocks[0], edge_features, "eid", "eid", edge_width, "edge").select(*key, F.col("nbr_pos").alias("nbr_1"), "dt", "edge")
+        each = packed.join(to_root, by, "left").withColumn("pos", F.col("nbr_1")).withColumns({"dt": F.coalesce("dt", F.lit(0)), "edge": nn.or_zeros(F.col("edge"), edge_width)})
+    trees = each.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "dt", "own", "edge", "nbrs"))).alias("_t"))
+    per = trees.groupBy(F.col("key_eid").alias("eid")).agg(*(F.first(F.when(F.col("key_role") == r, F.col("_t")), ignorenulls=True).alias(r) for r in ROLES))
+    return per.filter(" and ".join(f"{r} is not null" for r in ROLES))
+
+
+class Network:
+    """Forward and backward of a model over a batch of samples."""
+
+    def __init__(self, preset: Preset, node_width: int, edge_width: int, dropout: float = 0.0) -> None:
+        self.layers, self.dropout = models.model_layers(preset, node_width, edge_width), dropout
+
+    def _drops(self, rng: np.random.Generator | None, layer: L.Layer, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        if rng is None or not self.dropout:
+            return None
+        keep = 1 - self.dropout
+        return tuple((rng.random(shape) < keep) / keep for shape in ((*mask.shape, layer.heads), (len(mask), layer.out)))
+
+    def embed(self, w: models.Models, trees: pa.Array, rng: np.random.Generator | None) -> tuple[np.ndarray, tuple]:
+        first = self.layers[0]
+        sizes = pc.list_value_length(trees).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, starts = trees.flatten(), np.cumsum(sizes) - sizes
+        inner = nn._padded(flat.field("nbrs"), first)
+        h, c = L.forward(w["layer_0"], first, nn._matrix(flat.field("own"), first.node), *inner, self._drops(rng, first, inner[3]))
+        if len(self.layers) == 1:
+            return h[starts], (c, starts, None, None, len(h))
+        second, k = self.layers[1], max(int(sizes.max()) - 1, 1)
+        row = np.repeat(np.arange(len(sizes)), sizes - 1)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(sizes - 1) - (sizes - 1), sizes - 1)
+        at = np.delete(np.arange(len(h)), starts)
+        nbr, edge, dt, mask = np.zeros((len(sizes), k, second.node)), np.zeros((len(sizes), k, second.edge)), np.zeros((len(sizes), k)), np.zeros((len(sizes), k), bool)
+        nbr[row, col], mask[row, col] = h[at], True
+        edge[row, col] = nn._matrix(flat.field("edge"), second.edge)[at]
+        dt[row, col] = pc.cast(flat.field("dt"), pa.float64()).to_numpy(zero_copy_only=False)[at]
+        top, c_top = L.forward(w["layer_1"], second, h[starts], nbr, edge, dt, mask, self._drops(rng, second, mask))
+        return top, (c, starts, c_top, (row, col, at), len(h))
+
+    def embed_backward(self, w: models.Models, cache: tuple, dh: np.ndarray, g: models.Models) -> None:
+        c, starts, c_top, places, n = cache
+        inner = np.zeros((n, self.layers[0].out))
+        if c_top is None:
+            inner[starts] = dh
+        else:
+            got, d_own, d_nbr = L.backward(w["layer_1"], self.layers[1], c_top, dh)
+            _add(g, "layer_1", got)
+            row, col, at = places
+            inner[starts] = d_own
+            inner[at] += d_nbr[row, col]
+        _add(g, "layer_0", L.backward(w["layer_0"], self.layers[0], c, inner)[0])
+
+    def loss(self, w: models.Models, batch: dict[str, pa.Array], rng: np.random.Generator | None = None) -> tuple[float, models.Models]:
+        """Summed logistic loss of the true and the negative edges, and its gradient."""
+        g: models.Models = {m: {k: np.zeros_like(x) for k, x in v.items()} for m, v in w.items()}
+        h, caches = zip(*(self.embed(w, batch[r], rng) for r in ROLES))
+        d, total = [np.zeros_like(x) for x in h], 0.0
+        for end, sign in ((1, -1.0), (2, 1.0)):
+            s, c = L.predict(w["predictor"], h[0], h[end])
+            total += float(np.logaddexp(0.0, sign * s).sum())
+            got, d_src, d_end = L.predict_backward(w["predictor"], c, sign / (1 + np.exp(-sign * s)))
+            _add(g, "predictor", got)
+            d[0] += d_src
+            d[end] += d_end
+        for cache, x in zip(caches, d):
+            self.embed_backward(w, cache, x, g)
+        return total, g
+
+
+def _add(g: models.Models, name: str, more: L.Weights) -> None:
+    for k, x in more.items():
+        g[name][k] = g[name][k] + x
+
+
+def gradient(rows: DataFrame, net: Network, weights: models.Models, seed: int) -> tuple[np.ndarray, float, int]:
+    """Summed gradient, loss and number of samples: one pass. Partitions send sums in pieces of PIECE weights, which are summed per piece before
+    the driver sees them. Dropout is drawn from the seed and the eids of a chunk.
     """
-    good = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))).select("x", "y")
-    good = written(good, "training")
-    w, adam, losses = np.zeros(width + 1), Adam(width + 1, rate), []
-    for _ in range(epochs):
-        now = w.copy()
-
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(width + 3)
-            for b in batches:
-                if len(b):
-                    g, loss = gradient(np.stack(b["x"].to_list()).astype(float), b["y"].to_numpy(float), now)
-                    total += np.concatenate([g, [loss, len(b)]])
-            yield pd.DataFrame({"pos": np.arange(width + 3), "v": total})
-
-        got = np.zeros(width + 3)
-        for r in good.mapInPandas(sums, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect():
-            got[r.pos] = r.v
-        n = max(got[-1], 1)
-        losses.append(got[-2] / n)
-        w = adam.step(w, got[:-2] / n)
-    return w, losses
+    size, sent = len(flat(weights)), nn._sent(rows, [flat(weights)])
+    like = {m: {k: np.empty(x.shape) for k, x in v.items()} for m, v in weights.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, total, seen = shaped(sent.value[0], like), np.zeros(size + 2), False
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                b, seen = whole.slice(at, CHUNK), True
+                rng = np.random.default_rng([seed, int(sum(b.column("eid").to_pylist())) % 2**32]) if net.dropout else None
+                loss, g = net.loss(w, {r: b.column(r) for r in ROLES}, rng)
+                total += np.concatenate([flat(g), [loss, b.num_rows]])
+        if seen:
+            pieces = [total[i : i + PIECE].tolist() for i in range(0, len(total), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.list_(pa.float64()))], names=["piece", "v"])
+
+    def together(key: tuple, rows: pa.Table) -> pa.Table:
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([np.sum([x.as_py() for x in rows["v"]], 0).tolist()], pa.list_(pa.float64()))})
+
+    out = "piece int, v array<double>"
+    got = {r.piece: r.v for r in rows.mapInArrow(run, out).groupBy("piece").applyInArrow(together, out).collect()}
+    if not got:
+        return np.zeros(size), 0.0, 0
+    total = np.concatenate([got[i] for i in range(len(got))])
+    return total[:size], float(total[size]), int(total[size + 1])
+
+
+def train(edges: DataFrame, node_features: DataFrame, edge_features: DataFrame, run: RunSettings, node_width: int, edge_width: int, hidden: int = 8, steps: int = 1, first: int = 3, timers: StageTimers | None = None) -> tuple[models.Models, list[tuple[int, float, float]]]:
+    """Weights of the best epoch and, per epoch, its number, mean loss and average precision on the validation split.
+
+    Training edges (split 0) with a negative each become samples once, written to the shared folder; an epoch is `steps` passes over as many parts
+    of them by a hash of eid, each one step of Adam. The best epoch is the one of the greatest precision from `first` on (numbered from 0), as long as there is
+    one, else the last. With no training edges the weights stay the initial ones.
+    """
+    timers = timers or StageTimers()
+    part = edges.filter("split = 0")
+    with timers.stage("t_sample"):
+        drawn = etl.negatives(part, etl.dense_ids(edges), 1, run.seed)
+        rows = written(samples(edges, part, drawn, node_features, edge_features, run.preset, node_width, edge_width), "training")
+    weights = models.initial_weights(run.preset, node_width, edge_width, hidden)
+    net, w = Network(run.preset, node_width, edge_width, run.dropout), flat(weights)
+    adam, told, best, best_ap = Adam(len(w), run.rate), [], None, -1.0
+    for epoch in range(run.epochs):
+        loss, n = 0.0, 0
+        for step in range(steps):
+            with timers.stage("t_backward"):
+                now = rows.filter(F.pmod(F.xxhash64("eid"), F.lit(steps)) == step) if steps > 1 else rows
+                g, more, seen = gradient(now, net, shaped(w, weights), run.seed + epoch * steps + step)
+            loss, n = loss + more, n + seen
+            if seen:
+                w = adam.step(w, g / seen)
+        with timers.stage("t_eval"):
+            row = models.evaluate(edges, 1, node_features, edge_features, run, node_width, edge_width, hidden, shaped(w, weights)).first()
+        told.append((epoch, loss / max(n, 1), row.ap))
+        if epoch >= first and row.ap is not None and row.ap > best_ap:
+            best, best_ap = w.copy(), row.ap
+        timers.next_epoch()
+    return shaped(w if best is None else best, weights), told
 
 
 class StageTimers:
@@ -82,3 +224,10 @@ class StageTimers:
     def means(self, warm_up: int = 0) -> dict[str, float]:
         kept = [r for r in self.rows[warm_up:] if r]
         return {n: sum(r.get(n, 0.0) for r in kept) / len(kept) for n in sorted({n for r in kept for n in r})}
+
+
+def metrics_table(spark: SparkSession, told: list[tuple[int, float, float]], timers: StageTimers) -> DataFrame:
+    """epoch, name, value: loss, ap and the seconds of every stage of every epoch."""
+    rows = [(e, n, None if v is None else float(v)) for e, loss, ap in told for n, v in (("loss", loss), ("ap", ap))]
+    rows += [(e, n, v) for e, r in enumerate(timers.rows) for n, v in r.items()]
+    return spark.createDataFrame(rows, "epoch int, name string, value double")

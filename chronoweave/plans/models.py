@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import vectors as V
 from chronoweave.functions.vectors import weight_sql
-from chronoweave.operators import blocks, etl, hotset, kernels, memory, metrics, nn, sampler, topology, training
+from chronoweave.config import MemorySettings
+from chronoweave.operators import blocks, etl, hotset, kernels, layers, memory, metrics, models, nn, sampler, topology
 from chronoweave.plans import base
 from chronoweave.plans.base import EF, NF, ORDERED, E, R, S, block_sql
 from chronoweave.session import table
@@ -65,22 +66,26 @@ def blk03_roots_only(spark: SparkSession, d: str) -> DataFrame:
     return base.queries(spark, d).select(*KEY, "node", "t")
 
 
-_NODE_GATHER = f"{_B}, {NF} select batch, root_pos, nbr_pos, node, cast(f[1] as double) as f0, cast(f[8] as double) as f7 from b left join nf on nf.id = b.node"
-_EDGE_GATHER = f"{_B}, {EF} select batch, root_pos, nbr_pos, b.eid, cast(f[1] as double) as f0, cast(f[4] as double) as f3 from b left join ef on ef.eid = b.eid"
+def _elements(width: int) -> str:
+    return ", ".join(f"cast(f[{i + 1}] as double) as f{i}" for i in range(width))
 
 
-def _ends(df: DataFrame, key: str, last: int) -> DataFrame:
-    return df.select(*KEY, "nbr_pos", key, F.col("f")[0].cast("double").alias("f0"), F.col("f")[last].cast("double").alias(f"f{last}"))
+_NODE_GATHER = f"{_B}, {NF} select batch, root_pos, nbr_pos, node, {_elements(8)} from b left join nf on nf.id = b.node"
+_EDGE_GATHER = f"{_B}, {EF} select batch, root_pos, nbr_pos, b.eid, {_elements(4)} from b left join ef on ef.eid = b.eid"
+
+
+def _whole(df: DataFrame, key: str, width: int) -> DataFrame:
+    return df.select(*KEY, "nbr_pos", key, *(F.col("f")[i].cast("double").alias(f"f{i}") for i in range(width)))
 
 
 @query(_NODE_GATHER)
 def blk04_node_gather(spark: SparkSession, d: str) -> DataFrame:
-    return _ends(blocks.gather(_block(spark, d), base.node_features(spark, d), "node", "id"), "node", 7)
+    return _whole(blocks.gather(_block(spark, d), base.node_features(spark, d), "node", "id"), "node", 8)
 
 
 @query(_EDGE_GATHER)
 def blk05_edge_gather(spark: SparkSession, d: str) -> DataFrame:
-    return _ends(blocks.gather(_block(spark, d), base.edge_features(spark, d), "eid", "eid"), "eid", 3)
+    return _whole(blocks.gather(_block(spark, d), base.edge_features(spark, d), "eid", "eid"), "eid", 4)
 
 
 @query(f"{_B} select node, t, count(*) as n from b group by node, t")
@@ -157,16 +162,30 @@ def cac08_slots(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d).filter(F.col("place") < CAPACITY).select("node", F.col("place").alias("slot"))
 
 
-@query(f"{_RANKED}, hot as (select node from rk where place < {CAPACITY}), b as ({block_sql(K)}), {NF} select batch, root_pos, nbr_pos, b.node, cast(f[1] as double) as f0, b.node in (select node from hot) as hit from b left join nf on nf.id = b.node")
+@query(f"{_RANKED}, hot as (select node from rk where place < {CAPACITY}), b as ({block_sql(K)}), {NF} select batch, root_pos, nbr_pos, b.node, {_elements(8)}, b.node in (select node from hot) as hit from b left join nf on nf.id = b.node")
 def cac09_hit_or_miss(spark: SparkSession, d: str) -> DataFrame:
     hot = _ranked(spark, d).filter(F.col("place") < CAPACITY)
     features = base.node_features(spark, d).withColumnRenamed("id", "node")
-    return hotset.hit_or_miss(_block(spark, d), hot, features, "node", "node").select(*KEY, "nbr_pos", "node", F.col("f")[0].cast("double").alias("f0"), "hit")
+    found = hotset.hit_or_miss(_block(spark, d), hot, features, "node", "node")
+    return _whole(found.withColumn("node", F.struct("node", "hit")), "node", 8).select("*", "node.hit").withColumn("node", F.col("node.node"))
+
+
+@query(_NODE_GATHER)
+def cac07_gather_by_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of the features is kept near, so those of the hot nodes are sent to the rows and only the others' rows move."""
+    hot = _ranked(spark, d).filter(F.col("place") < CAPACITY)
+    return _whole(hotset.gathered(_block(spark, d), base.node_features(spark, d).withColumnRenamed("id", "node"), "node", "node", 0.1, hot), "node", 8)
+
+
+@query(_NODE_GATHER)
+def cac12_full_gather(spark: SparkSession, d: str) -> DataFrame:
+    """All features are sent to every executor if they are small enough, else gathered by key."""
+    return _whole(hotset.gathered(_block(spark, d), base.node_features(spark, d), "node", "id", 1.0), "node", 8)
 
 
 @query(_NODE_GATHER)
 def cac10_gather_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return _ends(blocks.gather_distinct(_block(spark, d), base.node_features(spark, d), "node", "id"), "node", 7)
+    return _whole(blocks.gather_distinct(_block(spark, d), base.node_features(spark, d), "node", "id"), "node", 8)
 
 
 # ---- kernels --------------------------------------------------------------------------------------------------------
@@ -208,14 +227,14 @@ _NODE_SUM = f"{_B}, {NF}, x as (select batch, root_pos, f from b join nf on nf.i
 @query(_NODE_SUM)
 def gop05_scatter_sum(spark: SparkSession, d: str) -> DataFrame:
     rows = blocks.gather(_block(spark, d), base.node_features(spark, d), "node", "id")
-    return kernels.scatter_sum(rows, KEY, "f").withColumn("value", F.round("value", 6))
+    return kernels.scatter_sum(rows, KEY, "f", 8).withColumn("value", F.round("value", 6))
 
 
 @query(f"{_B}, {NF}, x as (select node, f from b join nf on nf.id = b.node) select node, cast(p - 1 as integer) as pos, round(sum(cast(f[p] as double)), 6) + 0.0 as value from x, (select unnest(range(1, 9)) as p) group by all")
 def gop06_segment_sum(spark: SparkSession, d: str) -> DataFrame:
     """Sums by neighbour instead of root: the other direction of the block."""
     rows = blocks.gather(_block(spark, d), base.node_features(spark, d), "node", "id")
-    return kernels.scatter_sum(rows, ["node"], "f").withColumn("value", F.round("value", 6))
+    return kernels.scatter_sum(rows, ["node"], "f", 8).withColumn("value", F.round("value", 6))
 
 
 _SCORES = f"{_B}, {NF}, x as (select batch, root_pos, nbr_pos, cast(f[1] as double) as x, cast(f[2] as double) as dy from b join nf on nf.id = b.node), y as (select *, exp(x - max(x) over (partition by batch, root_pos)) as e from x), z as (select *, e / sum(e) over (partition by batch, root_pos) as y from y)"
@@ -260,6 +279,9 @@ l as (select *, case when raw > 0 then raw else raw * 0.2::double end as sc from
 o as (select batch, root_pos, cast(h as integer) as head, cast(i as integer) as pos, sum(att * v[h * 4 + i + 1]) as value from a, (select unnest(range(0, 4)) as i) group by all)"""
 
 
+_LAYER = layers.Layer(8, 4, 4, 2, _OUT)
+
+
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     nf, ef = base.node_features(spark, d), base.edge_features(spark, d)
     x = blocks.gather(_block(spark, d), nf, "node", "id").withColumnRenamed("f", "_n")
@@ -275,8 +297,14 @@ def _root_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_ATT} select batch, root_pos, head, pos, round(value, 6) + 0.0 as value from o")
 def gop11_fused_attention(spark: SparkSession, d: str) -> DataFrame:
-    p = nn.projections(_rows(spark, d), "own", "nbr", "edge", "dt", 4, _OUT)
-    return kernels.attention(p, KEY, 2, "q", "k", "v").withColumn("value", F.round("value", 6) + F.lit(0.0))
+    return nn.attention(_rows(spark, d), KEY, _LAYER).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query(f"""{_ATT}, msg as (select batch, root_pos, nbr_pos, cast(h * 4 + i as integer) as pos, round(att * v[h * 4 + i + 1], 6) + 0.0 as value from a, (select unnest(range(0, 4)) as i))
+select * from msg union all select distinct batch, root_pos, cast(-1 as integer), cast(p as integer), 0.0::double from b, (select unnest(range(0, 8)) as p)""")
+def gop12_weighted_values(spark: SparkSession, d: str) -> DataFrame:
+    """What attention sums up: attention times v for each neighbour, and zeros for the root."""
+    return _positions(nn.messages(_rows(spark, d), KEY, _LAYER), [*KEY, "nbr_pos"], "m").withColumn("value", F.col("value") + F.lit(0.0))
 
 
 @query("select id, count(*) as n_rows from node_feat where len(list_filter(f, lambda x: isnan(x))) > 0 group by id")
@@ -303,28 +331,28 @@ def nn02_linear(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_QKV} select batch, root_pos, nbr_pos, cast(i as integer) as pos, round(q[i + 1], 6) + 0.0 as q, round(k[i + 1], 6) + 0.0 as k, round(v[i + 1], 6) + 0.0 as v from p, (select unnest(range(0, 8)) as i)")
 def nn03_projections(spark: SparkSession, d: str) -> DataFrame:
-    p = nn.projections(_rows(spark, d), "own", "nbr", "edge", "dt", 4, _OUT)
+    p = nn.projections(_rows(spark, d), _LAYER)
     z = p.select(*KEY, "nbr_pos", F.posexplode(F.arrays_zip("q", "k", "v")).alias("pos", "z"))
     return z.select(*KEY, "nbr_pos", "pos", *((F.round(f"z.{c}", 6) + F.lit(0.0)).alias(c) for c in "qkv"))
 
 
 @query(f"{_QKV}, w as (select batch, root_pos, nbr_pos, list_transform(list_zip(list_zip({lin('nbr', 4, 14)}, {lin('ed', 4, 15, False)}), {lin(te('dt::double', 4), 4, 16, False)}), lambda z: z[1][1] + z[1][2] + z[2]) as v from y) select batch, root_pos, nbr_pos, cast(p as integer) as pos, round(v[p + 1], 6) + 0.0 as value from w, {_P4}")
 def nn04_split_projection(spark: SparkSession, d: str) -> DataFrame:
-    v = nn.split_projection([F.col("nbr"), F.col("edge"), V.time_encoding(F.col("dt").cast("double"), 4)], 4, [14, 15, 16])
-    return _positions(_rows(spark, d).withColumn("v", v), [*KEY, "nbr_pos"], "v").withColumn("value", F.col("value") + F.lit(0.0))
+    rows = _rows(spark, d).withColumn("te", V.time_encoding(F.col("dt").cast("double"), 4))
+    return _positions(nn.split_projection(rows, {"nbr": 8, "edge": 4, "te": 4}, 4, [14, 15, 16], "v"), [*KEY, "nbr_pos"], "v").withColumn("value", F.col("value") + F.lit(0.0))
 
 
 @query(f"{_ATT} select batch, root_pos, nbr_pos, cast(h as integer) as head, round(sc, 6) + 0.0 as score from l")
 def nn05_attention_score(spark: SparkSession, d: str) -> DataFrame:
-    p = nn.projections(_rows(spark, d), "own", "nbr", "edge", "dt", 4, _OUT).withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    p = nn.projections(_rows(spark, d), _LAYER).withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(1))))
     part = lambda c: F.slice(c, F.col("head") * 4 + 1, F.lit(4))
     return p.select(*KEY, "nbr_pos", "head", (F.round(V.leaky_relu(V.dot(part(F.col("q")), part(F.col("k")))), 6) + F.lit(0.0)).alias("score"))
 
 
-@query(f"{_ATT}, n as (select batch, root_pos, count(*) as n_values, round(sum(value), 5) + 0.0 as total from o group by all) select * from n")
+@query(f"{_ATT} select batch, root_pos, cast(head * 4 + pos as integer) as pos, round(value, 6) + 0.0 as value from o")
 def nn06_attention_output(spark: SparkSession, d: str) -> DataFrame:
-    p = nn.projections(_rows(spark, d), "own", "nbr", "edge", "dt", 4, _OUT)
-    return kernels.attention(p, KEY, 2, "q", "k", "v").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_values"), (F.round(F.sum("value"), 5) + F.lit(0.0)).alias("total"))
+    agg = nn.attention(_rows(spark, d), KEY, _LAYER)
+    return agg.select(*KEY, (F.col("head") * 4 + F.col("pos")).cast("int").alias("pos"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 def norm(x: str) -> str:
@@ -337,16 +365,16 @@ h0 as (select batch, root_pos, list_concat(coalesce(agg, {zs('null::double[]', 8
 select batch, root_pos, cast(p as integer) as pos, round(v[p + 1], 5) + 0.0 as value from h2, {_P8}""")
 def nn07_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """One attention layer with its output head for every root: also the model's forward pass and export of embeddings."""
-    h = nn.attention_layer(_rows(spark, d), _root_vectors(spark, d).select(*KEY, "own"), KEY, 2, _OUT)
+    h = nn.attention_layer(_rows(spark, d), _root_vectors(spark, d).select(*KEY, "own"), KEY, _LAYER)
     return h.select(*KEY, F.posexplode("h").alias("pos", "v")).select(*KEY, "pos", (F.round("v", 5) + F.lit(0.0)).alias("value"))
 
 
-@query(f"{_B}, n as (select batch, root_pos, count(*) as n from b group by all) select batch, root_pos, coalesce(n, 0) as n_neighbours, cast(coalesce(n, 0) = 0 as boolean) as defaulted from r left join n using (batch, root_pos)")
+@query(f"{_ATT}, g as (select batch, root_pos, list(value order by head, pos) as agg from o group by all), z as (select batch, root_pos, {zs('agg', 8)} as v from r left join g using (batch, root_pos)) select batch, root_pos, cast(p as integer) as pos, round(v[p + 1], 6) + 0.0 as value from z, {_P8}")
 def nn09_no_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Roots whose aggregate is the default of zeros."""
-    n = _block(spark, d).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    out = base.queries(spark, d).join(n, KEY, "left").withColumn("n_neighbours", F.coalesce("n", F.lit(0)))
-    return out.select(*KEY, "n_neighbours", (F.col("n_neighbours") == 0).alias("defaulted"))
+    """The aggregate of every root, by default zeros where it has no neighbours."""
+    agg = nn.attention(_rows(spark, d), KEY, _LAYER).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("head", "pos", "value"))).alias("_a"))
+    full = nn.default_zeros(base.queries(spark, d).select(*KEY), agg.select(*KEY, F.transform("_a", lambda x: x["value"]).alias("agg")), KEY, "agg", 8)
+    return _positions(full, KEY, "agg").withColumn("value", F.col("value") + F.lit(0.0))
 
 
 @query(f"{NF}, x as (select id, {zs('f', 8)} as x from nf), y as (select id, {norm('x')} as v from x) select id, cast(p as integer) as pos, round(v[p + 1], 5) + 0.0 as value from y, {_P8}")
@@ -394,7 +422,7 @@ _EDGE = f"{_ENDS}, z as (select batch, edge_pos, s is not null and d is not null
 
 
 def _edge_scores(spark: SparkSession, d: str) -> DataFrame:
-    return nn.edge_scores(_root_vectors(spark, d).withColumn("h", F.col("own")), ["batch", "edge_pos"], 4)
+    return nn.edge_scores(_root_vectors(spark, d).withColumn("h", F.col("own")), ["batch", "edge_pos"], 8, 4)
 
 
 @query(f"{_EDGE} select batch, edge_pos, round(pos_score, 6) + 0.0 as pos_score, round(neg_score, 6) + 0.0 as neg_score from sc")
@@ -417,24 +445,43 @@ def nn17_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- memory ---------------------------------------------------------------------------------------------------------
+NODE_WIDTH, EDGE_WIDTH, TIME_WIDTH = 8, 4, 4
+MAIL = 2 * NODE_WIDTH + EDGE_WIDTH
+SINCE = 20_000_000
 _MAILS = f"""{E}, {ORDERED}, {NF}, {EF}, eb as (select row_id // {BATCH} as batch, row_id % {BATCH} as edge_pos, eid, src, dst, t from o),
-ml as (select batch, edge_pos, t, src, dst, {zs('a.f[1:2]', 2)} as s, {zs('c.f[1:2]', 2)} as d, {zs('ef.f[1:2]', 2)} as w from eb left join nf a on a.id = src left join nf c on c.id = dst left join ef on ef.eid = eb.eid),
+ml as (select batch, edge_pos, t, src, dst, {zs('a.f', 8)} as s, {zs('c.f', 8)} as d, {zs('ef.f', 4)} as w from eb left join nf a on a.id = src left join nf c on c.id = dst left join ef on ef.eid = eb.eid),
 mails as (select batch, edge_pos * 2 as pos, src as node, t, list_concat(list_concat(s, d), w) as mail from ml union all select batch, edge_pos * 2 + 1, dst, t, list_concat(list_concat(d, s), w) from ml),
 lasts as (select * from (select *, row_number() over (partition by batch, node order by pos desc) as n from mails) where n = 1)"""
+_M = ", ".join(f"round(mail[{i + 1}], 6) + 0.0 as m{i}" for i in range(MAIL))
+
+
+def _edge_batches(spark: SparkSession, d: str) -> DataFrame:
+    return models.numbered(base.edges(spark, d), BATCH)
+
+
+def _mails(spark: SparkSession, d: str) -> DataFrame:
+    """Mails without their vectors; those that are kept get them by _filled."""
+    return memory.mail_rows(_edge_batches(spark, d))
+
 
+def _node_memory(spark: SparkSession, d: str) -> DataFrame:
+    return base.node_features(spark, d).select(F.col("id").alias("node"), "f")
 
-def _mails(spark: SparkSession, d: str, width: int = 2, edge_width: int = 2) -> DataFrame:
-    """Mails of the first features of nodes and edges."""
-    e = etl.batched(etl.time_sorted(base.edges(spark, d)), BATCH).withColumn("edge_pos", F.pmod("row_id", F.lit(BATCH)))
-    nodes = base.node_features(spark, d).select(F.col("id").alias("node"), F.slice("f", 1, width).alias("f"))
-    return memory.build_mails(e, nodes, base.edge_features(spark, d).select("eid", F.slice("f", 1, edge_width).alias("f")), width, edge_width)
 
+def _filled(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    return memory.with_mails(rows, _node_memory(spark, d), base.edge_features(spark, d), NODE_WIDTH, EDGE_WIDTH)
 
-def _flat(df: DataFrame, by: list[str], width: int = 6) -> DataFrame:
-    return df.select(*by, *(F.round(F.col("mail")[i], 6).alias(f"m{i}") for i in range(width)))
 
+def _flat(df: DataFrame, by: list[str], width: int = MAIL) -> DataFrame:
+    return df.select(*by, *((F.round(F.col("mail")[i], 6) + F.lit(0.0)).alias(f"m{i}") for i in range(width)))
 
-_M = ", ".join(f"round(mail[{i + 1}], 6) + 0.0 as m{i}" for i in range(6))
+
+@query(f"{_MAILS}, n as (select src as node from e union select dst from e union select id from nf) select n.node, coalesce(max(l.t), 0) as mem_t, coalesce(max(l.batch), -1) as batch from n left join lasts l on l.node = n.node group by n.node")
+def mem01_initial_state(spark: SparkSession, d: str) -> DataFrame:
+    """The state of every node: of those that were never written to, the initial one."""
+    nodes = etl.nodes_of(base.edges(spark, d)).unionByName(_node_memory(spark, d).select("node")).distinct()
+    last = _mails(spark, d).groupBy("node").agg(F.max("t").alias("mem_t"), F.max("batch").alias("batch"))
+    return memory.state_of(nodes, last, {"mem_t": "0L", "batch": "-1L"})
 
 
 @query(f"{_MAILS}, q as (select distinct batch, node from mails) select q.batch, q.node, (select max(l.batch) from lasts l where l.node = q.node and l.batch < q.batch) as written_in from q")
@@ -445,6 +492,14 @@ def mem02_state_read(spark: SparkSession, d: str) -> DataFrame:
     return memory.state_before(writes, m.select("batch", "node").distinct().withColumn("k", F.lit(1)), ["k"], ["written_in"]).select("batch", "node", "written_in")
 
 
+@query(f"{_MAILS} select q.batch, q.pos, q.node, l.batch as written_in, l.pos as written_by from mails q asof left join lasts l on q.node = l.node and q.batch > l.batch")
+def mem03_distinct_read(spark: SparkSession, d: str) -> DataFrame:
+    """What every occurrence of a node sees, each node of a batch read once."""
+    m = _mails(spark, d)
+    writes = memory.last_per_batch(m).withColumns({"written_in": F.col("batch"), "written_by": F.col("pos")})
+    return memory.state_before_distinct(writes, m.select("batch", "pos", "node"), ["written_in", "written_by"]).select("batch", "pos", "node", "written_in", "written_by")
+
+
 @query(f"{_MAILS} select batch, node, pos, t as mem_t from lasts")
 def mem04_memory_write(spark: SparkSession, d: str) -> DataFrame:
     return memory.last_per_batch(_mails(spark, d).select("batch", "node", "pos", "t")).select("batch", "node", "pos", F.col("t").alias("mem_t"))
@@ -452,46 +507,25 @@ def mem04_memory_write(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_MAILS} select batch, pos, node, t, {_M} from mails")
 def mem05_build_mails(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_mails(spark, d), ["batch", "pos", "node", "t"])
+    mails = memory.build_mails(_edge_batches(spark, d), _node_memory(spark, d), base.edge_features(spark, d), NODE_WIDTH, EDGE_WIDTH)
+    return _flat(mails, ["batch", "pos", "node", "t"])
 
 
 @query(f"{_MAILS} select batch, node, pos, t, {_M} from lasts")
 def mem06_last_mail(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(memory.last_per_batch(_mails(spark, d)), ["batch", "node", "pos", "t"])
-
-
-_WHOLE_MAILS = f"""{E}, {ORDERED}, {NF}, {EF}, eb as (select row_id // {BATCH} as batch, row_id % {BATCH} as edge_pos, eid, src, dst, t from o),
-ml as (select batch, edge_pos, t, src, dst, {zs('a.f', 8)} as s, {zs('c.f', 8)} as d, {zs('ef.f', 4)} as w from eb left join nf a on a.id = src left join nf c on c.id = dst left join ef on ef.eid = eb.eid),
-mails as (select batch, edge_pos * 2 as pos, src as node, t, list_concat(list_concat(s, d), w) as mail from ml union all select batch, edge_pos * 2 + 1, dst, t, list_concat(list_concat(d, s), w) from ml),
-lasts as (select * from (select *, row_number() over (partition by batch, node order by pos desc) as n from mails) where n = 1)"""
-_WHOLE_M = ", ".join(f"round(mail[{i + 1}], 6) + 0.0 as m{i}" for i in range(20))
-
-
-@query(f"{_WHOLE_MAILS} select batch, pos, node, t, {_WHOLE_M} from mails")
-def mem05_whole_mails(spark: SparkSession, d: str) -> DataFrame:
-    """Mails of all 8 node and 4 edge features."""
-    return _flat(_mails(spark, d, 8, 4), ["batch", "pos", "node", "t"], 20)
-
-
-@query(f"{_WHOLE_MAILS} select batch, node, pos, t, {_WHOLE_M} from lasts")
-def mem06_whole_mail(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(memory.last_per_batch(_mails(spark, d, 8, 4)), ["batch", "node", "pos", "t"], 20)
+    return _flat(_filled(spark, d, memory.last_per_batch(_mails(spark, d))), ["batch", "node", "pos", "t"])
 
 
-_WHOLE_RING = f"{_WHOLE_MAILS}, sl as (select *, cast((dense_rank() over (partition by node order by batch) - 1) % {SLOTS} as integer) as slot, row_number() over (partition by node order by batch desc) as age from lasts)"
-
-
-@query(f"{_WHOLE_RING} select node, slot, batch, t, {_WHOLE_M} from sl where age <= {SLOTS}")
-def mem07_whole_ring(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(memory.mailbox(memory.last_per_batch(_mails(spark, d, 8, 4)), SLOTS), ["node", "slot", "batch", "t"], 20)
+_RING = f"{_MAILS}, sl as (select *, cast((dense_rank() over (partition by node order by batch) - 1) % {SLOTS} as integer) as slot, row_number() over (partition by node order by batch desc) as age from lasts)"
 
 
-_RING = f"{_MAILS}, sl as (select *, cast((dense_rank() over (partition by node order by batch) - 1) % {SLOTS} as integer) as slot, row_number() over (partition by node order by batch desc) as age from lasts)"
+def _ring(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(spark, d, memory.mailbox(memory.last_per_batch(_mails(spark, d)), SLOTS))
 
 
 @query(f"{_RING} select node, slot, batch, t, {_M} from sl where age <= {SLOTS}")
 def mem07_ring_buffer(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(memory.mailbox(memory.last_per_batch(_mails(spark, d)), SLOTS), ["node", "slot", "batch", "t"])
+    return _flat(_ring(spark, d), ["node", "slot", "batch", "t"])
 
 
 @query(f"{_RING} select node, count(*) % {SLOTS} as next_pos from sl group by node")
@@ -499,60 +533,87 @@ def mem10_next_slot(spark: SparkSession, d: str) -> DataFrame:
     return memory.next_slots(memory.last_per_batch(_mails(spark, d)), SLOTS)
 
 
+@query(f"{_RING} select node, slot, batch as since, lead(batch) over (partition by node, slot order by batch) as until, pos from sl")
+def mem11_two_phase(spark: SparkSession, d: str) -> DataFrame:
+    """For each mail its slot and the batches between which it stands there: what was staged in a batch and put in place after it."""
+    _, placed = memory.two_phase(_mails(spark, d), SLOTS)
+    return placed.select("node", "slot", "since", "until", "pos")
+
+
+@query()
+def mem11_fold_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Memory and mailbox after all edges, batch by batch, each reading what the one before wrote."""
+    past = memory.history(_edge_batches(spark, d), base.edge_features(spark, d), MemorySettings(), NODE_WIDTH, EDGE_WIDTH, TIME_WIDTH)
+    state = memory.state_after(past)
+    return state.select("node", "mem_t", F.col("mail_t")[0].alias("mail_t"), *(F.round(F.col("mem")[i], 6).alias(f"m{i}") for i in range(NODE_WIDTH)))
+
+
 def _sent(spark: SparkSession, d: str) -> DataFrame:
-    """Mails of the roots of the given batches, of the first two node features, to their neighbours."""
-    v = _root_vectors(spark, d).select("batch", F.col("root_pos").alias("pos"), "node", "t", F.slice("own", 1, 2).alias("mail"))
+    """Mails of the roots of the given batches, their node features, to their neighbours."""
+    v = _root_vectors(spark, d).select("batch", F.col("root_pos").alias("pos"), "node", "t", F.col("own").alias("mail"))
     return memory.delivered(v, _block(spark, d))
 
 
-_SENT = f"{_B}, {NF}, m as (select batch, root_pos as pos, r.node, t, {zs('f', 8)}[1:2] as mail from r left join nf on nf.id = r.node), sent as (select batch, node, pos, t, mail, 0 as via, -1 as nbr_pos from m union all select b.batch, b.node, m.pos, m.t, m.mail, 1, b.nbr_pos from b join m on m.batch = b.batch and m.pos = b.root_pos)"
+_SENT = f"{_B}, {NF}, m as (select batch, root_pos as pos, r.node, t, {zs('f', 8)} as mail from r left join nf on nf.id = r.node), sent as (select batch, node, pos, t, mail, 0 as via, -1 as nbr_pos from m union all select b.batch, b.node, m.pos, m.t, m.mail, 1, b.nbr_pos from b join m on m.batch = b.batch and m.pos = b.root_pos)"
+_M8 = ", ".join(f"round(mail[{i + 1}], 6) + 0.0 as m{i}" for i in range(NODE_WIDTH))
 
 
-@query(f"{_SENT} select batch, node, pos, t, cast(via as integer) as via from (select *, row_number() over (partition by batch, node order by pos desc, via desc, nbr_pos desc) as n from sent) where n = 1")
+@query(f"{_SENT} select batch, node, pos, t, cast(via as integer) as via, {_M8} from (select *, row_number() over (partition by batch, node order by pos desc, via desc, nbr_pos desc) as n from sent) where n = 1")
 def mem08_deliver_last(spark: SparkSession, d: str) -> DataFrame:
-    return memory.last_delivered(_sent(spark, d)).select("batch", "node", "pos", "t", "via")
+    return _flat(memory.last_delivered(_sent(spark, d)), ["batch", "node", "pos", "t", "via"], NODE_WIDTH)
 
 
-@query(f"{_SENT} select batch, node, cast(p - 1 as integer) as pos, round(avg(mail[p]), 6) + 0.0 as value from sent, (select unnest(range(1, 3)) as p) group by all")
+@query(f"{_SENT} select batch, node, cast(p - 1 as integer) as pos, round(avg(mail[p]), 6) + 0.0 as value from sent, (select unnest(range(1, {NODE_WIDTH + 1})) as p) group by all")
 def mem09_deliver_mean(spark: SparkSession, d: str) -> DataFrame:
-    return memory.mean_delivered(_sent(spark, d)).withColumn("value", F.round("value", 6) + F.lit(0.0))
+    return memory.mean_delivered(_sent(spark, d), NODE_WIDTH).withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
-def _updates(spark: SparkSession, d: str, cell: str) -> DataFrame:
-    m = memory.last_per_batch(_mails(spark, d))
-    state = base.node_features(spark, d).select(F.col("id").alias("node"), F.transform(F.slice("f", 1, 4), lambda x: x.cast("double")).alias("mem"))
-    if cell == "transformer":
-        m = memory.mailbox(m, SLOTS).groupBy("node").agg(F.max("batch").alias("batch"), F.max("t").alias("t"), F.transform(F.sort_array(F.collect_list(F.struct("batch", "mail"))), lambda x: x["mail"]).alias("mail"))
-    reads = m.join(state, "node", "left").withColumns({"mail_t": F.col("t"), "mem_t": F.lit(20000000).cast("long")})
-    return memory.updated(reads, cell, 4).select("node", "batch", F.posexplode("mem").alias("pos", "v")).select("node", "batch", "pos", (F.round("v", 6) + F.lit(0.0)).alias("value"))
+def _updates(spark: SparkSession, d: str, settings: MemorySettings) -> DataFrame:
+    """New memories from the last mail of each node and batch (one slot) or the ring of each node, with the node's features as old memory."""
+    if settings.slots == 1:
+        m = _filled(spark, d, memory.last_per_batch(_mails(spark, d))).select("node", "batch", "t", F.array("mail").alias("mails"), F.array("t").alias("mail_t"))
+    else:
+        full = _ring(spark, d).groupBy("node").agg(F.max("batch").alias("batch"), F.max("t").alias("t"), F.sort_array(F.collect_list(F.struct("slot", "mail", F.col("t").alias("mt")))).alias("_s"))
+        m = full.select("node", "batch", "t", F.transform("_s", lambda x: x["mail"]).alias("mails"), F.transform("_s", lambda x: x["mt"]).alias("mail_t"))
+    state = _node_memory(spark, d).select("node", F.transform("f", lambda x: x.cast("double")).alias("mem"))
+    reads = m.join(state, "node", "left").withColumn("mem_t", F.lit(SINCE).cast("long"))
+    return _positions(memory.updated(reads, settings, NODE_WIDTH, MAIL, TIME_WIDTH), ["node", "batch"], "mem").withColumn("value", F.col("value") + F.lit(0.0))
 
 
-_CELL = f"{_MAILS}, c0 as (select l.node, l.batch, list_concat(mail, {te('(l.t - 20000000)::double', 4)}) as x, {zs('nf.f[1:4]', 4)} as h from lasts l left join nf on nf.id = l.node)"
-_CELL_OUT = "select node, batch, cast(p as integer) as pos, round(v[p + 1], 6) + 0.0 as value from {}, " + _P4
+_CELL = f"{_MAILS}, c0 as (select l.node, l.batch, list_concat(mail, {te(f'(l.t - {SINCE})::double', TIME_WIDTH)}) as x, {zs('nf.f', 8)} as h from lasts l left join nf on nf.id = l.node)"
+_CELL_OUT = "select node, batch, cast(p as integer) as pos, round(v[p + 1], 6) + 0.0 as value from {}, " + _P8
 
 
 def _mat(x: str, seed: int) -> str:
-    return lin(x, 4, seed, False)
+    return lin(x, NODE_WIDTH, seed)
 
 
 _GRU = f"""{_CELL}, c1 as (select node, batch, h, {_mat('x', 20)} as xr, {_mat('x', 21)} as xz, {_mat('x', 22)} as xn, {_mat('h', 23)} as hr, {_mat('h', 24)} as hz, {_mat('h', 25)} as hn from c0),
-c2 as (select node, batch, h, xn, hn, list_transform(range(1, 5), lambda i: 1 / (1 + exp(-(xr[i] + hr[i])))) as r, list_transform(range(1, 5), lambda i: 1 / (1 + exp(-(xz[i] + hz[i])))) as z from c1),
-c3 as (select node, batch, list_transform(range(1, 5), lambda i: (1 - z[i]) * tanh(xn[i] + r[i] * hn[i]) + z[i] * h[i]) as v from c2) {_CELL_OUT.format('c3')}"""
+c2 as (select node, batch, h, xn, hn, list_transform(range(1, 9), lambda i: 1 / (1 + exp(-(xr[i] + hr[i])))) as r, list_transform(range(1, 9), lambda i: 1 / (1 + exp(-(xz[i] + hz[i])))) as z from c1),
+c3 as (select node, batch, list_transform(range(1, 9), lambda i: (1 - z[i]) * tanh(xn[i] + r[i] * hn[i]) + z[i] * h[i]) as v from c2) {_CELL_OUT.format('c3')}"""
+_TRANSFORMER = f"""{_RING}, last as (select node, max(batch) as batch, max(t) as t from sl where age <= {SLOTS} group by node),
+u as (select last.node, last.batch, s.slot, list_concat(coalesce(mail, list_transform(range(0, {MAIL}), lambda i: 0.0::double)), {te('(last.t - coalesce(sl.t, 0))::double', TIME_WIDTH)}) as x, {zs('nf.f', 8)} as h
+  from last cross join (select unnest(range(0, {SLOTS})) as slot) s left join sl on sl.node = last.node and sl.slot = s.slot and sl.age <= {SLOTS} left join nf on nf.id = last.node),
+w as (select node, batch, slot, h, {_mat('h', 40)} as q, {_mat('x', 41)} as k, {_mat('x', 42)} as v from u),
+s0 as (select w.*, i as head, list_dot_product(q[i * 4 + 1 : i * 4 + 4], k[i * 4 + 1 : i * 4 + 4]) as raw from w, (select unnest(range(0, 2)) as i)),
+s1 as (select *, exp(case when raw > 0 then raw else 0.2::double * raw end) as ex from s0), s2 as (select *, ex / sum(ex) over (partition by node, head) as a from s1),
+s3 as (select node, batch, head * 4 + i as p, sum(a * v[head * 4 + i + 1]) + any_value(h[head * 4 + i + 1]) as y from s2, (select unnest(range(0, 4)) as i) group by node, batch, head, i),
+s4 as (select node, batch, list(y order by p) as x from s3 group by node, batch), s5 as (select node, batch, {norm('x')} as x from s4), s6 as (select node, batch, list_transform({_mat('x', 43)}, lambda e: greatest(e, 0.0)) as v from s5) {_CELL_OUT.format('s6')}"""
 
 
 @query(_GRU)
 def mem12_gru_updater(spark: SparkSession, d: str) -> DataFrame:
-    return _updates(spark, d, "gru")
+    return _updates(spark, d, MemorySettings())
 
 
-@query(f"{_CELL}, c1 as (select node, batch, {_mat('x', 30)} as a, {_mat('h', 31)} as b from c0), c2 as (select node, batch, list_transform(range(1, 5), lambda i: tanh(a[i] + b[i])) as v from c1) {_CELL_OUT.format('c2')}")
+@query(f"{_CELL}, c1 as (select node, batch, {_mat('x', 30)} as a, {_mat('h', 31)} as b from c0), c2 as (select node, batch, list_transform(range(1, 9), lambda i: tanh(a[i] + b[i])) as v from c1) {_CELL_OUT.format('c2')}")
 def mem13_rnn_updater(spark: SparkSession, d: str) -> DataFrame:
-    return _updates(spark, d, "rnn")
+    return _updates(spark, d, MemorySettings(updater="rnn"))
 
 
-@query()
+@query(_TRANSFORMER)
 def mem14_transformer_updater(spark: SparkSession, d: str) -> DataFrame:
-    return _updates(spark, d, "transformer")
+    return _updates(spark, d, MemorySettings("neighbors", "last", SLOTS, "transformer"))
 
 
 # ---- metrics and topology -------------------------------------------------------------------------------------------
@@ -621,31 +682,24 @@ def top03_matrix(spark: SparkSession, d: str) -> DataFrame:
     return topology.full_matrix(topology.accumulated(_similarity(spark, d)), PARTS)
 
 
-@query()
-def top04_pairing(spark: SparkSession, d: str) -> DataFrame:
+_WEIGHTS = f"{_SIM}, pw as (select least(i, j) as a, greatest(i, j) as b, sum(w) as w from total where i <> j group by all), ps as (select x.i as a, y.i as b, coalesce(pw.w, 0) as w from (select unnest(range(0, {PARTS})) as i) x join (select unnest(range(0, {PARTS})) as i) y on x.i < y.i left join pw on pw.a = x.i and pw.b = y.i)"
+_BEST = "select cast(max(p1.w + p2.w + p3.w + p4.w) as bigint) as weight, 8 as n_paired from ps p1, ps p2, ps p3, ps p4 where p1.a = 0 and p2.a = (case when p1.b = 1 then 2 else 1 end) and p2.b <> p1.b and p3.a < p3.b and p3.a not in (p1.a, p1.b, p2.a, p2.b) and p3.b not in (p1.a, p1.b, p2.a, p2.b) and p4.a not in (p1.a, p1.b, p2.a, p2.b, p3.a, p3.b) and p4.b not in (p1.a, p1.b, p2.a, p2.b, p3.a, p3.b)"
+
+
+def _pairing(spark: SparkSession, d: str) -> tuple[dict[tuple[int, int], int], list[int]]:
     """The matrix has parts * parts entries, so it may come to the driver."""
     m = {(r.i, r.j): r.w for r in topology.full_matrix(topology.accumulated(_similarity(spark, d)), PARTS).collect()}
-    return spark.createDataFrame(list(enumerate(topology.pairing(m, PARTS))), "part int, partner int")
+    return m, topology.pairing(m, PARTS)
 
 
 @query()
-def nn18_training(spark: SparkSession, d: str) -> DataFrame:
-    """Loss per step of a link scorer trained on roots: a true end's vector against a negative's, joined to the source's."""
-    v = _root_vectors(spark, d)
-    src = v.filter("role = 'src'").select("batch", "edge_pos", F.col("own").alias("s"))
-    ends = v.filter("role <> 'src'").select("batch", "edge_pos", F.col("own").alias("e"), (F.col("role") == "dst").cast("int").alias("y"))
-    rows = ends.join(src, ["batch", "edge_pos"]).select(F.concat("s", "e").alias("x"), "y")
-    _, losses = training.train(rows, 16, epochs=4)
-    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(losses)], "step int, loss double")
+def top04_pairing(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_pairing(spark, d)[1])), "part int, partner int")
 
 
-@query()
-def mem11_fold_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Memory after the roots' edges batch by batch, each reading what the one before wrote."""
-    r = base.queries(spark, d).filter("role in ('src', 'dst')")
-    ends = [F.max(F.when(F.col("role") == e, F.col("node"))).alias(e) for e in ("src", "dst")]
-    pairs = r.groupBy("batch", "edge_pos").agg(*ends, F.max("t").alias("t")).filter("src is not null and dst is not null")
-    n = F.col("batch") * 1000 + F.col("edge_pos")
-    steps = pairs.select("batch", n.alias("edge_pos"), n.alias("eid"), "src", "dst", "t")
-    state = memory.fold_stretches(steps, base.edge_features(spark, d), 4, 4)
-    return state.select("node", "mem_t", "mail_t", F.round(F.aggregate(F.coalesce("mem", V.zeros(4)), F.lit(0.0), lambda s, x: s + x), 6).alias("mem_sum"))
+@query(f"{_WEIGHTS} {_BEST}")
+def top04_weight(spark: SparkSession, d: str) -> DataFrame:
+    """The weight of the pairing, which is the greatest of all 105 matchings."""
+    m, partner = _pairing(spark, d)
+    weight = sum(m[i, j] + m[j, i] for i, j in enumerate(partner) if i < j)
+    return spark.createDataFrame([(weight, sum(p >= 0 for p in partner))], "weight long, n_paired int")

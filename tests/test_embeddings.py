@@ -4,33 +4,31 @@ import numpy as np
 import pytest
 
 from chronoweave.__main__ import main
-from chronoweave.config import settings
-from chronoweave.operators import memory, models
+from chronoweave.config import PRESETS, settings
+from chronoweave.operators import layers as L
+from chronoweave.operators import models, training
+from chronoweave.sources import sinks
+from tests.test_models import plain_fold
 
 EDGES = "eid long, src long, dst long, t long, split int"
 
 
-def linear(x, out, seed, bias=True):
-    b = np.array([((r * 31 + 40 * 17 + seed * 7) % 19 - 9) / 20.0 for r in range(out)]) if bias else 0.0
-    return memory._weights(out, len(x), seed) @ x + b
+def te(t, width):
+    return np.array([math.cos(t * 10.0 ** (-9.0 * j / max(width - 1, 1))) for j in range(width)])
 
 
-def te(t):
-    return np.array([math.cos(t * 10.0 ** (-9.0 * j / 3)) for j in range(4)])
-
-
-def attend(own, nbrs, heads, out):
+def attend(own, nbrs, out, width, edge_width=2):
     """One layer by its definition: nbrs are (vector, edge vector, dt)."""
+    w = L.initial_layer(L.Layer(len(own), edge_width, width, 2, out))
     agg = np.zeros(out)
     if nbrs:
-        q = linear(np.concatenate([own, te(0.0)]), out, 1).reshape(heads, -1)
-        k = np.array([linear(np.concatenate([n, e, te(d)]), out, 2).reshape(heads, -1) for n, e, d in nbrs])
-        v = np.array([linear(np.concatenate([n, e, te(d)]), out, 3).reshape(heads, -1) for n, e, d in nbrs])
+        q = (w["wq"] @ np.concatenate([own, te(0.0, width)]) + w["bq"]).reshape(2, -1)
+        k, v = (np.array([(w[f"w{x}"] @ np.concatenate([n, e, te(d, width)]) + w[f"b{x}"]).reshape(2, -1) for n, e, d in nbrs]) for x in "kv")
         s = np.einsum("hw,nhw->nh", q, k)
         s = np.where(s > 0, s, 0.2 * s)
         a = np.exp(s - s.max(0)) / np.exp(s - s.max(0)).sum(0)
         agg = np.einsum("nh,nhw->hw", a, v).reshape(-1)
-    x = np.maximum(linear(np.concatenate([agg, own]), out, 4), 0)
+    x = np.maximum(w["wo"] @ np.concatenate([agg, own]) + w["bo"], 0)
     return (x - x.mean()) / np.sqrt(x.var() + 1e-5)
 
 
@@ -47,38 +45,164 @@ def test_two_layers_by_definition(spark):
         if not fanout:
             return vec(n)
         past = sorted(((x[3], x[0], x[2]) for x in edges if x[1] == n and x[3] < t), reverse=True)[: fanout[0]]
-        return attend(embed(n, t, fanout[1:]), [(embed(d, et, fanout[1:]), evec(e), t - et) for et, e, d in past], 2, 4)
+        return attend(embed(n, t, fanout[1:]), [(embed(d, et, fanout[1:]), evec(e), t - et) for et, e, d in past], 4, 4)
 
     e = spark.createDataFrame(edges, EDGES)
     q = spark.createDataFrame(asked, "eid long, node long, t long")
     f = spark.createDataFrame([(n, v) for n, v in nf.items()], "id long, f array<double>")
     g = spark.createDataFrame([(n, v) for n, v in ef.items()], "eid long, f array<double>")
     for fanout in ((3,), (3, 2)):
-        got = {r.eid: r.h for r in models.embeddings(e, q, ["eid"], f, g, settings("TGAT", fanout).preset, 3, 2, 4).collect()}
+        got = {r.eid: r.h for r in models.embeddings(e, q, ["eid"], f, g, settings("TGAT", fanout, (4, 4)).preset, 3, 2).collect()}
         assert set(got) == set(range(12))
         for i, n, t in asked[:12]:
             assert np.allclose(got[i], embed(n, t, fanout), atol=1e-9), (i, fanout)
 
 
-def test_snapshots_and_evaluation_run(spark):
-    edges = [(i, i % 5, (i * 7) % 6, i, 0 if i < 80 else 1 if i < 90 else 2) for i in range(100)]
+def test_snapshots_count_time_from_the_query(spark):
+    """Time width 0 is the preset; with another the time since an edge is that from the query, not from the snapshot's end."""
+    from dataclasses import replace
+
+    edges = [(i, 1, 2 + i % 3, 10 * i, 0) for i in range(9)]
     e = spark.createDataFrame(edges, EDGES)
     f = spark.createDataFrame([(n, [float(n), 1.0]) for n in range(6)], "id long, f array<double>")
     g = spark.createDataFrame([], "eid long, f array<double>")
-    q = spark.createDataFrame([(0, 1, 50), (1, 9, 50)], "snap long, node long, t long")
-    got = models.embeddings(e, q, ["snap"], f, g, settings("DySAT", (3,)).preset, 2, 1, 4).collect()
-    assert sorted(r.snap for r in got) == [0, 1] and all(len(r.h) == 4 for r in got)
-    run = settings("TGAT", (3,), batch_rows=5, eval_negatives=2)
-    row = models.evaluate(e, 1, f, g, run, 2, 1, 4).first()
+    q = spark.createDataFrame([(0, 1, 85), (1, 9, 50)], "snap long, node long, t long")
+    for width in (0, 3):
+        preset = replace(settings("DySAT", (10,), (4, 4)).preset, duration=30, time_width=width, strategy="recent")
+        got = {r.snap: np.array(r.h) for r in models.embeddings(e, q, ["snap"], f, g, preset, 2, 1).collect()}
+        h = np.zeros(4)
+        for snap in (2, 1, 0):
+            near = [x for x in edges if 85 - (snap + 1) * 30 < x[3] < 85 - snap * 30]
+            x = attend(np.array([1.0, 1.0]), [(np.array([float(d), 1.0]), np.zeros(1), 85 - t) for _, _, d, t, _ in near], 4, width, 1)
+            h = np.tanh(L.matrix(4, 4, 7) @ x + L.bias(4, 7) + L.matrix(4, 4, 8) @ h)
+        assert np.allclose(got[0], h) and set(got) == {0, 1}
+    preset = settings("DySAT", (3, 2), (4, 4)).preset
+    assert models.embeddings(e, q, ["snap"], f, g, preset, 2, 1).count() == 2
+
+
+def random_graph(seed, n=60):
+    rng = np.random.default_rng(seed)
+    edges = [(i, int(rng.integers(0, 7)), int(rng.integers(0, 7)), 3 * i + int(rng.integers(0, 3)), 0 if i < 40 else 1) for i in range(n)]
+    nf = {x: rng.normal(size=3).round(3) for x in range(5)}
+    ef = {i: rng.normal(size=2).round(3) for i in range(0, n, 2)}
+    return edges, nf, ef
+
+
+@pytest.mark.parametrize("name", ["TGN", "APAN", "JODIE"])
+def test_models_with_memory_by_definition(spark, name):
+    edges, nf, ef = random_graph(4)
+    e = spark.createDataFrame(edges, EDGES)
+    f = spark.createDataFrame([(n, v.tolist()) for n, v in nf.items()], "id long, f array<double>")
+    g = spark.createDataFrame([(n, v.tolist()) for n, v in ef.items()], "eid long, f array<double>")
+    fanout = () if name == "JODIE" else (3, 2) if name == "TGN" else (3,)
+    preset = settings(name, fanout, (4, 4)).preset
+    kind = preset.memory
+    order = models.numbered(e, 7)
+    true = [(r.batch, r.edge_pos, r.eid, r.src, r.dst, r.t) for r in order.collect()]
+
+    def recent(n, t, k):
+        return sorted(((x[3], x[0], x[2]) for x in edges if x[1] == n and x[3] < t), reverse=True)[:k]
+
+    routes = {(b, 2 * p + end): [d for _, _, d in recent(n, t, 3)] for b, p, _, s, d0, t in true for end, n in enumerate((s, d0))}
+    want = plain_fold(true, ef, kind, 4, 2, 4, routes)
+    past = models.memory_history(e, order, g, preset, 2)
+    asked = [(b, s, t) for b, _, _, s, _, t in true] + [(3, 99, 500)]
+    q = spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "k long, batch long, node long, t long")
+
+    def state(n, t, b):
+        seen = [x for x in want if x[0] == n and x[1] < b]
+        mem, mem_t, box, box_t, _ = want[max(seen, key=lambda x: x[1])] if seen else (np.zeros(4), 0, np.zeros((kind.slots, 10)), np.zeros(kind.slots), 0)
+        new = L.updated_memory(kind.updater, mem[None], np.array([float(mem_t)]), box[None], box_t[None], np.array([float(t)]), 4)[0]
+        own = L.matrix(4, 3, 50) @ nf.get(n, np.zeros(3)) + L.bias(4, 50)
+        return new + own if kind.add_features else new, mem_t
+
+    def embed(n, t, b, k):
+        if not k:
+            return state(n, t, b)[0]
+        return attend(embed(n, t, b, k[1:]), [(embed(d, et, b, k[1:]), ef.get(i, np.zeros(2)), t - et) for et, i, d in recent(n, t, k[0])], 4, 4)
+
+    got = {r.k: r.h for r in models.embeddings(e, q, ["k", "batch"], f, g, preset, 3, 2, past).collect()}
+    assert set(got) == set(range(len(asked)))
+    for i, (b, n, t) in enumerate(asked):
+        if name == "TGN":
+            h = embed(n, t, b, fanout)
+        else:
+            h, mem_t = state(n, t, b)
+            h = (h - h.mean()) / np.sqrt(h.var() + 1e-5)
+            if name == "JODIE":
+                d = (t - mem_t) / (t + 1)
+                h = h * (1 + d * L.matrix(4, 1, 6)[:, 0] + L.bias(4, 6))
+        assert np.allclose(got[i], h, atol=1e-8), (name, i)
+    with pytest.raises(ValueError, match="memory"):
+        models.embeddings(e, q, ["k"], f, g, preset, 3, 2)
+
+
+@pytest.mark.parametrize("name", sorted(PRESETS))
+def test_every_preset_is_evaluated(spark, name):
+    edges, nf, ef = random_graph(6)
+    e = spark.createDataFrame(edges, EDGES)
+    f = spark.createDataFrame([(n, v.tolist()) for n, v in nf.items()], "id long, f array<double>")
+    g = spark.createDataFrame([(n, v.tolist()) for n, v in ef.items()], "eid long, f array<double>")
+    run = settings(name, () if name == "JODIE" else (3,), (4, 4), batch_rows=7, eval_negatives=2)
+    row = models.evaluate(e, 1, f, g, run, 3, 2, 4).first()
     assert 0 <= row.ap <= 1 and 0 < row.mrr <= 1 and row.loss > 0
-    assert models.link_scores(e, e.filter("split = 1"), f, g, run, 2, 1, 4).filter("label = 0").count() == 20
+    scores = models.link_scores(e, e.filter("split = 1"), f, g, run, 3, 2, 4)
+    assert scores.filter("label = 0").count() == 40 and scores.filter("label = 1").count() == 20
 
 
-def test_presets_with_memory_are_refused(spark):
-    q = spark.createDataFrame([(0, 1, 5)], "k long, node long, t long")
+@pytest.mark.parametrize("fanout", [(3,), (3, 2)])
+def test_training_gradient_and_loss(spark, fanout):
+    edges, nf, ef = random_graph(8)
+    e = spark.createDataFrame(edges, EDGES)
+    f = spark.createDataFrame([(n, v.tolist()) for n, v in nf.items()], "id long, f array<double>")
+    g = spark.createDataFrame([(n, v.tolist()) for n, v in ef.items()], "eid long, f array<double>")
+    run = settings("TGAT", fanout, (3, 4), batch_rows=20, epochs=6, dropout=0.0, rate=0.05)
+    part = e.filter("split = 0")
+    drawn = training.etl.negatives(part, training.etl.dense_ids(e))
+    rows = training.samples(e, part, drawn, f, g, run.preset, 3, 2).persist()
+    weights = models.initial_weights(run.preset, 3, 2, 4)
+    assert all((training.shaped(training.flat(weights), weights)[m][k] == weights[m][k]).all() for m in weights for k in weights[m])
+    net = training.Network(run.preset, 3, 2)
+    grad, loss, n = training.gradient(rows, net, weights, 1)
+    assert n == 40
+    scored = models.link_scores(e, part, f, g, run, 3, 2, 4)
+    want = sum(np.logaddexp(0, -r.score if r.label else r.score) for r in scored.collect())
+    assert np.isclose(loss, want)  # the forward pass of training is that of evaluation
+    w = training.flat(weights)
+    for at in range(0, len(w), len(w) // 6):
+        up, down = w.copy(), w.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        num = (training.gradient(rows, net, training.shaped(up, weights), 1)[1] - training.gradient(rows, net, training.shaped(down, weights), 1)[1]) / 2e-5
+        assert np.isclose(grad[at], num, rtol=1e-3, atol=1e-3), at
+    if len(fanout) == 1:
+        timers = training.StageTimers()
+        best, told = training.train(e, f, g, run, 3, 2, 4, steps=2, first=3, timers=timers)
+        assert told[-1][1] < told[0][1] and len(told) == 6
+        names = {r["name"] for r in training.metrics_table(spark, told, timers).collect()}
+        assert {"loss", "ap", "t_backward", "t_eval"} <= names
+        dropped = training.Network(run.preset, 3, 2, 0.5)
+        again = [training.gradient(rows, dropped, weights, 3)[1] for _ in range(2)]
+        assert np.isclose(*again) and not np.isclose(again[0], loss)
+    rows.unpersist()
+
+
+def test_training_refuses_what_it_has_no_gradient_for(spark):
+    q = spark.createDataFrame([(0, 1, 2, 5, 0)], EDGES)
     f = spark.createDataFrame([], "id long, f array<float>")
-    for name in ("TGN", "APAN", "JODIE"):
-        with pytest.raises(ValueError, match="memory"):
-            models.embeddings(q, q, ["k"], f, f, settings(name).preset, 2, 0, 2)
-        with pytest.raises(SystemExit):
-            main(["evaluate", "--edges", "none", "--model_name", name], spark)
+    for name in ("TGN", "JODIE", "DySAT"):
+        with pytest.raises(ValueError):
+            training.samples(q, q, q, f, f, PRESETS[name], 2, 2)
+
+
+def test_train_and_evaluate_from_the_command_line(spark, tmp_path, capsys):
+    edges, nf, ef = random_graph(3)
+    e = spark.createDataFrame([(i, s, d, t, x) for i, s, d, t, x in edges], "eid long, src long, dst long, time long, ext_roll int")
+    e.write.parquet(str(tmp_path / "edges"))
+    common = ["--edges", str(tmp_path / "edges"), "--neighbor_num", "3", "--batch_size", "20", "--rand_node_features", "4", "--time_width", "2", "--out_width", "4"]
+    main(["train", *common, "--epochs", "2", "--rate", "0.05", "--out", str(tmp_path / "weights")], spark)
+    weights = sinks.read_weights(spark, str(tmp_path / "weights"))
+    assert "layer_0/wq" in weights and weights["layer_0/wq"].shape == (4, 6)
+    main(["evaluate", *common, "--weights", str(tmp_path / "weights")], spark)
+    main(["evaluate", *common, "--model_name", "JODIE"], spark)
+    assert capsys.readouterr().out.count("mrr") == 2

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.config import MemorySettings, settings
 from chronoweave.functions import vectors as V
+from chronoweave.operators import layers as L
 from chronoweave.operators import hotset, kernels, memory, metrics, nn, topology, training
-from chronoweave.plans import models as plans
 
 
 def test_softmax_gradient_by_differences(spark):
@@ -20,8 +20,7 @@ def test_softmax_gradient_by_differences(spark):
 
 
 def test_wide_layer_equals_expressions(spark):
-    w = memory._weights(3, 5, 4)
-    b = np.array([(r * 31 + 40 * 17 + 28) % 19 - 9 for r in range(3)]) / 20.0
+    w, b = L.matrix(3, 5, 4), L.bias(3, 4)
     rows = spark.createDataFrame([(0, [1.0, 2.0, -1.0, 0.5, 3.0]), (1, None)], "id int, x array<double>")
     got = nn.dense(rows, "x", w, b, "y").withColumn("z", V.linear(F.col("x"), 3, 4)).orderBy("id").collect()
     assert np.allclose(got[0].y, got[0].z) and got[1].y is None
@@ -46,17 +45,11 @@ def test_mails_of_a_batch_and_ring(spark):
     assert box == {(0, 3), (1, 1), (2, 2)}
     assert {r.node: r.next_pos for r in memory.next_slots(last, 3).collect()} == {1: 1, 2: 1, 3: 1}
     with pytest.raises(ValueError):
-        memory.mean_delivered(last, "self")
+        memory.mean_delivered(last, 3, "self")
     with pytest.raises(ValueError):
         MemorySettings(combine="mean")
 
 
-def test_whole_mails_hold_every_feature(spark, sf):
-    mails = plans.mem05_whole_mails(spark, sf)
-    used = mails.agg(*(F.max(F.abs(F.col(f"m{i}"))).alias(f"m{i}") for i in range(20))).first()
-    assert all(x > 0 for x in used)
-
-
 def test_state_is_read_before_the_batch(spark):
     writes = spark.createDataFrame([(0, 1, "a"), (2, 1, "b")], "batch long, node long, v string")
     reads = spark.createDataFrame([(k, b, 1) for k, b in enumerate([0, 1, 2, 3])] + [(9, 5, 4)], "k long, batch long, node long")
@@ -65,45 +58,90 @@ def test_state_is_read_before_the_batch(spark):
         assert got == {0: None, 1: "a", 2: "a", 3: "b", 9: None}
 
 
-def test_fold_reads_what_the_batch_before_wrote(spark):
-    edges = spark.createDataFrame([(0, 0, 0, 1, 2, 5), (1, 0, 1, 1, 3, 9), (2, 0, 2, 3, 1, 11)], "batch long, edge_pos long, eid long, src long, dst long, t long")
-    ef = spark.createDataFrame([(i, [float(i + 1)]) for i in range(3)], "eid long, f array<float>")
-    got = {r.node: r for r in memory.fold_batches(edges, ef, [0, 1, 2], 2, 1).collect()}
-    zero = np.zeros((1, 2))
-    first = memory.gru_cell(np.concatenate([np.array([[0, 0, 0, 0, 1.0]]), memory.time_code(np.array([5.0]), 4)], 1), zero)
-    mail = np.concatenate([first, zero, [[2.0]]], 1)
-    second = memory.gru_cell(np.concatenate([mail, memory.time_code(np.array([9.0 - 5.0]), 4)], 1), first)
-    assert np.allclose(got[1].mem, second[0]) and got[1].mem_t == 9 and got[1].mail_t == 11
-    assert got[2].mem is None and got[2].mail_t == 5
-
-
-def test_fold_in_stretches_equals_batch_after_batch(spark):
+def plain_fold(rows, f, settings, width, edge_width, time_width, routes=None):
+    """The history by its definition, one node at a time: {(node, batch): (mem, mem_t, mails, mail_t, next_pos)}."""
+    deep = 2 * width + edge_width
+    state, out = {}, {}
+    blank = lambda: [np.zeros(width), 0, np.zeros((settings.slots, deep)), np.zeros(settings.slots), 0]
+    for b in sorted({r[0] for r in rows}):
+        before = {n: [x.copy() if hasattr(x, "copy") else x for x in s] for n, s in state.items()}
+        wrote, sent = {}, []
+        for _, p, eid, src, dst, t in sorted(r for r in rows if r[0] == b):
+            new = {}
+            for n in (src, dst):
+                mem, mem_t, box, box_t, _ = before.get(n) or blank()
+                new[n] = L.updated_memory(settings.updater, mem[None], np.array([float(mem_t)]), box[None], box_t[None], np.array([float(t)]), time_width)[0]
+            for end, (n, other) in enumerate(((src, dst), (dst, src))):
+                wrote[n] = (new[n], t)
+                mail = np.concatenate([new[n], new[other], f.get(eid, np.zeros(edge_width))])
+                sent += [(to, mail, t) for to in [n, *((routes or {}).get((b, 2 * p + end), []) if settings.deliver_to == "neighbors" else [])]]
+        for n, (mem, t) in wrote.items():
+            state.setdefault(n, blank())[:2] = [mem, t]
+        for n in {x[0] for x in sent}:
+            got = [x for x in sent if x[0] == n]
+            s = state.setdefault(n, blank())
+            mean = settings.combine == "mean"
+            s[2][s[4]], s[3][s[4]] = (np.mean([x[1] for x in got], 0), np.mean([x[2] for x in got])) if mean else got[-1][1:]
+            s[4] = (s[4] + 1) % settings.slots
+        for n in {*wrote, *(x[0] for x in sent)}:
+            mem, mem_t, box, box_t, at = state[n]
+            out[n, b] = (mem.copy(), mem_t, box.copy(), box_t.copy(), at)
+    return out
+
+
+SETTINGS = [MemorySettings(), MemorySettings(updater="rnn", slots=3), MemorySettings("neighbors", "last", 3, "transformer", False), MemorySettings("neighbors", "mean", 2, "gru")]
+
+
+@pytest.mark.parametrize("kind", SETTINGS, ids=lambda s: f"{s.deliver_to} {s.combine} {s.slots} {s.updater}")
+@pytest.mark.parametrize("most", [1, 12, 1000])
+def test_history_by_definition(spark, kind, most):
+    """In stretches of one, some and all batches, with the state put together every two stretches."""
     rng = np.random.default_rng(5)
     rows = [(b, p, 20 * b + p, int(rng.integers(0, 9)), int(rng.integers(0, 9)), 100 * b + p) for b in (0, 1, 2, 4, 5, 6) for p in range(5)]
+    f = {i: np.array([float(i % 7), 1.0]) for i in range(0, 140, 2)}
+    sends = {(b, 2 * p + e): [int(x) for x in rng.integers(0, 12, rng.integers(0, 3))] for b, p, *_ in rows for e in (0, 1)}
+    routes = spark.createDataFrame([(b, pos, n, i) for (b, pos), to in sends.items() for i, n in enumerate(to)], "batch long, pos long, node long, nbr_pos int")
     edges = spark.createDataFrame(rows, "batch long, edge_pos long, eid long, src long, dst long, t long")
-    ef = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(0, 140, 2)], "eid long, f array<float>")
-    plain = lambda df: {r.node: r for r in df.collect()}
-    want = plain(memory.fold_batches(edges, ef, [0, 1, 2, 4, 5, 6], 3, 2))
-    for most in (1, 12, 1000):
-        got = plain(memory.fold_stretches(edges, ef, 3, 2, most_edges=most))
-        assert set(got) == set(want)
-        for k, r in want.items():
-            assert (got[k].mem_t, got[k].mail_t) == (r.mem_t, r.mail_t) and np.allclose(got[k].mail, r.mail)
-            assert (got[k].mem is None) == (r.mem is None) and (r.mem is None or np.allclose(got[k].mem, r.mem))
-    assert memory.fold_stretches(edges.limit(0), ef, 3, 2).count() == 0
-
-
-def test_fold_query_takes_every_batch(spark, tmp_path):
-    """Five batches of one edge between the same two nodes: four of their five mails have come into the memory."""
-    roots = [(b, 0, i, role, node, 10 * b + 10) for b in range(5) for i, (role, node) in enumerate([("src", 1), ("dst", 2)])]
-    spark.createDataFrame(roots, "batch long, edge_pos long, root_pos long, role string, node long, t long").write.parquet(f"{tmp_path}/root.parquet")
-    spark.createDataFrame([(1000 * b, [1.0, 2.0, 3.0, 4.0]) for b in range(5)], "eid long, f array<float>").write.parquet(f"{tmp_path}/edge_feat.parquet")
-    h, h_t = np.zeros((1, 4)), 0
-    for b in range(4):  # both ends are alike
-        mail = np.concatenate([h, h, [[1.0, 2.0, 3.0, 4.0]], memory.time_code(np.array([10.0 * b + 10 - h_t]), 4)], 1)
-        h, h_t = memory.gru_cell(mail, h), 10 * b + 10
-    got = {r.node: r for r in plans.mem11_fold_batches(spark, str(tmp_path)).collect()}
-    assert set(got) == {1, 2} and all(r.mem_t == 40 and r.mail_t == 50 and np.isclose(r.mem_sum, h.sum(), atol=1e-5) for r in got.values())
+    ef = spark.createDataFrame([(i, x.tolist()) for i, x in f.items()], "eid long, f array<float>")
+    want = plain_fold(rows, f, kind, 4, 2, 3, sends)
+    got = memory.history(edges, ef, kind, 4, 2, 3, routes, most_edges=most, compact=2)
+    rows_got = {(r.node, r.batch): r for r in got.collect()}
+    assert set(rows_got) == set(want)
+    for k, (mem, mem_t, box, box_t, at) in want.items():
+        r = rows_got[k]
+        assert np.allclose(r.mem, mem) and r.mem_t == mem_t and np.allclose(r.mails, box) and np.allclose(r.mail_t, np.floor(box_t)) and r.next_pos == at, k
+    assert memory.history(edges.limit(0), ef, kind, 4, 2, 3, routes).count() == 0
+
+
+def test_inputs_see_what_earlier_batches_left(spark):
+    edges = spark.createDataFrame([(0, 0, 0, 1, 2, 5), (1, 0, 1, 1, 3, 9)], "batch long, edge_pos long, eid long, src long, dst long, t long")
+    ef = spark.createDataFrame([(0, [1.0])], "eid long, f array<float>")
+    past = memory.history(edges, ef, MemorySettings(), 2, 1)
+    occ = spark.createDataFrame([(0, 1, 5), (1, 1, 9), (1, 1, 9), (2, 1, 20), (2, 7, 20)], "batch long, node long, t long")
+    got = {(r.batch, r.node): r for r in memory.inputs(occ, past, MemorySettings(), 2, 1).collect()}
+    assert len(got) == 4 and got[0, 1].mem_t is None and got[1, 1].mem_t == 5 and got[2, 1].mem_t == 9 and got[2, 7].mem_t is None
+    zero = L.updated_memory("gru", np.zeros((1, 2)), np.zeros(1), np.zeros((1, 1, 5)), np.zeros((1, 1)), np.array([20.0]), 4)[0]
+    assert np.allclose(got[2, 7].mem, zero)
+    assert np.allclose(got[1, 1].mem, plain_fold([(0, 0, 0, 1, 2, 5), (1, 0, 1, 1, 3, 9)], {0: np.ones(1)}, MemorySettings(), 2, 1, 4)[1, 1][0])
+
+
+def test_late_filled_mails_equal_built_ones(spark):
+    edges = spark.createDataFrame([(0, 0, 0, 1, 2, 5), (1, 0, 1, 1, 3, 9)], "batch long, edge_pos long, eid long, src long, dst long, t long")
+    mem, ef = spark.createDataFrame([(1, [1.0, 2.0])], "node long, f array<float>"), spark.createDataFrame([(1, [7.0])], "eid long, f array<float>")
+    one = memory.build_mails(edges, mem, ef, 2, 1).select("batch", "pos", "node", "t", "mail").collect()
+    two = memory.with_mails(memory.mail_rows(edges), mem, ef, 2, 1).select("batch", "pos", "node", "t", "mail").collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and len(one) == 4
+
+
+def test_gathers_by_ratio_are_alike(spark):
+    rows = spark.createDataFrame([(i, i % 7) for i in range(40)], "k int, node long")
+    f = spark.createDataFrame([(n, [float(n)]) for n in range(5)], "id long, f array<float>")
+    hot = spark.createDataFrame([(1,), (6,), (1,)], "id long")
+    want = sorted(map(str, rows.join(f.withColumnRenamed("id", "node"), "node", "left").select("k", "node", "f").collect()))
+    for ratio, h, most in ((1.0, None, 64 << 20), (1.0, None, 1), (0.5, hot, 64 << 20), (0.5, hot, 1), (0.0, None, 1)):
+        assert sorted(map(str, hotset.gathered(rows, f, "node", "id", ratio, h, most).select("k", "node", "f").collect())) == want
+    hit = hotset.hit_or_miss(rows, hot, f, "node", "id")
+    assert sorted(map(str, hit.select("k", "node", "f").collect())) == want and {r.node for r in hit.filter("hit").collect()} == {1, 6}
 
 
 def test_metrics_against_definitions(spark):
@@ -158,25 +196,18 @@ def test_capacities():
     assert hotset.node_first_split(10, 20, 15) == (10, 5) and hotset.proportional_split(10, 30, 20) == (5, 15)
 
 
-def test_training_lowers_the_loss(spark):
-    rows = spark.createDataFrame([([float(i % 7), 1.0], int(i % 7 > 3)) for i in range(200)] + [(None, 1), ([float("nan"), 1.0], 0)], "x array<double>, y int")
-    _, losses = training.train(rows, 2, epochs=6, rate=0.3)
-    assert np.isclose(losses[0], np.log(2)) and losses[-1] < losses[0]
-    x, y, w = np.array([[1.0, 2.0], [0.5, -1.0]]), np.array([1.0, 0.0]), np.array([0.1, -0.2, 0.3])
-    g, _ = training.gradient(x, y, w)
-    num = [(training.gradient(x, y, w + 1e-6 * np.eye(3)[i])[1] - training.gradient(x, y, w - 1e-6 * np.eye(3)[i])[1]) / 2e-6 for i in range(3)]
-    assert np.allclose(g, num, atol=1e-5)
+def test_timers_and_adam(spark):
+    adam, w = training.Adam(2, 0.1), np.array([3.0, -2.0])
+    for _ in range(200):
+        w = adam.step(w, 2 * w)
+    assert np.abs(w).max() < 0.1
     t = training.StageTimers()
     with t.stage("sample"):
         pass
     assert set(t.means()) == {"sample"}
 
 
-def test_transformer_cell_masks_nothing_and_norms():
-    out = memory.transformer_cell(np.ones((2, 3, 4)), np.arange(8.0).reshape(2, 4))
-    assert out.shape == (2, 4) and np.isfinite(out).all()
-
-
 def test_settings():
-    s = settings("DySAT", (5,), batch_rows=10)
-    assert s.preset.fanout == (5,) and s.preset.snapshots == 3 and s.batch_rows == 10
+    s = settings("DySAT", (5,), (4, 6), batch_rows=10)
+    assert s.preset.fanout == (5,) and s.preset.snapshots == 3 and s.batch_rows == 10 and s.preset.time_width == 0 and s.preset.out_width == 6
+    assert settings("TGAT", widths=(0, 6)).preset.time_width == 0

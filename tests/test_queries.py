@@ -6,7 +6,7 @@ from chronoweave.plans import evaluation, general, graph, models, streams
 from tests.oracle import compare, connect
 
 QUERIES = general.QUERIES | graph.QUERIES | models.QUERIES | streams.QUERIES | evaluation.QUERIES
-ORACLES = general.ORACLES | graph.ORACLES | models.ORACLES | streams.ORACLES
+ORACLES = general.ORACLES | graph.ORACLES | models.ORACLES | streams.ORACLES | evaluation.ORACLES
 
 
 @pytest.fixture(scope="module")

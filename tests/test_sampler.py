@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.operators import blocks, etl, sampler
 
@@ -43,14 +44,23 @@ def random_graph(seed, n=600, nodes=9):
     return edges, asked
 
 
-@pytest.mark.parametrize("sliced", [False, True])
-def test_recent_against_brute_force(spark, monkeypatch, sliced):
-    if sliced:
-        monkeypatch.setattr(sampler, "LEAST_ROWS", 50)
-        monkeypatch.setattr(sampler, "SLICES", 7)
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges that aren't put together, so that nodes lie in several."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for k, v in zip(was, ("40", "false", "7")):
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("ranges", ["few", "many"])
+def test_recent_against_brute_force(spark, request, ranges):
+    if ranges == "many":
+        request.getfixturevalue("many_ranges")
     edges, asked = random_graph(3)
     e, q = spark.createDataFrame(edges, EDGES), spark.createDataFrame(asked, QUERIES)
-    assert (sampler.heavy_nodes(e) is not None) == sliced
     want = {}
     for b, p, n, t in asked:
         if n is not None and t is not None:
@@ -66,10 +76,29 @@ def test_recent_against_brute_force(spark, monkeypatch, sliced):
         assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
 
 
-@pytest.mark.parametrize("sliced", [False, True])
-def test_windows_and_snapshots(spark, monkeypatch, sliced):
-    if sliced:
-        monkeypatch.setattr(sampler, "LEAST_ROWS", 50)
+@pytest.mark.parametrize("shape", ["outlier", "burst", "one instant"])
+def test_a_hot_node_is_spread_over_ranges(spark, many_ranges, shape):
+    """Nine of ten edges are one node's; one far outlier, bursts and equal times don't bring them into one task."""
+    n = 2000
+    when = {"outlier": lambda i: 0 if i == 0 else 10**9 + i, "burst": lambda i: i // 1000 * 10**6 + i % 3, "one instant": lambda i: 5}[shape]
+    edges = [(i, 1 if i % 10 else 2 + i % 7, i, when(i), 0) for i in range(n)]
+    asked = [(0, p, 1, t) for p, t in enumerate([0, 6, 10**6 + 1, 10**9 + n // 2, 2 * 10**9])]
+    e, q = spark.createDataFrame(edges, EDGES), spark.createDataFrame(asked, QUERIES)
+    found = sampler._swept(e, sampler._probes(q, KEY, sampler.BEFORE, F.col("t")), 4, True)
+    files = found.filter("_kind = 1 and node = 1").groupBy(F.input_file_name()).count().agg(F.max("count"), F.count("*")).first()
+    assert files[0] < n / 8 and files[1] > 10
+    want = {}
+    for b, p, _, t in asked:
+        past = sorted(((x[3], x[0]) for x in edges if x[1] == 1 and x[3] < t), reverse=True)[:4]
+        if past:
+            want[(b, p)] = [eid for _, eid in past]
+    assert picks(sampler.recent(e, q, KEY, 4)) == want
+
+
+@pytest.mark.parametrize("ranges", ["few", "many"])
+def test_windows_and_snapshots(spark, request, ranges):
+    if ranges == "many":
+        request.getfixturevalue("many_ranges")
     edges, asked = random_graph(5)
     e, q = spark.createDataFrame(edges, EDGES), spark.createDataFrame(asked, QUERIES)
     got = {}
