@@ -64,14 +64,19 @@ def find_direct(text: str) -> list[patterns.Candidate]:
 def _scan(lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = patterns.Lexicon(*lexicon.value)
-        counts: Counter[tuple[str, str, str | None]] = Counter()
+        counts: Counter[tuple[str, str]] = Counter()
+        words: Counter[str] = Counter()
         none = (None,) * 3
 
         def told(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCAN)], schema=_SCAN)
 
         def counted() -> pa.RecordBatch:
-            return told([(*none, None, None, kind, a, b, None, None, None, n) for (kind, a, b), n in counts.items()])
+            rows = [(*none, None, None, "word", w, None, None, None, None, n) for w, n in words.items()]
+            rows += [(*none, None, None, "cue", a, b, None, None, None, n) for (a, b), n in counts.items()]
+            words.clear()
+            counts.clear()
+            return told(rows)
 
         for batch in batches:
             rows: list[tuple] = []
@@ -80,11 +85,11 @@ def _scan(lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 if not text:
                     continue
                 found = patterns.words(text)
-                counts.update(("word", w.lower(), None) for w in found)
+                words.update(map(str.lower, found))
                 direct = find_direct(text)
                 for c in direct:
                     if c.cue and c.kind in ("phone", "id_number", "number"):
-                        counts["cue", c.cue, "phone" if c.kind == "phone" and c.sure and c.told >= 0 else "number"] += 1
+                        counts[c.cue, "phone" if c.kind == "phone" and c.sure and c.told >= 0 else "number"] += 1
                     if c.kind != "number":
                         value = "".join(filter(str.isdigit, text[c.start : c.end])) if c.kind in ("phone", "id_number") else ""
                         rows.append((*key, c.start, c.end, c.kind, f"{c.kind} {c.form}", f"{value} {c.cue or ''}", c.sure, None, c.told, None))
@@ -95,10 +100,9 @@ def _scan(lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                         rows.append((*key, a, b, form, given, family, given in lex.given, family in lex.family, None, None))
             if rows:
                 yield told(rows)
-            if len(counts) > MOST_WORDS:
+            if len(words) + len(counts) > MOST_WORDS:
                 yield counted()
-                counts.clear()
-        if counts:
+        if words or counts:
             yield counted()
 
     return run

@@ -191,6 +191,25 @@ class _Words:
 _NEW_HINTS = [(_Words(xs), re.compile(rf"(?<![\w.,:/@#$-])(?:{p})")) for p, xs in ((_PL, PL_STREETS), (_IT, IT_STREETS))]
 
 
+class _AtNumbers:
+    """Hints that begin with a house number: the numbers of a text are looked for once, whatever number of patterns begins with them."""
+
+    _house = re.compile(r"\d(?<![\w.,:/@#$-]\d)\d{0,3}[A-Za-z]?(?: ?(?:bis|ter|BIS|TER))?,? (?=[^\W\d_])")
+    _last: tuple[str, list[int]] = ("", [])
+
+    def __init__(self, pattern: str) -> None:
+        self.pattern = re.compile(pattern)
+
+    def finditer(self, t: str) -> Iterator[re.Match]:
+        if _AtNumbers._last[0] is not t:
+            _AtNumbers._last = (t, [m.start() for m in self._house.finditer(t)])
+        done = 0
+        for at in _AtNumbers._last[1]:
+            if at >= done and (m := self.pattern.match(t, at)):
+                done = m.end()
+                yield m
+
+
 def _one_case(case: Callable[[str], str]) -> Iterator[tuple[re.Pattern, re.Pattern]]:
     """Hints and patterns like the above for text of one case. A town in a line of its own needs a state or a postcode."""
     lower = case("A") == "a"
@@ -208,8 +227,8 @@ def _one_case(case: Callable[[str], str]) -> Iterator[tuple[re.Pattern, re.Patte
     de_end, es_begin = some(ONE_CASE["de"]), some(ONE_CASE["es"])
     de = rf"(?<![\w.,:/@#$-])[{c}][{c}-]{{2,}}?{de_end} ?\d{{1,4}} ?[A-Za-z]?(?!\w)"
     es = rf"(?<![\w.,:/@#$-]){es_begin} (?:{some(['del', 'de las', 'de los', 'de la', 'de'])} )?{word}(?: {word}){{0,2}},? ?(?:{case('n')}[.º°]+ ?)?\d{{1,4}}(?!\w)"
-    for hint, p in ((en, en), (fr, fr), (rf"{de_end} ?\d", de), (rf"{es_begin} ", es)):
-        yield re.compile(hint), re.compile(p + tail)
+    for hint, p in ((_AtNumbers(en), en), (_AtNumbers(fr), fr), (re.compile(rf"{de_end} ?\d"), de), (re.compile(rf"{es_begin} "), es)):
+        yield hint, re.compile(p + tail)
 
 
 _FORMS = ["en", "fr", "es", "de", *(f"{c} {x}" for c in ("upper", "lower") for x in ("en", "fr", "de", "es")), "pl", "it"]
