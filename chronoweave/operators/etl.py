@@ -73,6 +73,18 @@ def indptr(degree: DataFrame) -> DataFrame:
     return body.union(degree.agg(F.count(F.lit(1)).alias("id"), F.coalesce(F.sum("degree"), F.lit(0)).alias("ptr")))
 
 
+def flat_adjacency(edges: DataFrame) -> DataFrame:
+    """Edges with pos, their place in the neighbour lists of all nodes end to end: in order of (src, t, eid). indptr tells where a node's list begins."""
+    return with_row_ids(edges, ["src", "t", "eid"], "pos")
+
+
+def split_slices(ordered: DataFrame) -> DataFrame:
+    """ordered with slice: 0 before the first row with split > 0, 1 from there to the first with split > 1, 2 from there on."""
+    bounds = split_bounds(ordered)
+    at = lambda c: F.col("row_id") >= bounds.select(c).scalar()
+    return ordered.withColumn("slice", F.when(at("val_end"), 2).when(at("train_end"), 1).otherwise(0))
+
+
 def split_bounds(ordered: DataFrame) -> DataFrame:
     """First row_id with split > 0 and with split > 1."""
     return ordered.agg(F.min(F.when(F.col("split") > 0, F.col("row_id"))).alias("train_end"), F.min(F.when(F.col("split") > 1, F.col("row_id"))).alias("val_end"))

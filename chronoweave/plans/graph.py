@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.functions.draws import draw_sql, uniform_sql
-from chronoweave.operators import blocks, etl, sampler
+from chronoweave.operators import blocks, etl, hotset, sampler
 from chronoweave.plans import base
 from chronoweave.plans.base import ORDERED, E, R, block_sql
-from chronoweave.session import table
+from chronoweave.session import shared_dir, table
 from chronoweave.sources import edges as sources
+from chronoweave.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +26,7 @@ K = 10
 KEY = ["batch", "root_pos"]
 SNAPSHOTS = 3
 DURATION = 100_000
+HOT = 200
 
 
 def query(sql: str | None = None):
@@ -59,6 +62,34 @@ def src05_synthetic_features(spark: SparkSession, d: str) -> DataFrame:
     return etl.synthetic_features(etl.nodes_of(base.edges(spark, d)), "node", 4, 5)
 
 
+def _stored(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"{E} select row_number() over (order by src, t, eid) - 1 as pos, src, dst, t, eid from e")
+def src03_csr_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The stored neighbour lists (SNK-02) read again."""
+    path = _stored(spark, "csr")
+    sinks.write_csr(base.edges(spark, d), path)
+    return sources.csr_edges(spark, path)
+
+
+@query(f"{E} select node, n, row_number() over (order by n desc, node) - 1 as place from (select src as node, count(*) as n from e group by src) order by n desc, node limit {HOT}")
+def src07_hot_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The stored list of the nodes of most edges (SNK-04) read again."""
+    path, e = _stored(spark, "hot"), base.edges(spark, d)
+    per = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("score"))
+    sinks.write_hot_ids(hotset.ranked(per, per.select("node"), "node"), path, HOT)
+    return sources.hot_ids(spark, path).withColumnRenamed("score", "n")
+
+
+@query("select eid, src, dst, time, ext_roll from edges")
+def snk01_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _stored(spark, "csv")
+    sinks.write_edges(table(spark, d, "edges").select("eid", "src", "dst", "time", "ext_roll"), path, "csv")
+    return sources.csv_edges(spark, path)
+
+
 # ---- construction ---------------------------------------------------------------------------------------------------
 @query(f"{E} select * from e")
 def pre01_cast(spark: SparkSession, d: str) -> DataFrame:
@@ -90,9 +121,10 @@ def pre06_node_count(spark: SparkSession, d: str) -> DataFrame:
     return etl.node_count(base.edges(spark, d))
 
 
-@query(f"{E} select src, count(*) as degree, count(distinct dst) as n_neighbours from e group by src")
+@query(f"{E} select row_number() over (order by src, t, eid) - 1 as pos, src, dst, t, eid from e")
 def pre07_adjacency(spark: SparkSession, d: str) -> DataFrame:
-    return base.edges(spark, d).groupBy("src").agg(F.count(F.lit(1)).alias("degree"), F.countDistinct("dst").alias("n_neighbours"))
+    """All neighbour lists end to end: pos is the place in them, which the row pointers of pre09 cut by node."""
+    return etl.flat_adjacency(base.edges(spark, d)).select("pos", "src", "dst", "t", "eid")
 
 
 @query(f"{E} select eid, src, dst, t from e union all select eid, dst, src, t from e")
@@ -122,9 +154,10 @@ def spl01_split_bounds(spark: SparkSession, d: str) -> DataFrame:
     return etl.split_bounds(etl.time_sorted(base.edges(spark, d)))
 
 
-@query(f"{E} select split, count(*) as n_edges, min(t) as first_time, max(t) as last_time from e where split is not null group by split")
+@query(f"{E}, {ORDERED}, b as (select min(row_id) filter (split > 0) as te, min(row_id) filter (split > 1) as ve from o) select row_id, eid, cast(case when row_id >= coalesce(ve, row_id + 1) then 2 when row_id >= coalesce(te, row_id + 1) then 1 else 0 end as integer) as slice from o, b")
 def spl02_split_slices(spark: SparkSession, d: str) -> DataFrame:
-    return base.edges(spark, d).filter("split is not null").groupBy("split").agg(F.count(F.lit(1)).alias("n_edges"), F.min("t").alias("first_time"), F.max("t").alias("last_time"))
+    """Edges in order of time cut at the first of the validation and the first of the test split."""
+    return etl.split_slices(etl.time_sorted(base.edges(spark, d))).select("row_id", "eid", "slice")
 
 
 _NEW = f"{E}, tr as (select src as node from e where split = 0 union select dst from e where split = 0), nn as (select node from (select src as node from e union select dst from e) where node not in (select node from tr)), il as (select * from e where split < 2 union all select * from e where split = 2 and (src in (select node from nn) or dst in (select node from nn)))"
@@ -140,16 +173,14 @@ def spl04_inductive_nodes(spark: SparkSession, d: str) -> DataFrame:
     return etl.inductive_nodes(base.edges(spark, d))
 
 
-@query(f"{E}, {ORDERED} select row_id // {BATCH} as batch, count(*) as n_edges, min(t) as first_time, max(t) as last_time, min(eid) as least_eid from o group by 1")
+@query(f"{E}, {ORDERED} select row_id // {BATCH} as batch, row_id % {BATCH} as edge_pos, eid, t from o")
 def bat01_batches(spark: SparkSession, d: str) -> DataFrame:
-    b = etl.batched(etl.time_sorted(base.edges(spark, d)), BATCH)
-    return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_edges"), F.min("t").alias("first_time"), F.max("t").alias("last_time"), F.min("eid").alias("least_eid"))
+    return etl.batched(etl.time_sorted(base.edges(spark, d)), BATCH).select("batch", F.pmod("row_id", F.lit(BATCH)).alias("edge_pos"), "eid", "t")
 
 
-@query(f"{E}, {ORDERED} select cast(floor((row_id - {SHIFT * BATCH // REORDER}) / {BATCH}::double) as bigint) as batch, count(*) as n_edges, min(t) as first_time from o group by 1")
+@query(f"{E}, {ORDERED} select cast(floor((row_id - {SHIFT * BATCH // REORDER}) / {BATCH}::double) as bigint) as batch, eid, t from o")
 def bat02_shifted_batches(spark: SparkSession, d: str) -> DataFrame:
-    b = etl.shifted_batches(etl.time_sorted(base.edges(spark, d)), BATCH, REORDER, SHIFT)
-    return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_edges"), F.min("t").alias("first_time"))
+    return etl.shifted_batches(etl.time_sorted(base.edges(spark, d)), BATCH, REORDER, SHIFT).select("batch", "eid", "t")
 
 
 _NEG = f"{E}, {base.NODES}, neg as (select eid, node from (select eid, {draw_sql('eid', '0', 42, '(select count(*) from nodes)')} as pick from e) join nodes on id = pick)"
@@ -240,11 +271,12 @@ def smp06_uniform_k(spark: SparkSession, d: str) -> DataFrame:
     return sampler.uniform(base.edges(spark, d), base.queries(spark, d), KEY, 5)
 
 
-@query(f"{E}, {R}, b as ({block_sql(3)}) select batch, root_pos, count(*) as n, min(nbr_pos) as first_pos, max(eid) as last_eid from b group by all having count(*) < 3")
+@query(f"{E}, {R}, b as ({block_sql(3)}), n as (select batch, root_pos from b group by all having count(*) < 3) select b.* from b join n using (batch, root_pos)")
 def smp07_small_windows(spark: SparkSession, d: str) -> DataFrame:
     """Roots with fewer than k edges give all of them."""
     b = sampler.recent(base.edges(spark, d), base.queries(spark, d), KEY, 3)
-    return b.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("nbr_pos").alias("first_pos"), F.max("eid").alias("last_eid")).filter("n < 3")
+    few = b.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n < 3").select(*KEY)
+    return b.join(few, KEY, "left_semi")
 
 
 @query(f"{_STATE} select p.batch, p.root_pos, p.node as root, p.t as root_t, cast(hi - n.rk as integer) as nbr_pos, n.dst as node, n.eid, n.t, p.t - n.t as dt from p join ranked n on n.src = p.node and n.rk > 1 and n.rk > hi - {K} and n.rk <= hi and n.t < p.t")
@@ -252,9 +284,9 @@ def smp08_stateful_recent(spark: SparkSession, d: str) -> DataFrame:
     return sampler.recent_stateful(base.edges(spark, d), base.queries(spark, d), KEY, "batch", K)
 
 
-@query(f"{E}, {R}, b as ({block_sql(K)}) select batch, count(*) as n_edges, min(dt) as least_dt, max(dt) as most_dt, cast(sum(dt) as bigint) as sum_dt from b group by batch")
+@query(f"{E}, {R}, b as ({block_sql(K)}) select batch, root_pos, nbr_pos, eid, dt from b")
 def smp09_projection(spark: SparkSession, d: str) -> DataFrame:
-    return _recent(spark, d).groupBy("batch").agg(F.count(F.lit(1)).alias("n_edges"), F.min("dt").alias("least_dt"), F.max("dt").alias("most_dt"), F.sum("dt").alias("sum_dt"))
+    return _recent(spark, d).select(*KEY, "nbr_pos", "eid", "dt")
 
 
 _BOTH = f"{E}, {R}, g as (select eid, src, dst, t from e union all select eid, dst, src, t from e)"

@@ -53,3 +53,13 @@ def features(spark: SparkSession, path: str, key: str) -> DataFrame:
     kind = raw.schema["f"].dataType.elementType.simpleString()
     one = (lambda x: x.cast("int").cast("float")) if kind == "boolean" else (lambda x: x.cast("float"))
     return raw.select(key, F.transform("f", one).alias("f"))
+
+
+def csr_edges(spark: SparkSession, path: str) -> DataFrame:
+    """pos, src, dst, t, eid as sinks.write_csr stores them: ordered by src, so that a filter on src reads few files and row groups."""
+    return spark.read.parquet(path)
+
+
+def hot_ids(spark: SparkSession, path: str) -> DataFrame:
+    """node, score, place as sinks.write_hot_ids stores them."""
+    return spark.read.parquet(path)

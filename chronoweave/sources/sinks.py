@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoweave.operators import etl
+
 
 def write_edges(edges: DataFrame, path: str, kind: str = "parquet") -> None:
     """Edges as Parquet or as CSV with a header."""
@@ -12,12 +14,14 @@ def write_edges(edges: DataFrame, path: str, kind: str = "parquet") -> None:
     writer.parquet(path) if kind == "parquet" else writer.option("header", True).csv(path)
 
 
-def write_by_node(edges: DataFrame, table: str, buckets: int) -> None:
-    """Edges bucketed by src and sorted by (src, t, eid): joins and windows by src then need no shuffle."""
-    edges.write.bucketBy(buckets, "src").sortBy("src", "t", "eid").format("parquet").saveAsTable(table)
+def write_csr(edges: DataFrame, path: str) -> None:
+    """The neighbour lists of all nodes end to end: pos, src, dst, t, eid in files of ranges of (src, t, eid), each in order."""
+    flat = etl.flat_adjacency(edges).select("pos", "src", "dst", "t", "eid")
+    flat.repartitionByRange("pos").sortWithinPartitions("pos").write.mode("error").parquet(path)
 
 
 def write_hot_ids(ranked: DataFrame, path: str, most: int) -> None:
+    """The ids of the first `most` places of hotset.ranked."""
     ranked.filter(f"place < {int(most)}").write.mode("error").parquet(path)
 
 
