@@ -8,6 +8,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SLOPE, EPS = 0.2, 1e-5
 Weights = dict[str, np.ndarray]
@@ -29,6 +31,20 @@ class Layer:
             raise ValueError("a layer needs at least one source, and out must be a multiple of heads")
 
 
+def from_lists(column: pa.Array, width: int) -> np.ndarray:
+    """A list column as (n, width); null lists are zeros."""
+    out = np.zeros((len(column), width))
+    if width and len(column):
+        there = pc.is_valid(column).to_numpy(zero_copy_only=False)
+        out[there] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
+def to_lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values.ravel(), pa.float64()))
+
+
 def matrix(rows: int, cols: int, seed: int) -> np.ndarray:
     r, c = np.meshgrid(np.arange(rows), np.arange(cols), indexing="ij")
     return ((r * 31 + c * 17 + seed * 7) % 19 - 9) / 20.0

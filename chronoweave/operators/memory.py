@@ -9,8 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,20 +147,15 @@ STATE = "node long, batch long, mem array<double>, mem_t long, mails array<array
 _FIELDS = ["mem", "mem_t", "mails", "mail_t"]
 
 
-def _vectors(values, width: int) -> np.ndarray:
-    out = np.zeros((len(values), width))
-    for i, x in enumerate(values):
-        if x is not None:
-            out[i] = x
-    return out
-
-
-def _slots(mails, times, slots: int, deep: int) -> tuple[np.ndarray, np.ndarray]:
+def _boxes(mails: pa.Array, times: pa.Array, slots: int, deep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mailboxes (n, slots, deep) and their times (n, slots) of list columns; slots that aren't there are zeros."""
     box, at = np.zeros((len(mails), slots, deep)), np.zeros((len(mails), slots))
-    for i, (m, t) in enumerate(zip(mails, times)):
-        if m is not None:
-            for j, (x, y) in enumerate(zip(m, t)):
-                box[i, j], at[i, j] = x, y
+    sizes = pc.fill_null(pc.list_value_length(mails), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(mails)), sizes)
+    if len(row):
+        col = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        box[row, col] = L.from_lists(mails.flatten(), deep)
+        at[row, col] = pc.cast(times.flatten(), pa.float64()).to_numpy(zero_copy_only=False)
     return box, at
 
 
@@ -179,10 +174,10 @@ def updated(reads: DataFrame, settings: MemorySettings, width: int, deep: int, t
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                times = lambda c: np.array([x or 0 for x in b.column(c).to_pylist()], float)
-                box, box_t = _slots(b.column("mails").to_pylist(), b.column("mail_t").to_pylist(), settings.slots, deep)
-                new = L.updated_memory(settings.updater, _vectors(b.column("mem").to_pylist(), width), times("mem_t"), box, box_t, times("t"), time_width)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(new.tolist(), pa.list_(pa.float64()))], names=[*kept, "mem"])
+                times = lambda c: pc.fill_null(pc.cast(b.column(c), pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+                box, box_t = _boxes(b.column("mails"), b.column("mail_t"), settings.slots, deep)
+                new = L.updated_memory(settings.updater, L.from_lists(b.column("mem"), width), times("mem_t"), box, box_t, times("t"), time_width)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), L.to_lists(new)], names=[*kept, "mem"])
 
     return reads.mapInArrow(run, out)
 
@@ -190,34 +185,31 @@ def updated(reads: DataFrame, settings: MemorySettings, width: int, deep: int, t
 class _Fold:
     """State of the nodes of a stretch while its batches are taken in turn."""
 
-    def __init__(self, nodes: np.ndarray, state: pd.DataFrame, settings: MemorySettings, width: int, deep: int, time_width: int) -> None:
+    def __init__(self, nodes: np.ndarray, state: pa.Table, settings: MemorySettings, width: int, deep: int, time_width: int) -> None:
         self.nodes, self.settings, self.time_width, n = nodes, settings, time_width, len(nodes)
         self.mem, self.mem_t, self.next = np.zeros((n, width)), np.zeros(n), np.zeros(n, np.int64)
         self.box, self.box_t = np.zeros((n, settings.slots, deep)), np.zeros((n, settings.slots))
-        if len(state):
-            at = np.searchsorted(nodes, state["node"].to_numpy(np.int64))
-            self.mem[at], self.mem_t[at], self.next[at] = _vectors(state["mem"], width), state["mem_t"].to_numpy(float), state["next_pos"].to_numpy(np.int64)
-            self.box[at], self.box_t[at] = _slots(state["mails"], state["mail_t"], settings.slots, deep)
-
-    def take(self, edges: pd.DataFrame, f: np.ndarray) -> pd.DataFrame:
-        """One batch: memories of both ends of every edge at its time, their last written; mails of those memories, the last (or mean) of a node kept."""
-        n, where = len(edges), lambda v: np.searchsorted(self.nodes, v)
-        ends = where(edges[["src", "dst"]].to_numpy(np.int64).ravel())  # in order of pos: src and dst of each edge
-        t = np.repeat(edges["t"].to_numpy(float), 2)
+        if state.num_rows:
+            of = lambda c: state[c].combine_chunks()
+            at = np.searchsorted(nodes, of("node").to_numpy())
+            self.mem[at], self.mem_t[at], self.next[at] = L.from_lists(of("mem"), width), of("mem_t").to_numpy(), of("next_pos").to_numpy()
+            self.box[at], self.box_t[at] = _boxes(of("mails"), of("mail_t"), settings.slots, deep)
+
+    def take(self, batch: int, ends: np.ndarray, t: np.ndarray, f: np.ndarray, to: np.ndarray, sent: np.ndarray) -> tuple:
+        """One batch: memories of both ends of every edge at its time, their last written; mails of those memories, the last (or mean) of a node kept.
+
+        ends: the nodes in order of pos (src and dst of each edge), t and f of each; to, sent: receivers in order and the pos of the mail that each gets.
+        """
         new = L.updated_memory(self.settings.updater, self.mem[ends], self.mem_t[ends], self.box[ends], self.box_t[ends], t, self.time_width)
-        far = new.reshape(n, 2, -1)[:, ::-1].reshape(2 * n, -1)
-        mail = np.concatenate([new, far, np.repeat(f, 2, 0)], 1)
+        far = new.reshape(len(new) // 2, 2, -1)[:, ::-1].reshape(len(new), -1)
+        mail = np.concatenate([new, far, f], 1)
         wrote, last = np.unique(ends[::-1], return_index=True)
         last = len(ends) - 1 - last
         self.mem[wrote], self.mem_t[wrote] = new[last], t[last]
-        to, sent = ends, np.arange(2 * n)
-        if self.settings.deliver_to == "neighbors":
-            far_to = [([], []) if x is None else (x, [p] * len(x)) for p, x in enumerate(edges[["to_src", "to_dst"]].to_numpy().ravel())]
-            order = [np.concatenate([[ends[p]], where(np.asarray(x, np.int64))]) for p, (x, _) in enumerate(far_to)]
-            to, sent = np.concatenate(order).astype(np.int64), np.repeat(np.arange(2 * n), [len(o) for o in order])
         got, last = np.unique(to[::-1], return_index=True)
         if self.settings.combine == "mean":
-            which, count = np.searchsorted(got, to), np.bincount(np.searchsorted(got, to))[:, None]
+            which = np.searchsorted(got, to)
+            count = np.bincount(which)[:, None]
             kept, kept_t = np.zeros((len(got), mail.shape[1])), np.bincount(which, t[sent]) / count[:, 0]
             np.add.at(kept, which, mail[sent])
             kept /= count
@@ -227,17 +219,37 @@ class _Fold:
         slot = self.next[got]
         self.box[got, slot], self.box_t[got, slot], self.next[got] = kept, kept_t, (slot + 1) % self.settings.slots
         changed = np.union1d(wrote, got)
-        return pd.DataFrame({"node": self.nodes[changed], "batch": int(edges["batch"].iloc[0]), "mem": list(self.mem[changed]), "mem_t": self.mem_t[changed].astype(np.int64), "mails": self.box[changed].tolist(), "mail_t": self.box_t[changed].astype(np.int64).tolist(), "next_pos": self.next[changed].astype(np.int32)})
+        return self.nodes[changed], np.full(len(changed), batch), self.mem[changed], self.mem_t[changed], self.box[changed], self.box_t[changed], self.next[changed]
 
 
-def _folded(edges: pd.DataFrame, state: pd.DataFrame, settings: MemorySettings, width: int, edge_width: int, time_width: int) -> pd.DataFrame:
-    edges = edges.sort_values(["batch", "edge_pos"], kind="stable")
-    routes = [np.asarray(x, np.int64) for c in ("to_src", "to_dst") for x in edges[c] if x is not None] if settings.deliver_to == "neighbors" else []
-    fold = _Fold(np.unique(np.concatenate([edges[["src", "dst"]].to_numpy(np.int64).ravel(), *routes])), state, settings, width, 2 * width + edge_width, time_width)
-    f = _vectors(edges["f"], edge_width)
-    starts = np.flatnonzero(np.r_[True, np.diff(edges["batch"].to_numpy(np.int64)) != 0]) if len(edges) else []
-    parts = [fold.take(edges.iloc[a:b], f[a:b]) for a, b in zip(starts, [*starts[1:], len(edges)])]
-    return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in STATE.split(", ")])
+def _folded(edges: pa.Table, state: pa.Table, settings: MemorySettings, width: int, edge_width: int, time_width: int) -> pa.Table:
+    edges = edges.sort_by([("batch", "ascending"), ("edge_pos", "ascending")]).combine_chunks()
+    of = lambda c: edges[c].combine_chunks()
+    pairs = np.stack([of("src").to_numpy(), of("dst").to_numpy()], 1).ravel()
+    pos = np.arange(len(pairs))
+    to, sent = pairs, pos
+    if settings.deliver_to == "neighbors":
+        far = [of(c) for c in ("to_src", "to_dst")]
+        sizes = np.stack([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in far], 1).ravel().astype(np.int64)
+        per_end = [np.repeat(pos[e::2], sizes[e::2]) for e in (0, 1)]
+        who, whose = np.concatenate([pairs, *(x.flatten().to_numpy(zero_copy_only=False) for x in far)]), np.concatenate([pos, *per_end])
+        order = np.argsort(whose, kind="stable")  # each end itself, then its neighbours
+        to, sent = who[order], whose[order]
+    nodes = np.unique(to)
+    fold = _Fold(nodes, state, settings, width, 2 * width + edge_width, time_width)
+    f, t, batch = np.repeat(L.from_lists(of("f"), edge_width), 2, 0), np.repeat(of("t").to_numpy().astype(float), 2), of("batch").to_numpy()
+    ends, to = np.searchsorted(nodes, pairs), np.searchsorted(nodes, to)
+    starts = np.flatnonzero(np.r_[True, np.diff(batch) != 0]) if len(batch) else np.zeros(0, np.int64)
+    parts = []
+    for a, b in zip(2 * starts, [*(2 * starts[1:]), len(pairs)]):
+        c, d = np.searchsorted(sent, [a, b])
+        parts.append(fold.take(int(batch[a // 2]), ends[a:b], t[a:b], f[a:b], to[c:d], sent[c:d] - a))
+    if not parts:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width)), np.zeros(0), np.zeros((0, settings.slots, 2 * width + edge_width)), np.zeros((0, settings.slots)), np.zeros(0, np.int64))]
+    node, at, mem, mem_t, box, box_t, turn = (np.concatenate(x) for x in zip(*parts))
+    slots = lambda values: pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1) * settings.slots, pa.int32()), values)
+    mails = slots(L.to_lists(box.reshape(-1, box.shape[2])))
+    return pa.table([pa.array(node), pa.array(at), L.to_lists(mem), pa.array(mem_t.astype(np.int64)), mails, slots(pa.array(box_t.astype(np.int64).ravel())), pa.array(turn.astype(np.int32))], names=[c.split()[0] for c in STATE.split(", ")])
 
 
 def history(edges: DataFrame, edge_features: DataFrame, settings: MemorySettings, width: int, edge_width: int, time_width: int = 4, routes: DataFrame | None = None, most_edges: int = 50_000, compact: int = 8) -> DataFrame:
@@ -281,7 +293,7 @@ def history(edges: DataFrame, edge_features: DataFrame, settings: MemorySettings
         nodes = now.select(F.explode(ends).alias("node")).distinct()
         known = latest([p.join(nodes, "node", "left_semi") for p in held]) if held else spark.createDataFrame([], STATE)
         run = lambda e, s: _folded(e, s, settings, width, edge_width, time_width)
-        new = written(now.groupBy(F.lit(0).alias("all")).cogroup(known.groupBy(F.lit(0).alias("all"))).applyInPandas(run, STATE), "memory-history")
+        new = written(now.groupBy(F.lit(0).alias("all")).cogroup(known.groupBy(F.lit(0).alias("all"))).applyInArrow(run, STATE), "memory-history")
         every.append(new)
         held.append(new)
         if len(held) > compact:

@@ -36,20 +36,6 @@ def _sent(rows: DataFrame, weights):
     return rows.sparkSession.sparkContext.broadcast(weights)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """A list column as (n, width); null lists are zeros."""
-    out = np.zeros((len(column), width))
-    if width and len(column):
-        there = pc.is_valid(column).to_numpy(zero_copy_only=False)
-        out[there] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    return out
-
-
-def _lists(values: np.ndarray) -> pa.Array:
-    n, width = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values.ravel(), pa.float64()))
-
-
 def _added(rows: DataFrame, drop: list[str], names: list[str], kind=None) -> tuple[list[str], StructType]:
     kept = [c for c in rows.columns if c not in drop]
     return kept, StructType([rows.schema[c] for c in kept] + [StructField(n, kind or ArrayType(DoubleType())) for n in names])
@@ -67,8 +53,8 @@ def projections(rows: DataFrame, layer: L.Layer, weights: L.Weights | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = pc.cast(b.column(dt), pa.float64()).to_numpy(zero_copy_only=False)[:, None]
-            p = L.project(sent.value, layer, _matrix(b.column(own), layer.node), _matrix(b.column(nbr), layer.node)[:, None], _matrix(b.column(edge), layer.edge)[:, None], at)
-            yield _rescheduled(b, kept, [_lists(p["q"]), _lists(p["k"][:, 0]), _lists(p["v"][:, 0])], ["q", "k", "v"])
+            p = L.project(sent.value, layer, L.from_lists(b.column(own), layer.node), L.from_lists(b.column(nbr), layer.node)[:, None], L.from_lists(b.column(edge), layer.edge)[:, None], at)
+            yield _rescheduled(b, kept, [L.to_lists(p["q"]), L.to_lists(p["k"][:, 0]), L.to_lists(p["v"][:, 0])], ["q", "k", "v"])
 
     return rows.mapInArrow(run, out)
 
@@ -80,8 +66,8 @@ def split_projection(rows: DataFrame, parts: dict[str, int], out: int, seeds: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total = sum((_matrix(b.column(c), w) @ m.T for (c, w), m in zip(parts.items(), sent.value)), L.bias(out, seeds[0])[None])
-            yield _rescheduled(b, kept, [_lists(np.broadcast_to(total, (b.num_rows, out)))], [name])
+            total = sum((L.from_lists(b.column(c), w) @ m.T for (c, w), m in zip(parts.items(), sent.value)), L.bias(out, seeds[0])[None])
+            yield _rescheduled(b, kept, [L.to_lists(np.broadcast_to(total, (b.num_rows, out)))], [name])
 
     return rows.mapInArrow(run, schema)
 
@@ -94,7 +80,7 @@ def _padded(lists: pa.Array, layer: L.Layer) -> tuple[np.ndarray, np.ndarray, np
     col = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     nbr, edge, dt, mask = np.zeros((n, k, layer.node)), np.zeros((n, k, layer.edge)), np.zeros((n, k)), np.zeros((n, k), bool)
     if len(row):
-        nbr[row, col], edge[row, col] = _matrix(flat.field("nbr"), layer.node), _matrix(flat.field("edge"), layer.edge)
+        nbr[row, col], edge[row, col] = L.from_lists(flat.field("nbr"), layer.node), L.from_lists(flat.field("edge"), layer.edge)
         dt[row, col], mask[row, col] = pc.cast(flat.field("dt"), pa.float64()).to_numpy(zero_copy_only=False), True
     return nbr, edge, dt, mask
 
@@ -113,7 +99,7 @@ def _over_roots(packed: DataFrame, layer: L.Layer, weights: L.Weights | None, na
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
                 b = whole.slice(at, CHUNK)
-                yield _rescheduled(b, kept, [f(sent.value, _matrix(b.column("own"), layer.node), *_padded(b.column("nbrs"), layer))], [name])
+                yield _rescheduled(b, kept, [f(sent.value, L.from_lists(b.column("own"), layer.node), *_padded(b.column("nbrs"), layer))], [name])
 
     return packed.mapInArrow(run, out)
 
@@ -124,13 +110,13 @@ def attention_layer(rows: DataFrame, roots: DataFrame, root: list[str], layer: L
     A root without neighbours has h from zeros in place of the aggregate.
     """
     packed = roots.select(*root, "own").join(neighbourhoods(rows, root), root, "left")
-    return _over_roots(packed, layer, weights, "h", None, lambda w, *x: _lists(L.forward(w, layer, *x)[0]))
+    return _over_roots(packed, layer, weights, "h", None, lambda w, *x: L.to_lists(L.forward(w, layer, *x)[0]))
 
 
 def attention(rows: DataFrame, root: list[str], layer: L.Layer, weights: L.Weights | None = None) -> DataFrame:
     """The aggregate of each root with neighbours before the output head: root, head, pos, value. rows also have own."""
     packed = neighbourhoods(rows, root).join(rows.groupBy(*root).agg(F.first("own").alias("own")), root)
-    whole = _over_roots(packed, layer, weights, "agg", None, lambda w, own, nbr, edge, dt, mask: _lists(L.attend(w, layer, L.project(w, layer, own, nbr, edge, dt), mask)))
+    whole = _over_roots(packed, layer, weights, "agg", None, lambda w, own, nbr, edge, dt, mask: L.to_lists(L.attend(w, layer, L.project(w, layer, own, nbr, edge, dt), mask)))
     width = layer.out // layer.heads
     return whole.select(*root, F.posexplode("agg").alias("_p", "value")).select(*root, (F.col("_p") / width).cast("int").alias("head"), F.pmod("_p", F.lit(width)).alias("pos"), "value")
 
@@ -179,8 +165,8 @@ def edge_scores(vectors: DataFrame, by: list[str], width: int, hidden: int, weig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            src = _matrix(b.column("src"), width)
-            scores = [pc.if_else(pc.and_(pc.is_valid(b.column("src")), pc.is_valid(b.column(end))), pa.array(L.predict(sent.value, src, _matrix(b.column(end), width))[0]), None) for end in ("dst", "neg")]
+            src = L.from_lists(b.column("src"), width)
+            scores = [pc.if_else(pc.and_(pc.is_valid(b.column("src")), pc.is_valid(b.column(end))), pa.array(L.predict(sent.value, src, L.from_lists(b.column(end), width))[0]), None) for end in ("dst", "neg")]
             yield _rescheduled(b, kept, scores, ["pos_score", "neg_score"])
 
     return per.mapInArrow(run, out)

@@ -92,7 +92,7 @@ class Network:
         sizes = pc.list_value_length(trees).to_numpy(zero_copy_only=False).astype(np.int64)
         flat, starts = trees.flatten(), np.cumsum(sizes) - sizes
         inner = nn._padded(flat.field("nbrs"), first)
-        h, c = L.forward(w["layer_0"], first, nn._matrix(flat.field("own"), first.node), *inner, self._drops(rng, first, inner[3]))
+        h, c = L.forward(w["layer_0"], first, L.from_lists(flat.field("own"), first.node), *inner, self._drops(rng, first, inner[3]))
         if len(self.layers) == 1:
             return h[starts], (c, starts, None, None, len(h))
         second, k = self.layers[1], max(int(sizes.max()) - 1, 1)
@@ -101,7 +101,7 @@ class Network:
         at = np.delete(np.arange(len(h)), starts)
         nbr, edge, dt, mask = np.zeros((len(sizes), k, second.node)), np.zeros((len(sizes), k, second.edge)), np.zeros((len(sizes), k)), np.zeros((len(sizes), k), bool)
         nbr[row, col], mask[row, col] = h[at], True
-        edge[row, col] = nn._matrix(flat.field("edge"), second.edge)[at]
+        edge[row, col] = L.from_lists(flat.field("edge"), second.edge)[at]
         dt[row, col] = pc.cast(flat.field("dt"), pa.float64()).to_numpy(zero_copy_only=False)[at]
         top, c_top = L.forward(w["layer_1"], second, h[starts], nbr, edge, dt, mask, self._drops(rng, second, mask))
         return top, (c, starts, c_top, (row, col, at), len(h))
