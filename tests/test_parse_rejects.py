@@ -81,8 +81,8 @@ def test_against_a_plain_parser(spark):
 def test_long_valid_fields_are_edges(spark, sf, tmp_path):
     lines = ["src dst time", "0012580574 997607 20002998", "7212089 2147483647 20006780", "1 2147483648 3", "1 99999999999 3", "000000000000000000000000000007 2 3", "1 2", "1 -2 3", "1 x 3"]
     spark.createDataFrame([(i, "a.txt", "ws", i + 1, x) for i, x in enumerate(lines)], "line_id long, file_name string, fmt string, line_no int, line string").write.parquet(f"{tmp_path}/raw_edges.parquet")
-    got = sorted(tuple(r) for r in graph.src01_whole_edges(spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in graph.src01_text_edges(spark, str(tmp_path)).collect())
     assert got == [(1, 12580574, 997607, 20002998), (2, 7212089, 2147483647, 20006780), (5, 7, 2, 3)]
     parsed = parse_lines(table(spark, sf, "raw_edges").filter("fmt = 'ws'")).filter("reason is null")
     want = sorted((r.line_id, r.src, r.dst, r.time) for r in parsed.collect())
-    assert sorted((r.line_id, r.src, r.dst, r.time) for r in graph.src01_whole_edges(spark, sf).collect()) == want
+    assert sorted((r.line_id, r.src, r.dst, r.time) for r in graph.src01_text_edges(spark, sf).collect()) == want
