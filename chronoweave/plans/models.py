@@ -622,6 +622,10 @@ _AUC = f"{S}, k as (select batch, label, rank() over (partition by batch order b
 _RR = f"{S}, top as (select batch, edge_pos, max(score) as ps from s where label = 1 group by all), rr as (select top.batch, top.edge_pos, 1.0::double / (1 + count(s.score)) as rr from top left join s on s.batch = top.batch and s.edge_pos = top.edge_pos and s.label = 0 and s.score > ps group by all)"
 
 
+# Without the table of scores, for those of a model in its place.
+AP_SQL, AUC_SQL, RR_SQL, LOSS_SQL = (x.replace(S + ", ", "") for x in (_AP, _AUC, _RR, _LOSS))
+
+
 @query(f"{_AP} select batch, round(ap, 6) as ap from apb")
 def met01_average_precision(spark: SparkSession, d: str) -> DataFrame:
     return metrics.average_precision(base.scored(spark, d)).withColumn("ap", F.round("ap", 6))
