@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.session import written
+
 SPLITS = {0: "train", 1: "val", 2: "test"}
 SHARE = 0.001  # lists with at least this share of a side's rows are split; there can't be more than 1 / SHARE of them
 LEAST_ROWS = 1000
@@ -35,7 +37,11 @@ def _records(edges: DataFrame, width: int) -> DataFrame:
     """Rows without nulls in pair, time or split, with the pair in order and the place in time as cell and rest."""
     e = edges.select(F.col("eid").cast("long").alias("eid"), F.col("src").cast("long").alias("_s"), F.col("dst").cast("long").alias("_d"), F.col("time").cast("long").alias("t"), F.col("ext_roll").cast("int").alias("split"), F.col("source").cast("string").alias("source"))
     e = e.filter("_s is not null and _d is not null and t is not null and split in (0, 1, 2)")
-    return e.select("eid", F.least("_s", "_d").alias("lo"), F.greatest("_s", "_d").alias("hi"), "t", "split", "source", F.expr(f"t div {width} - if(t % {width} < 0, 1, 0)").alias("cell"), F.expr(f"pmod(t, {width})").cast("int").alias("rest"))
+    return _placed(e.select("eid", F.least("_s", "_d").alias("lo"), F.greatest("_s", "_d").alias("hi"), "t", "split", "source"), width)
+
+
+def _placed(rows: DataFrame, width: int) -> DataFrame:
+    return rows.withColumns({"cell": F.expr(f"t div {width} - if(t % {width} < 0, 1, 0)"), "rest": F.expr(f"pmod(t, {width})").cast("int")})
 
 
 def _statistics(rec: DataFrame, width: int, least_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int, int]:
@@ -165,7 +171,7 @@ def found_pairs(edges: DataFrame, within: int = 3) -> DataFrame:
     return pairs.select(F.least("a.eid", "b.eid").alias("eid_a"), F.greatest("a.eid", "b.eid").alias("eid_b"))
 
 
-_CLASS = ["lo", "hi", "t", "cell", "rest"]
+_CLASS = ["lo", "hi", "t"]
 
 
 def overlap_rows(edges: DataFrame, within: int = 3) -> DataFrame:
@@ -173,18 +179,19 @@ def overlap_rows(edges: DataFrame, within: int = 3) -> DataFrame:
 
     Rows of one pair and time are a class, named by its least eid over all splits, and are joined as one vector a side, however many they
     are; n_links is the number of rows of the other side (training, evaluation) at most `within` away. Rows without links don't come out, nor
-    rows with nulls as in cross_split_pairs.
+    rows with nulls as in cross_split_pairs. The classes are written once, as both sides are made of them.
     """
     width = 2 * (within + 1)
     rec = _records(edges, width)
-    classes = rec.groupBy(*_CLASS).agg(F.min("eid").alias("class_id"), F.count_if(F.col("split") == 0).alias("n"), F.count_if(F.col("split") > 0).alias("m"))
-    train, other = classes.filter("n > 0").select(*_CLASS, "n"), classes.filter("m > 0").select(*_CLASS, "m")
+    counted = rec.groupBy(*_CLASS).agg(F.min("eid").alias("class_id"), F.count_if(F.col("split") == 0).alias("n"), F.count_if(F.col("split") > 0).alias("m"))
+    classes = _placed(written(counted, "overlap-classes"), width)
+    train, other = classes.filter("n > 0").drop("m"), classes.filter("m > 0").drop("n")
     pairs = _join(rec, train, other, within, width, "t")
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a.t").alias("t"), F.col("b.m").alias("k")), F.struct(F.lit(1).alias("side"), F.col("b.t").alias("t"), F.col("a.n").alias("k")))
-    links = pairs.select("a.lo", "a.hi", F.explode(sides).alias("_x")).groupBy("lo", "hi", "_x.t", "_x.side").agg(F.sum("_x.k").alias("n_links"))
-    named = links.join(classes.select("lo", "hi", "t", "class_id"), ["lo", "hi", "t"])
+    side = lambda no, of, far: F.struct(F.lit(no).alias("side"), F.col(f"{of}.t").alias("t"), F.col(f"{of}.class_id").alias("class_id"), F.col(far).alias("k"))
+    links = pairs.select("a.lo", "a.hi", F.explode(F.array(side(0, "a", "b.m"), side(1, "b", "a.n"))).alias("_x"))
+    links = links.groupBy("lo", "hi", "_x.t", "_x.side", "_x.class_id").agg(F.sum("_x.k").alias("n_links"))
     rows = rec.select("eid", "split", "lo", "hi", "t", (F.col("split") > 0).cast("int").alias("side"))
-    return rows.join(named, ["lo", "hi", "t", "side"]).select("eid", "split", "class_id", "n_links")
+    return rows.join(links, [*_CLASS, "side"]).select("eid", "split", "class_id", "n_links")
 
 
 def overlap_report(edges: DataFrame, within: int = 3) -> DataFrame:
@@ -195,8 +202,8 @@ def overlap_report(edges: DataFrame, within: int = 3) -> DataFrame:
     """
     width = 2 * (within + 1)
     rec = _records(edges, width)
-    train = rec.filter("split = 0").select(*_CLASS).distinct()
-    other = rec.filter("split > 0").groupBy(*_CLASS, "split", "source").agg(F.count(F.lit(1)).alias("n"))
+    train = _placed(rec.filter("split = 0").select(*_CLASS).distinct(), width)
+    other = _placed(rec.filter("split > 0").groupBy(*_CLASS, "split", "source").agg(F.count(F.lit(1)).alias("n")), width)
     pairs = _join(rec, train, other, within, width, "t")
     near = pairs.groupBy("b.lo", "b.hi", "b.t", "b.split", "b.source").agg(F.max("b.n").alias("n"), F.min(F.abs(F.col("a.t") - F.col("b.t"))).alias("_gap"))
     counted = near.groupBy("split", "source").agg(F.sum("n").alias("n_overlap"), F.sum(F.when(F.col("_gap") == 0, F.col("n")).otherwise(0)).alias("n_exact"))
