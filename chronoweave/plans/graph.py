@@ -160,15 +160,15 @@ def spl02_split_slices(spark: SparkSession, d: str) -> DataFrame:
     return etl.split_slices(etl.time_sorted(base.edges(spark, d))).select("row_id", "eid", "slice")
 
 
-_NEW = f"{E}, tr as (select src as node from e where split = 0 union select dst from e where split = 0), nn as (select node from (select src as node from e union select dst from e) where node not in (select node from tr)), il as (select * from e where split < 2 union all select * from e where split = 2 and (src in (select node from nn) or dst in (select node from nn)))"
+NEW_SQL = f"{E}, tr as (select src as node from e where split = 0 union select dst from e where split = 0), nn as (select node from (select src as node from e union select dst from e) where node not in (select node from tr)), il as (select * from e where split < 2 union all select * from e where split = 2 and (src in (select node from nn) or dst in (select node from nn)))"
 
 
-@query(f"{_NEW} select eid, split from il")
+@query(f"{NEW_SQL} select eid, split from il")
 def spl03_inductive_links(spark: SparkSession, d: str) -> DataFrame:
     return etl.inductive_links(base.edges(spark, d)).select("eid", "split")
 
 
-@query(f"{_NEW} select src as node from il where split = 2 union select dst from il where split = 2")
+@query(f"{NEW_SQL} select src as node from il where split = 2 union select dst from il where split = 2")
 def spl04_inductive_nodes(spark: SparkSession, d: str) -> DataFrame:
     return etl.inductive_nodes(base.edges(spark, d))
 
@@ -206,7 +206,7 @@ def neg01_uniform(spark: SparkSession, d: str) -> DataFrame:
     return _drawn(spark, d).select("eid", "node")
 
 
-@query(f"{_NEW}, pool as (select node, row_number() over (order by node) - 1 as id from (select src as node from il where split = 2 union select dst from il where split = 2)), x as (select eid, {draw_sql('eid', '0', 43, '(select count(*) from pool)')} as pick from il where split = 2) select eid, node from x join pool on id = pick")
+@query(f"{NEW_SQL}, pool as (select node, row_number() over (order by node) - 1 as id from (select src as node from il where split = 2 union select dst from il where split = 2)), x as (select eid, {draw_sql('eid', '0', 43, '(select count(*) from pool)')} as pick from il where split = 2) select eid, node from x join pool on id = pick")
 def neg02_inductive(spark: SparkSession, d: str) -> DataFrame:
     from chronoweave.operators.ordering import with_row_ids
 
