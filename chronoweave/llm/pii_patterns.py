@@ -269,7 +269,8 @@ _LOWER = re.compile(rf"(?P<a>[^\W\d_A-Z]{{2,}}|[a-z]\.) (?={_LOWER_FAMILY})")
 _LOWER_CUE = re.compile(r"(?:uthor|aintainer|-by):? +(?=[^\W\d_A-Z])")
 _LINE_HEAD = re.compile(r"(?:[-*|#/] ?)*")
 _COMMA = re.compile(rf", (?=(?P<a>[{_UP}](?:\.|[^\W\d_]+))(?: [{_UP}]\.)?(?![\w@’'-]|[.+_]\w))")
-_FAMILY_BACK = regex.compile(rf"(?r){_BEFORE}{_PART}{{0,2}}{_STUCK}(?P<b>[{_UP}][^\W\d_]{{2,}})(?:-[{_UP}][^\W\d_]{{2,}})*")
+_FAMILY = rf"{_PART}{{0,2}}{_STUCK}(?P<b>[{_UP}][^\W\d_]{{2,}})(?:-[{_UP}][^\W\d_]{{2,}})*"
+_FAMILY_BACK, _FAMILY_ON = regex.compile(rf"(?r){_BEFORE}{_FAMILY}"), re.compile(_FAMILY)
 _FIRM = re.compile(rf" (?:{'|'.join(FIRM_ENDINGS)})\b|, (?:Ltd|Inc)\b")
 
 
@@ -286,6 +287,7 @@ def names(t: str, seen: set[str], lex: Lexicon, mails: list[tuple[int, int]]) ->
     for m in _COMMA.finditer(t):
         if t[m.start() - 1 : m.start()].isalpha():
             f = _FAMILY_BACK.match(t, 0, m.start())
+            f = f and _FAMILY_ON.fullmatch(t, f.start(), m.start())  # forwards, so that a prefix (Mc, O') isn't taken for the name's own letters
             if f:
                 yield f.start(), m.end("a"), m["a"].lower(), f["b"].lower(), "back"
     starts = set()

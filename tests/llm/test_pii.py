@@ -34,7 +34,7 @@ ONE_CASE = [
     ("MÜHLENSTRASSE 170A, 00628 LOWER TARN; mühlenstraße 170a", ["MÜHLENSTRASSE 170A, 00628 LOWER TARN", "mühlenstraße 170a"]), ("CALLE MOLINO VIEJO 410; calle molino viejo 410", ["CALLE MOLINO VIEJO 410", "calle molino viejo 410"]),
 ]
 NAMES = [
-    ("// Author: Amara Rusvgale", ["Amara Rusvgale"]), ("Thanks to Jonas L. von Okonquist.", ["Jonas L. von Okonquist"]), ("| Rusvgale-Okonquist, Amara | x", ["Rusvgale-Okonquist, Amara"]), ("AUTHOR: VICTOR O'RUSVGALE", ["VICTOR O'RUSVGALE"]),
+    ("// Author: Amara Rusvgale", ["Amara Rusvgale"]), ("Thanks to Jonas L. von Okonquist.", ["Jonas L. von Okonquist"]), ("| Rusvgale-Okonquist, Amara | x", ["Rusvgale-Okonquist, Amara"]), ("// @author McRusvgale, Amara <x>", ["McRusvgale, Amara"]), ("AUTHOR: VICTOR O'RUSVGALE", ["VICTOR O'RUSVGALE"]),
     ("@author jonas rusvgale", ["jonas rusvgale"]), ("- A. Rusvgale (x)", ["A. Rusvgale"]), ("('Amara Rusvgale', 1)", ["Amara Rusvgale"]), ("Rusvgale & Okonquist Ltd.", []), ("press Victor Marker to go on", []), ("Dr. Rusvgale wants it", []),
     ("reported by Viggo Rusvgale", ["Viggo Rusvgale"]), ("ask Amara Zabladze", ["Amara Zabladze"]), ("merci à Viggo Zabladze", ["Viggo Zabladze"]), ("amara.rusvgale@example.com", []),
 ]
