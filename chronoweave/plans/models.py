@@ -543,8 +543,7 @@ def mem11_two_phase(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mem11_fold_batches(spark: SparkSession, d: str) -> DataFrame:
     """Memory and mailbox after all edges, batch by batch, each reading what the one before wrote."""
-    past = memory.history(_edge_batches(spark, d), base.edge_features(spark, d), MemorySettings(), NODE_WIDTH, EDGE_WIDTH, TIME_WIDTH)
-    state = memory.state_after(past)
+    state = memory.state_at_end(_edge_batches(spark, d), base.edge_features(spark, d), MemorySettings(), NODE_WIDTH, EDGE_WIDTH, TIME_WIDTH)
     return state.select("node", "mem_t", F.col("mail_t")[0].alias("mail_t"), *(F.round(F.col("mem")[i], 6).alias(f"m{i}") for i in range(NODE_WIDTH)))
 
 

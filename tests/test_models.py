@@ -211,3 +211,24 @@ def test_settings():
     s = settings("DySAT", (5,), (4, 6), batch_rows=10)
     assert s.preset.fanout == (5,) and s.preset.snapshots == 3 and s.batch_rows == 10 and s.preset.time_width == 0 and s.preset.out_width == 6
     assert settings("TGAT", widths=(0, 6)).preset.time_width == 0
+
+
+@pytest.mark.parametrize("kind", SETTINGS, ids=lambda s: f"{s.deliver_to} {s.combine} {s.slots} {s.updater}")
+def test_fold_answers_reads_and_ends_without_history(spark, kind):
+    rng = np.random.default_rng(8)
+    rows = [(b, p, 20 * b + p, int(rng.integers(0, 9)), int(rng.integers(0, 9)), 100 * b + p) for b in (1, 2, 4, 5) for p in range(4)]
+    routes = spark.createDataFrame([(b, 2 * p + e, int(rng.integers(0, 12)), 0) for b, p, *_ in rows for e in (0, 1)], "batch long, pos long, node long, nbr_pos int")
+    edges = spark.createDataFrame(rows, "batch long, edge_pos long, eid long, src long, dst long, t long")
+    ef = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(0, 140, 2)], "eid long, f array<float>")
+    asked = [(b, int(n), 100 * b + 7) for b in (0, 1, 2, 3, 5, 9) for n in (*rng.integers(0, 12, 3), 50)]
+    reads = spark.createDataFrame([*asked, asked[0]], "batch long, node long, t long")
+    past = memory.history(edges, ef, kind, 4, 2, 3, routes)
+    want = {(r.batch, r.node, r.t): (r.mem, r.mem_t or 0) for r in memory.inputs(reads, past, kind, 4, 2, 3).collect()}
+    rows = memory.answers(reads, edges, ef, kind, 4, 2, 3, routes, most_edges=5, compact=1).collect()
+    got = {(r.batch, r.node, r.t): (r.mem, r.mem_t) for r in rows}
+    assert len(rows) == len(got) and set(got) == set(want)
+    assert all(np.allclose(got[k][0], want[k][0]) and got[k][1] == want[k][1] for k in want)
+    end = {r.node: r for r in memory.state_at_end(edges, ef, kind, 4, 2, 3, routes, most_edges=5, compact=1).collect()}
+    last = {r.node: r for r in memory.state_after(past).collect()}
+    assert set(end) == set(last) and all(np.allclose(end[n].mem, last[n].mem) and np.allclose(end[n].mails, last[n].mails) and end[n][5:] == last[n][5:] for n in last)
+    assert memory.answers(reads, edges.limit(0), ef, kind, 4, 2, 3, routes).count() == len(want)
