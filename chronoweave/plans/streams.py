@@ -17,6 +17,7 @@ from chronoweave.streaming import neighbours, sessions
 K = 5
 SLICES = 4
 LATE = 86_400
+ROWS = 50_000  # of a state of str02_recent, about
 
 
 class _Feed:
@@ -74,9 +75,10 @@ def str02_recent(spark: SparkSession, d: str) -> DataFrame:
         at = at + (F.col("t") > b).cast("int")
     events = written(events.withColumn("_slice", at).drop("_later"), "stream-events")
     heavy = [r["node"] for r in skew.heavy_keys(e.select("src", "dst"), share=0.02).filter("side = 'src'").collect()]
+    buckets = max(16, events.count() // ROWS)
     feed = _Feed(spark, "node long, t long, eid long, dst long, query long")
     for i in range(SLICES + 1):
-        feed.take(events.filter(F.col("_slice") == i).drop("_slice"), lambda s: neighbours.recent_stream(s, K, f"{LATE} seconds", heavy))
+        feed.take(events.filter(F.col("_slice") == i).drop("_slice"), lambda s: neighbours.recent_stream(s, K, f"{LATE} seconds", heavy, buckets=buckets))
     return neighbours.settled(feed.result(neighbours.FOUND), K, e, asked.select("query", "node", "t"))
 
 

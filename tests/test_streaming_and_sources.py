@@ -76,3 +76,24 @@ def test_sources_and_sinks(spark, tmp_path):
     assert list(sources.features(spark, str(tmp_path / "f"), "id").first().f) == [1.0, 0.0]
     sinks.write_weights(spark, {"w": np.arange(6.0).reshape(2, 3)}, str(tmp_path / "w"))
     assert np.array_equal(sinks.read_weights(spark, str(tmp_path / "w"))["w"], np.arange(6.0).reshape(2, 3))
+
+
+def test_nodes_share_states(spark, tmp_path):
+    """Many nodes come in as few groups, one a bucket, and the answers are those of the table; one bucket holds all pieces of a heavy node as well."""
+    rng = np.random.default_rng(2)
+    edges = [(int(rng.integers(0, 40)) if i % 3 else 7, int(rng.integers(0, 90)), i, int(rng.integers(0, 9)), None) for i in range(300)]
+    asked = [(int(rng.integers(0, 45)), int(rng.integers(0, 95)), None, None, i) for i in range(120)]
+    e = spark.createDataFrame([(r[2], r[0], r[3], r[1]) for r in edges], "eid long, src long, dst long, t long")
+    q = spark.createDataFrame([(r[4], r[0], r[1]) for r in asked], "query long, node long, t long")
+    want = sorted((r["query"], r.root, r.nbr_pos, r.node, r.eid) for r in sampler.recent(e, q, ["query"], 3).collect())
+    for buckets in (1, 5):
+        at = tmp_path / f"b{buckets}"
+        (at / "in").mkdir(parents=True)
+        out = recent_stream(spark.readStream.schema(EVENTS).parquet(str(at / "in")), 3, "10 seconds", (7,), 4, buckets)
+        for rows in (edges[:150], edges[150:], asked):
+            spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(str(at / "in"))
+            done = out.writeStream.format("parquet").option("path", str(at / "out")).option("checkpointLocation", str(at / "cp")).trigger(availableNow=True).start()
+            done.awaitTermination()
+            assert max(p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress if p["stateOperators"]) <= buckets
+        found = spark.read.parquet(str(at / "out"))
+        assert sorted((r["query"], r.root, r.nbr_pos, r.node, r.eid) for r in settled(found, 3, e, q).collect()) == want
