@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from chronoweave.config import Preset, RunSettings
 from chronoweave.functions import vectors as V
-from chronoweave.operators import etl, models, nn
+from chronoweave.operators import etl, models, nn, sampler
 from chronoweave.operators import layers as L
-from chronoweave.session import written
+from chronoweave.operators.ordering import with_row_ids
+from chronoweave.session import dropped, scratch, written
 
 ROLES = ("src", "dst", "neg")
 PIECE = 4096  # weights that are summed as one row
+BLOCK = 4096  # edges that are packed together
 CHUNK = 256  # edges whose neighbourhoods are padded to one array at a time
 
 
@@ -75,6 +77,65 @@ def samples(edges: DataFrame, part: DataFrame, drawn: DataFrame, node_features:
     return per.filter(" and ".join(f"{r} is not null" for r in ROLES))
 
 
+def packed(edges: DataFrame, part: DataFrame, drawn: DataFrame, node_features: DataFrame, edge_features: DataFrame, preset: Preset, node_width: int, edge_width: int, steps: int = 1) -> DataFrame:
+    """What samples gives for models of one layer of recent neighbours, in blocks of edges that follow each other in time: a neighbour that many roots of a block share is kept
+    once, with its vectors. part (the step that takes the block), block, and as lists the block's edges (e_t, e_nbr, e_edge), vectors of roots (own) and, for every edge, eids and,
+    for src, dst and neg of each in turn, at (place of the vector), t, end and size: the neighbours are the `size` edges before `end`.
+    """
+    order = with_row_ids(part.filter("src is not null and dst is not null and t is not null").select("eid", "src", "dst", "t"), ["t", "eid"])
+    step = F.pmod(F.xxhash64("eid"), F.lit(steps)).cast("long")
+    full = order.join(drawn.filter("k = 0 and node is not null").select("eid", F.col("node").alias("neg")), "eid")
+    each = F.array(*(F.struct(F.col(r).alias("node"), F.lit(i).alias("i")) for i, r in enumerate(ROLES)))
+    block = F.floor(F.col("row_id") / BLOCK) * steps + step
+    probes = full.select("t", block.alias("block"), "row_id", F.explode(each).alias("_p")).select("_p.node", "t", "block", ((F.col("row_id") % BLOCK) * 3 + F.col("_p.i")).alias("key"))
+    near = edges.select("eid", "src", "dst", "t").join(edge_features.select("eid", F.col("f").alias("edge")), "eid", "left")
+    near = near.join(node_features.select(F.col("id").alias("dst"), F.col("f").alias("nbr")), "dst", "left").select(F.col("src").alias("node"), "t", "eid", "nbr", "edge")
+    found = sampler.by_block(near, probes, node_features.select(F.col("id").alias("node"), F.col("f").alias("own")), preset.fanout[0], (node_width, edge_width))
+    schema = "part long, block long, e_t array<long>, e_nbr array<double>, e_edge array<double>, own array<double>, t array<long>, at array<int>, end array<int>, size array<int>"
+    k = preset.fanout[0]
+
+    def together(key: tuple, rows: pa.Table) -> pa.Table:
+        of = lambda c: rows[c].combine_chunks()
+        length = lambda x: pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
+        n_edges, n_probes = length(of("e_t")), length(of("p_key"))
+        begin, row = np.repeat(np.cumsum(n_edges) - n_edges, n_probes), np.repeat(np.arange(len(n_edges)), n_probes)
+        end = of("p_end").flatten().to_numpy()
+        name, has = of("p_key").flatten().to_numpy(), pc.is_valid(of("own")).to_numpy(zero_copy_only=False)
+        at = np.where(has, np.cumsum(has) - 1, -1)[row]
+        sort = np.argsort(name)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        flat = lambda c: one(of(c).flatten())
+        whole = lambda x, kind: one(pa.array(x[sort].astype(kind)))
+        size = np.minimum(end, k)
+        columns = [pa.array([key[0].as_py() % steps]), pa.array([key[0].as_py()]), flat("e_t"), flat("e_nbr"), flat("e_edge"), one(of("own").drop_null().flatten())]
+        columns += [whole(of("p_t").flatten().to_numpy(), np.int64), whole(at, np.int32), whole(begin + end, np.int32), whole(size, np.int32)]
+        return pa.table(columns, names=[c.split()[0] for c in schema.split(", ")])
+
+    made = written(found.groupBy("block").applyInArrow(together, schema), "training")
+    dropped(found)
+    return made
+
+
+def _unpacked(b: pa.RecordBatch, at: int, node_width: int, edge_width: int) -> Iterator[dict[str, tuple[np.ndarray, ...]]]:
+    """The roots of CHUNK edges at a time of a block: own, nbr, edge, dt and mask of each role."""
+    of = lambda c: b.column(c).slice(at, 1).flatten().to_numpy(zero_copy_only=False)
+    t, place, end, size = (of(c).reshape(-1, 3) for c in ("t", "at", "end", "size"))
+    e_t = of("e_t")
+    nbr, edge = of("e_nbr").reshape(len(e_t), node_width), of("e_edge").reshape(len(e_t), edge_width)
+    own = np.concatenate([of("own").reshape(place.max(initial=-1) + 1, node_width), np.zeros((1, node_width))])  # at -1: no vector
+    for a in range(0, len(t), CHUNK):
+        chunk = {}
+        for i, r in enumerate(ROLES):
+            n = size[a : a + CHUNK, i]
+            most = max(int(n.max(initial=0)), 1)
+            mask = np.arange(most) < n[:, None]
+            pick = (end[a : a + CHUNK, i, None] - 1 - np.arange(most))[mask]
+            near, by, dt = np.zeros((*mask.shape, node_width)), np.zeros((*mask.shape, edge_width)), np.zeros(mask.shape)
+            near[mask], by[mask], dt[mask] = nbr[pick], edge[pick], np.repeat(t[a : a + CHUNK, i], n) - e_t[pick]
+            chunk[r] = (own[place[a : a + CHUNK, i]], near, by, dt, mask)
+        yield chunk
+
+
 class Network:
     """Forward and backward of a model over a batch of samples."""
 
@@ -87,8 +148,11 @@ class Network:
         keep = 1 - self.dropout
         return tuple((rng.random(shape) < keep) / keep for shape in ((*mask.shape, layer.heads), (len(mask), layer.out)))
 
-    def embed(self, w: models.Models, trees: pa.Array, rng: np.random.Generator | None) -> tuple[np.ndarray, tuple]:
+    def embed(self, w: models.Models, trees: pa.Array | tuple, rng: np.random.Generator | None) -> tuple[np.ndarray, tuple]:
         first = self.layers[0]
+        if isinstance(trees, tuple):  # of one layer, as packed gives them
+            h, c = L.forward(w["layer_0"], first, *trees, self._drops(rng, first, trees[4]))
+            return h, (c, np.arange(len(h)), None, None, len(h))
         sizes = pc.list_value_length(trees).to_numpy(zero_copy_only=False).astype(np.int64)
         flat, starts = trees.flatten(), np.cumsum(sizes) - sizes
         inner = nn._padded(flat.field("nbrs"), first)
@@ -119,7 +183,7 @@ class Network:
             inner[at] += d_nbr[row, col]
         _add(g, "layer_0", L.backward(w["layer_0"], self.layers[0], c, inner)[0])
 
-    def loss(self, w: models.Models, batch: dict[str, pa.Array], rng: np.random.Generator | None = None) -> tuple[float, models.Models]:
+    def loss(self, w: models.Models, batch: dict[str, pa.Array | tuple], rng: np.random.Generator | None = None) -> tuple[float, models.Models]:
         """Summed logistic loss of the true and the negative edges, and its gradient."""
         g: models.Models = {m: {k: np.zeros_like(x) for k, x in v.items()} for m, v in w.items()}
         h, caches = zip(*(self.embed(w, batch[r], rng) for r in ROLES))
@@ -143,11 +207,15 @@ def _add(g: models.Models, name: str, more: L.Weights) -> None:
 
 def gradient(rows: DataFrame, net: Network, weights: models.Models, seed: int) -> tuple[np.ndarray, float, int]:
     """Summed gradient, loss and number of samples: one pass. Partitions send sums in pieces of PIECE weights, which are summed per piece before
-    the driver sees them. Dropout is drawn from the seed and the eids of a chunk.
+    the driver sees them. Dropout is drawn from the seed and the eids of a chunk, or the number of a block (packed).
     """
     size, sent = len(flat(weights)), nn._sent(rows, [flat(weights)])
     like = {m: {k: np.empty(x.shape) for k, x in v.items()} for m, v in weights.items()}
 
+    def pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        each = [total[i : i + PIECE].tolist() for i in range(0, len(total), PIECE)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(each)), pa.int32()), pa.array(each, pa.list_(pa.float64()))], names=["piece", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, total, seen = shaped(sent.value[0], like), np.zeros(size + 2), False
         for whole in batches:
@@ -157,14 +225,25 @@ def gradient(rows: DataFrame, net: Network, weights: models.Models, seed: int) -
                 loss, g = net.loss(w, {r: b.column(r) for r in ROLES}, rng)
                 total += np.concatenate([flat(g), [loss, b.num_rows]])
         if seen:
-            pieces = [total[i : i + PIECE].tolist() for i in range(0, len(total), PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.list_(pa.float64()))], names=["piece", "v"])
+            yield from pieces(total)
+
+    def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, total, seen = shaped(sent.value[0], like), np.zeros(size + 2), False
+        for b in batches:
+            for i, block in enumerate(b.column("block").to_pylist()):
+                rng = np.random.default_rng([seed, block]) if net.dropout else None
+                for chunk in _unpacked(b, i, net.layers[0].node, net.layers[0].edge):
+                    seen = True
+                    loss, g = net.loss(w, chunk, rng)
+                    total += np.concatenate([flat(g), [loss, len(chunk["src"][0])]])
+        if seen:
+            yield from pieces(total)
 
     def together(key: tuple, rows: pa.Table) -> pa.Table:
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([np.sum([x.as_py() for x in rows["v"]], 0).tolist()], pa.list_(pa.float64()))})
 
     out = "piece int, v array<double>"
-    got = {r.piece: r.v for r in rows.mapInArrow(run, out).groupBy("piece").applyInArrow(together, out).collect()}
+    got = {r.piece: r.v for r in rows.mapInArrow(run_blocks if "block" in rows.columns else run, out).groupBy("piece").applyInArrow(together, out).collect()}
     if not got:
         return np.zeros(size), 0.0, 0
     total = np.concatenate([got[i] for i in range(len(got))])
@@ -182,7 +261,11 @@ def train(edges: DataFrame, node_features: DataFrame, edge_features: DataFrame,
     part = edges.filter("split = 0")
     with timers.stage("t_sample"):
         drawn = etl.negatives(part, etl.dense_ids(edges), 1, run.seed)
-        rows = written(samples(edges, part, drawn, node_features, edge_features, run.preset, node_width, edge_width), "training")
+        preset = run.preset
+        blocks = preset.layer == "attention" and preset.strategy == "recent" and len(preset.fanout) == 1 and not (preset.memory or preset.duration) and preset.snapshots == 1
+        make = packed if blocks else samples
+        rows = make(edges, part, drawn, node_features, edge_features, preset, node_width, edge_width, *([steps] if blocks else []))
+        rows = rows if blocks else written(rows, "training")
     weights = models.initial_weights(run.preset, node_width, edge_width, hidden)
     net, w = Network(run.preset, node_width, edge_width, run.dropout), flat(weights)
     adam, told, best, best_ap = Adam(len(w), run.rate), [], None, -1.0
@@ -190,12 +273,12 @@ def train(edges: DataFrame, node_features: DataFrame, edge_features: DataFrame,
         loss, n = 0.0, 0
         for step in range(steps):
             with timers.stage("t_backward"):
-                now = rows.filter(F.pmod(F.xxhash64("eid"), F.lit(steps)) == step) if steps > 1 else rows
+                now = rows.filter((F.col("part") if blocks else F.pmod(F.xxhash64("eid"), F.lit(steps))) == step) if steps > 1 else rows
                 g, more, seen = gradient(now, net, shaped(w, weights), run.seed + epoch * steps + step)
             loss, n = loss + more, n + seen
             if seen:
                 w = adam.step(w, g / seen)
-        with timers.stage("t_eval"):
+        with timers.stage("t_eval"), scratch(edges.sparkSession):
             row = models.evaluate(edges, 1, node_features, edge_features, run, node_width, edge_width, hidden, shaped(w, weights)).first()
         told.append((epoch, loss / max(n, 1), row.ap))
         if epoch >= first and row.ap is not None and row.ap > best_ap:

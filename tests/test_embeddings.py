@@ -248,3 +248,36 @@ def test_two_layers_make_no_row_per_neighbour(spark, monkeypatch):
 
     for k, n, t in asked[::9]:
         assert np.allclose(got[k], embed(n, t, 2), atol=1e-9)
+
+
+def test_packed_training_equals_samples(spark, monkeypatch):
+    """A hot node over several ranges and blocks: the gradient is that of the neighbourhoods row by row, and shared neighbours are stored once."""
+    rng = np.random.default_rng(9)
+    edges = [(i, 1 if i % 4 else int(rng.integers(2, 6)), int(rng.integers(0, 6)), int(rng.integers(0, 60)), 0) for i in range(200)]
+    nf = {n: rng.normal(size=3).round(3).tolist() for n in (0, 1, 3)}
+    ef = {i: rng.normal(size=2).round(3).tolist() for i in range(0, 200, 3)}
+    e = spark.createDataFrame(edges, EDGES)
+    f = spark.createDataFrame(list(nf.items()), "id long, f array<double>")
+    g = spark.createDataFrame(list(ef.items()), "eid long, f array<double>")
+    preset = settings("TGAT", (10,), (3, 4)).preset
+    part, drawn = e.filter("eid % 5 > 0"), training.etl.negatives(e, training.etl.dense_ids(e))
+    weights, net = models.initial_weights(preset, 3, 2, 4), training.Network(preset, 3, 2)
+    monkeypatch.setattr(training, "BLOCK", 70)
+    monkeypatch.setattr(training, "CHUNK", 20)
+    want = training.gradient(training.samples(e, part, drawn, f, g, preset, 3, 2), net, weights, 1)
+    changed = {"spark.sql.shuffle.partitions": "6", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for steps in (1, 2):
+            for k, v in changed.items():
+                spark.conf.set(k, v)
+            rows = training.packed(e, part, drawn, f, g, preset, 3, 2, steps)
+            for k, v in before.items():
+                spark.conf.set(k, v)
+            got = [training.gradient(rows.filter(f"part = {i}"), net, weights, 1) for i in range(steps)]
+            assert sum(x[2] for x in got) == want[2] == 160 and np.isclose(sum(x[1] for x in got), want[1])
+            assert np.allclose(sum(x[0] for x in got), want[0], rtol=1e-9, atol=1e-9)
+            assert rows.selectExpr("sum(size(e_t)) as n").first().n < rows.selectExpr("sum(aggregate(size, 0, (a, x) -> a + x)) as n").first().n / (3 - steps)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
